@@ -16,7 +16,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_BUCKET = 500_000
+SPLITS_PER_BUCKET = 64
 MAX_BUCKETS = 4096
 
 
@@ -28,28 +28,35 @@ def score_counts(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame
             .agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg")))
 
 
-def _bucketed(counts: DataFrame, buckets: int | None):
-    """Attach bucket id ``b`` (higher score -> higher b).  Returns (df, n_rows)."""
-    n = counts.count()
+def _bucket_count(counts: DataFrame) -> int:
+    """Buckets from the grouped table's partition count, which follows the
+    shuffle sizing of the job (planning only, no job): about one bucket per
+    ``SPLITS_PER_BUCKET`` partitions, at most MAX_BUCKETS."""
+    splits = counts.rdd.getNumPartitions()
+    return min(MAX_BUCKETS, max(1, math.ceil(splits / SPLITS_PER_BUCKET)))
+
+
+def _bucketed(counts: DataFrame, buckets: int | None) -> DataFrame:
+    """Attach bucket id ``b`` (higher score -> higher b)."""
     if buckets is None:
-        buckets = min(MAX_BUCKETS, max(1, math.ceil(n / ROWS_PER_BUCKET)))
-    if buckets <= 1 or n <= 1:
-        return counts.withColumn("b", F.lit(0)), n
+        buckets = _bucket_count(counts)
+    if buckets <= 1:
+        return counts.withColumn("b", F.lit(0))
     probs = [i / buckets for i in range(1, buckets)]
     cuts = sorted(set(counts.approxQuantile("score", probs, 1.0 / (4 * buckets))))
     if not cuts:
-        return counts.withColumn("b", F.lit(0)), n
+        return counts.withColumn("b", F.lit(0))
     from pyspark.ml.feature import Bucketizer
 
     splits = [float("-inf")] + cuts + [float("inf")]
     bz = Bucketizer(splits=splits, inputCol="score", outputCol="_bd", handleInvalid="keep")
-    return bz.transform(counts).withColumn("b", F.col("_bd").cast("int")).drop("_bd"), n
+    return bz.transform(counts).withColumn("b", F.col("_bd").cast("int")).drop("_bd")
 
 
 def running_counts(counts: DataFrame, buckets: int | None = None) -> DataFrame:
     """Add, in descending score order: tps/fps (inclusive running sums),
     idx (0-based position), prev/next tps/fps (NULL at the ends), n_points."""
-    c, n = _bucketed(counts, buckets)
+    c = _bucketed(counts, buckets)
     tot = c.groupBy("b").agg(F.sum("pos").alias("bpos"), F.sum("neg").alias("bneg"),
                              F.count(F.lit(1)).alias("bn"),
                              F.max_by("pos", "score").alias("first_pos"),
@@ -61,11 +68,12 @@ def running_counts(counts: DataFrame, buckets: int | None = None) -> DataFrame:
            .withColumn("off_neg", F.coalesce(F.sum("bneg").over(before), F.lit(0)))
            .withColumn("off_idx", F.coalesce(F.sum("bn").over(before), F.lit(0)))
            .withColumn("tot_pos", F.sum("bpos").over(Window.partitionBy()))
-           .withColumn("tot_neg", F.sum("bneg").over(Window.partitionBy())))
+           .withColumn("tot_neg", F.sum("bneg").over(Window.partitionBy()))
+           .withColumn("n_points", F.sum("bn").over(Window.partitionBy())))
     tot = (tot.withColumn("next_tps0", F.lead(F.col("off_pos") + F.col("first_pos")).over(wt))
            .withColumn("next_fps0", F.lead(F.col("off_neg") + F.col("first_neg")).over(wt))
            .select("b", "off_pos", "off_neg", "off_idx", "next_tps0", "next_fps0",
-                   "tot_pos", "tot_neg"))
+                   "tot_pos", "tot_neg", "n_points"))
     j = c.join(F.broadcast(tot), "b")
     w = Window.partitionBy("b").orderBy(F.desc("score"))
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -78,7 +86,7 @@ def running_counts(counts: DataFrame, buckets: int | None = None) -> DataFrame:
                                             F.when(F.col("idx") > 0, F.col("off_neg"))))
          .withColumn("next_tps", F.coalesce(F.lead("tps").over(w), F.col("next_tps0")))
          .withColumn("next_fps", F.coalesce(F.lead("fps").over(w), F.col("next_fps0"))))
-    return j.withColumn("n_points", F.lit(n)).drop("next_tps0", "next_fps0")
+    return j.drop("next_tps0", "next_fps0")
 
 
 def auc(df: DataFrame, y: str = "y", score: str = "score", buckets: int | None = None) -> DataFrame:

@@ -13,8 +13,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def spread(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Spread a scan that has fewer input splits than the cluster has cores
+    (e.g. one file with a single row group) over all cores, hash-partitioned
+    on ``key`` (deterministic on task retry).  Large inputs already have
+    many splits and are returned unchanged (no shuffle)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key) if key else df.repartition(cores)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, key: str | None = None) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df, key) if key else df
 
 
 # ------------------------------------------------------------------ flows
@@ -46,7 +58,7 @@ FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flow records with the Bot-IoT shape used throughout (see FLOWS_SQL)."""
-    li = table(spark, sf_dir, "lineitem").select(
+    li = table(spark, sf_dir, "lineitem", key="l_orderkey").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_returnflag", "l_linestatus", "l_shipdate")
     od = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
@@ -95,7 +107,7 @@ FROM events
 
 def connlog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conn-log shaped records (underscored names; see CONNLOG_SQL)."""
-    ev = table(spark, sf_dir, "events")
+    ev = table(spark, sf_dir, "events", key="event_id")
     et = F.col("event_type")
     return ev.select(
         F.col("event_id").alias("uid"),
@@ -143,5 +155,6 @@ FROM events
 
 def labelled_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with a 0/1 label (error = 1) and a unique key ``event_id``."""
-    ev = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "ts")
+    ev = table(spark, sf_dir, "events", key="event_id").select(
+        "event_id", "user_id", "event_type", "value", "ts")
     return ev.withColumn("label", (F.col("event_type") == "error").cast("int"))
