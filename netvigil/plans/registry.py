@@ -7,6 +7,7 @@ import importlib
 _MODULES = [
     ("netvigil.plans.device_queries", "netvigil.plans.device_oracles"),
     ("netvigil.plans.score_queries", "netvigil.plans.score_oracles"),
+    ("netvigil.plans.sample_queries", "netvigil.plans.sample_oracles"),
 ]
 
 
