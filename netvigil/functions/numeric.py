@@ -53,6 +53,9 @@ def to_numeric(df_or_type, c=None) -> Column:
         return F.when(~F.isnan(d), d)
     if isinstance(dtype, T.BooleanType):
         return col.cast("double")
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        # epoch nanoseconds, as pandas converts datetimes
+        return F.unix_micros(col.cast("timestamp")).cast("double") * 1000.0
     return to_numeric_text(col)
 
 

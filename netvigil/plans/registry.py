@@ -8,6 +8,7 @@ _MODULES = [
     ("netvigil.plans.device_queries", "netvigil.plans.device_oracles"),
     ("netvigil.plans.score_queries", "netvigil.plans.score_oracles"),
     ("netvigil.plans.sample_queries", "netvigil.plans.sample_oracles"),
+    ("netvigil.plans.feature_queries", "netvigil.plans.feature_oracles"),
 ]
 
 
