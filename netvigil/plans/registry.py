@@ -9,6 +9,7 @@ _MODULES = [
     ("netvigil.plans.score_queries", "netvigil.plans.score_oracles"),
     ("netvigil.plans.sample_queries", "netvigil.plans.sample_oracles"),
     ("netvigil.plans.feature_queries", "netvigil.plans.feature_oracles"),
+    ("netvigil.plans.source_queries", "netvigil.plans.source_oracles"),
     ("netvigil.plans.model_queries", None),
 ]
 
