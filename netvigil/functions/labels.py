@@ -31,7 +31,8 @@ def _truncate_to_int(x: Column) -> Column:
 
 
 def _clip01(x: Column) -> Column:
-    return F.least(F.greatest(x, F.lit(0)), F.lit(1))
+    # greatest/least skip NULLs; a NULL (dropped) label must stay NULL
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(0)), F.lit(1)))
 
 
 def normalize_label(c, profile: str = "named", numeric_input: bool = False) -> Column:

@@ -28,7 +28,7 @@ def label_sql(profile: str, x: str = "attack") -> str:
                "named": vocab.LABELS_NAMED, "botnet": vocab.LABELS_BOTNET}[profile]
     out = f"coalesce({_case(mapping, key)}, CAST(trunc({_num(x)}) AS INTEGER))"
     if profile == "named":
-        out = f"least(greatest({out}, 0), 1)"
+        out = f"(CASE WHEN {out} IS NOT NULL THEN least(greatest({out}, 0), 1) END)"
     return f"CAST({out} AS INTEGER)"
 
 
