@@ -103,6 +103,27 @@ def auc(df: DataFrame, y: str = "y", score: str = "score", buckets: int | None =
                       F.coalesce("n_neg", F.lit(0)).cast("long").alias("n_neg"))
 
 
+def score_summary(df: DataFrame, y: str = "y", score: str = "score", threshold: float = 0.5,
+                  buckets: int | None = None) -> DataFrame:
+    """AUC and the confusion counts at ``threshold`` from one grouped pass:
+    auc, n_pos, n_neg, tn, fp, fn, tp (rows without a finite score are
+    left out of both)."""
+    r = running_counts(score_counts(df, y, score), buckets)
+    dec = "decimal(38,0)"
+    num = F.col("neg").cast(dec) * (2 * F.col("tps") - F.col("pos")).cast(dec)
+    above = F.col("score") >= F.lit(threshold)
+    agg = r.agg(F.sum(num).alias("num2"), F.sum("pos").alias("P"), F.sum("neg").alias("N"),
+                F.sum(F.when(above, F.col("pos")).otherwise(0)).alias("tp"),
+                F.sum(F.when(above, F.col("neg")).otherwise(0)).alias("fp"))
+    den = 2 * F.col("P").cast("double") * F.col("N").cast("double")
+    P, N = F.coalesce("P", F.lit(0)).cast("long"), F.coalesce("N", F.lit(0)).cast("long")
+    tp, fp = F.coalesce("tp", F.lit(0)).cast("long"), F.coalesce("fp", F.lit(0)).cast("long")
+    return agg.select(F.when((F.col("P") > 0) & (F.col("N") > 0),
+                             F.col("num2").cast("double") / den).alias("auc"),
+                      P.alias("n_pos"), N.alias("n_neg"), (N - fp).alias("tn"), fp.alias("fp"),
+                      (P - tp).alias("fn"), tp.alias("tp"))
+
+
 def roc_curve(df: DataFrame, y: str = "y", score: str = "score", drop_intermediate: bool = True,
               buckets: int | None = None) -> DataFrame:
     """A10: ROC points (idx, threshold, fpr, tpr, fps, tps).

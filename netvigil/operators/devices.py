@@ -23,7 +23,6 @@ from pyspark.sql import types as T
 from netvigil.functions import vocab
 from netvigil.functions.mac import mac_prefix, strip
 from netvigil.functions.numeric import safe_ratio, to_numeric, zero_fill
-from netvigil.operators.joins import lookup_join
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 DEFAULT_MAC_SALTS = 16
@@ -168,8 +167,9 @@ def mac_info(macs: DataFrame, vendors: DataFrame | None) -> DataFrame:
     aggs = [F.max(F.when((F.col("side") == 0) & (F.col("pos") == 1), F.col("mac"))).alias("smac"),
             F.max(F.when((F.col("side") == 1) & (F.col("pos") == 1), F.col("mac"))).alias("dmac")]
     if vendors is not None:
-        macs = lookup_join(macs.withColumn("prefix", mac_prefix("mac")),
-                           vendors.select("prefix", "vendor"), "prefix", "left")
+        # vendors come size-checked (broadcast hint) from sources.lookups.vendor_table
+        macs = macs.withColumn("prefix", mac_prefix("mac")).join(
+            vendors.select("prefix", "vendor"), "prefix", "left")
         aggs.append(F.min_by("vendor", F.when(F.col("vendor").isNotNull(),
                                               F.struct("side", "pos"))).alias("vendor"))
     return macs.groupBy("dev").agg(*aggs).withColumnRenamed("dev", "device")
@@ -224,7 +224,9 @@ def device_report(scored: DataFrame, mode: str = "auto", vendors: DataFrame | No
     info = mac_info(first_macs(long, salts=mac_salts), vendors)
     out = roll.join(info, "device", "left")
     if names is not None:
-        out = lookup_join(out, names, "device", "left")
+        # per-device tables on both sides: adaptive execution broadcasts the
+        # name map only when its runtime size is under the threshold
+        out = out.join(names, "device", "left")
     else:
         out = (out.withColumn("name", F.lit(None).cast("string"))
                .withColumn("dtype", F.lit(None).cast("string")))

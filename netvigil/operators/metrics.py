@@ -37,12 +37,13 @@ def confusion(df: DataFrame, y: str = "y", pred: str = "pred") -> DataFrame:
     )).alias("c")).select("c.*")
 
 
-def metrics_from_counts(c: DataFrame) -> DataFrame:
+def metrics_from_counts(c: DataFrame, *extra: str) -> DataFrame:
     """A6 on a (tn, fp, fn, tp) row: accuracy, precision, recall_tpr, f1,
-    fpr, tnr_specificity, mse, support_0, support_1 (zero division -> 0)."""
+    fpr, tnr_specificity, mse, support_0, support_1 (zero division -> 0);
+    ``extra`` columns of the row are passed through."""
     tn, fp, fn, tp = (F.col(x) for x in ("tn", "fp", "fn", "tp"))
     n = tn + fp + fn + tp
-    return c.select(
+    return c.select(*extra,
         safe_ratio(tp + tn, n).alias("accuracy"),
         safe_ratio(tp, tp + fp).alias("precision"),
         safe_ratio(tp, tp + fn).alias("recall_tpr"),

@@ -22,10 +22,12 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netvigil.functions import vocab
+from netvigil.session import checkpoint_dir
 
 BUCKETS = 1024
 MAX_BOUNDARY = 100_000
@@ -51,15 +53,23 @@ class _Cut:
     r: int               # how many boundary rows to take
 
 
-def _resolve(df: DataFrame, cls: str, v: str, need: dict, hi0: dict) -> dict:
-    """Find, per class, the cut that selects exactly need[c] smallest v."""
-    state = {c: {"lo": 0.0, "hi": hi0[c], "base": 0} for c in need}
+def _resolve(df: DataFrame, cls: str, v: str, need, hi0: dict | None,
+             classes=None) -> tuple[dict, dict]:
+    """Find, per class, the cut that selects exactly need[c] smallest v.
+
+    ``need`` is a dict, or a function of the class counts; then the first
+    round covers the whole range and its histogram also gives the counts
+    (no separate counting job).  Returns (cuts, need)."""
+    deferred = callable(need)
+    keys = list(classes) if deferred else list(need)
+    state = {c: {"lo": 0.0, "hi": (hi0 or {}).get(c), "base": 0} for c in keys}
     cuts: dict = {}
-    for c, k in need.items():
-        if k <= 0:
-            cuts[c] = _Cut(lo=-math.inf, hi=None, r=0)
+    if not deferred:
+        for c, k in need.items():
+            if k <= 0:
+                cuts[c] = _Cut(lo=-math.inf, hi=None, r=0)
     for _ in range(64):
-        open_ = [c for c in need if c not in cuts]
+        open_ = [c for c in keys if c not in cuts]
         if not open_:
             break
         conds, bucket = None, None
@@ -80,6 +90,14 @@ def _resolve(df: DataFrame, cls: str, v: str, need: dict, hi0: dict) -> dict:
         per: dict = {c: [] for c in open_}
         for row in hist:
             per[row["c"]].append((row["b"], row["n"], row["vmin"], row["vmax"]))
+        if deferred:
+            counts = {c: sum(r[1] for r in per[c]) for c in open_}
+            need = {c: min(int(k), counts.get(c, 0)) for c, k in need(counts).items()}
+            deferred = False
+            for c in open_:
+                if need.get(c, 0) <= 0:
+                    cuts[c] = _Cut(lo=-math.inf, hi=None, r=0)
+            open_ = [c for c in open_ if c not in cuts]
         for c in open_:
             st, k = state[c], need[c]
             rows = sorted(per[c])
@@ -105,21 +123,22 @@ def _resolve(df: DataFrame, cls: str, v: str, need: dict, hi0: dict) -> dict:
                         st["hi"] = nxt if nxt is not None else math.nextafter(vmax, math.inf)
                     break
                 cum += n
-    for c in need:
+    for c in keys:
         if c not in cuts:  # not reached in practice; rank what is left
             st = state[c]
             cuts[c] = _Cut(lo=st["lo"], hi=st["hi"], r=need[c] - st["base"])
-    return cuts
+    return cuts, need
 
 
-def select_smallest(df: DataFrame, cls: str, v: str, order_cols, need: dict,
-                    start_fraction: dict | None = None, flag: str | None = None) -> DataFrame:
+def select_smallest(df: DataFrame, cls: str, v: str, order_cols, need,
+                    start_fraction: dict | None = None, flag: str | None = None,
+                    classes=None) -> DataFrame:
     """Rows with the need[c] smallest (v, *order_cols) per class c.
 
+    ``need`` may be a function of the class counts (see ``_resolve``).
     With ``flag`` every row is returned and the column ``flag`` tells
     whether it was selected (used for splits)."""
-    hi0 = {c: (start_fraction or {}).get(c) for c in need}
-    cuts = _resolve(df, cls, v, need, hi0)
+    cuts, _ = _resolve(df, cls, v, need, start_fraction, classes)
     below = None
     boundary = None
     take = None
@@ -167,19 +186,35 @@ def _start(n: int, k: int) -> float | None:
     return min(1.0, (k + 6 * math.sqrt(k) + 16) / n)
 
 
-def exact_k(df: DataFrame, y: str, need: dict, key_cols, seed: int = vocab.SEED,
-            counts: dict | None = None, flag: str | None = None) -> DataFrame:
-    """need[c] rows of class c, first in md5 order (all rows when fewer)."""
-    counts = counts if counts is not None else class_counts(df, y)
-    need = {c: min(int(k), counts.get(c, 0)) for c, k in need.items()}
+def exact_k(df: DataFrame, y: str, need, key_cols, seed: int = vocab.SEED,
+            counts: dict | None = None, flag: str | None = None, classes=(0, 1)) -> DataFrame:
+    """need[c] rows of class c, first in md5 order (all rows when fewer).
+
+    ``need`` is a dict or a function of the class counts.  Without known
+    counts, the first histogram round spans the whole hash range and also
+    yields the counts, so no separate counting pass is made."""
     h = hash_text(seed, key_cols)
-    ranked = df.withColumn("_h", h).withColumn("_v", hash_unit(F.col("_h")))
-    start = {c: _start(counts.get(c, 0), k) for c, k in need.items()}
-    out = select_smallest(ranked, y, "_v", ["_h", *key_cols], need, start, flag)
-    if flag is None:
+    # the selection reads its input once per histogram round and once more
+    # at the end: keep the hashed rows (memory, spilling to disk) meanwhile
+    ranked = df.withColumn("_h", h).withColumn("_v", hash_unit(F.col("_h"))).persist(
+        StorageLevel.MEMORY_AND_DISK)
+    if counts is not None:
+        if callable(need):
+            need = need(counts)
+        need = {c: min(int(k), counts.get(c, 0)) for c, k in need.items()}
+        start = {c: _start(counts.get(c, 0), k) for c, k in need.items()}
         keep = list(need)
+    else:
+        start, keep = None, list(need) if not callable(need) else list(classes)
+    out = select_smallest(ranked, y, "_v", ["_h", *key_cols], need, start, flag, classes=keep)
+    if flag is None:
         out = out.filter(F.col(y).isin(keep)) if keep else out.limit(0)
-    return out.drop("_h", "_v")
+    # materialise the result in the reliable checkpoint folder (cuts lineage
+    # for the training that usually follows), then release the cache
+    checkpoint_dir(df.sparkSession)
+    out = out.drop("_h", "_v").checkpoint(eager=True)
+    ranked.unpersist()
+    return out
 
 
 # ------------------------------------------------------------- samplers
@@ -196,12 +231,14 @@ def balance_min(df: DataFrame, y: str, key_cols, cap: int | None = None,
                 seed: int = vocab.SEED) -> DataFrame:
     """Both classes cut to the size of the smaller one (and to
     ``cap`` per class when given); an empty class is an error."""
-    counts = class_counts(df, y)
-    n0, n1 = counts.get(0, 0), counts.get(1, 0)
-    if n0 == 0 or n1 == 0:
-        raise ValueError(f"one class is empty: class0={n0}, class1={n1}")
-    target = min(n0, n1, cap if cap is not None else n0)
-    return exact_k(df.filter(F.col(y).isin(0, 1)), y, {0: target, 1: target}, key_cols, seed, counts)
+    def target(counts):
+        n0, n1 = counts.get(0, 0), counts.get(1, 0)
+        if n0 == 0 or n1 == 0:
+            raise ValueError(f"one class is empty: class0={n0}, class1={n1}")
+        t = min(n0, n1, cap if cap is not None else n0)
+        return {0: t, 1: t}
+
+    return exact_k(df.filter(F.col(y).isin(0, 1)), y, target, key_cols, seed)
 
 
 def balance_target(df: DataFrame, y: str, k: int, key_cols,
@@ -232,7 +269,7 @@ def ratio_sample(df: DataFrame, y: str, rows: int, pos_frac: float, key_cols,
     want = rows * pos_frac
     need_pos = int(round(want)) if rounding == "half_even" else int(want)
     need = {1: need_pos, 0: rows - need_pos}
-    return exact_k(df.filter(F.col(y).isin(0, 1)), y, need, key_cols, seed)
+    return exact_k(df.filter(F.col(y).isin(0, 1)), y, lambda counts: need, key_cols, seed)
 
 
 def first_n_per_class(df: DataFrame, y: str, n: int, order_cols, allow_partial: bool = True

@@ -31,6 +31,5 @@ def predict_report(scored: DataFrame, y: str | None = "y", score: str = "score",
         "*", F.lit(t).alias("threshold"), F.lit(True).alias("has_proba"))
     if labelled is None:
         return summary
-    m = metrics.binary_metrics(labelled.withColumn("_pred", pred), y, "_pred")
-    a = curves.auc(labelled, y, score).select("auc")
-    return _one_row_join(_one_row_join(summary, m), a)
+    m = metrics.metrics_from_counts(curves.score_summary(labelled, y, score, t), "auc")
+    return _one_row_join(summary, m)

@@ -47,11 +47,10 @@ def confusion(spark, sf_dir):
 
 
 def binary_metrics(spark, sf_dir):
-    lf = labelled_flows(spark, sf_dir)
-    m = metrics.binary_metrics(lf, "y", "pred")
-    a = curves.auc(lf, "y", "score").select("auc")
-    # both sides are one-row aggregates, joined on a constant key
-    return m.withColumn("_one", F.lit(1)).join(a.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    """A6 + A9 from one grouped pass (confusion counts at the threshold and
+    the AUC both come from the per-score counts)."""
+    summary = curves.score_summary(labelled_flows(spark, sf_dir), "y", "score", THRESHOLD)
+    return metrics.metrics_from_counts(summary, "auc")
 
 
 def class_report(spark, sf_dir):
