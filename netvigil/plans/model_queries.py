@@ -93,6 +93,23 @@ def model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.lit(meta.get("label_col")).alias("label_col"))
 
 
+def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One metrics row per model on the same test split, rounded to 4."""
+    from netvigil.operators import curves, metrics
+    data, _, _ = _prepared(spark, sf_dir)
+    test = data.filter(F.col("split") == "test")
+    rows = None
+    for algo in ("rf", "lr", "mlp"):
+        model, _, _ = fitted(spark, sf_dir, algo)
+        s = models.with_score(model, test).select("label", "score")
+        m = metrics.metrics_from_counts(curves.score_summary(s, "label", "score", 0.5), "auc")
+        m = m.select(F.lit(algo).alias("model"),
+                     *[F.round(c, 4).alias(c) for c in ("accuracy", "precision", "recall_tpr",
+                                                         "f1", "fpr", "auc")])
+        rows = m if rows is None else rows.unionByName(m)
+    return rows
+
+
 QUERIES = {
     "rf_score": score_query("rf"),
     "lr_score": score_query("lr"),
@@ -100,4 +117,5 @@ QUERIES = {
     "predict_report": predict_report,
     "device_report_model": device_report_model,
     "model_roundtrip": model_roundtrip,
+    "model_comparison": model_comparison,
 }
