@@ -3,8 +3,8 @@
 Scores are first reduced to one row per distinct score (pos, neg counts;
 map-side combined).  Running sums in descending score order are then
 computed in two levels: scores are cut into at most ``max_buckets``
-ranges by approximate quantiles; a per-bucket totals table (bounded by
-the bucket count) yields each bucket's offset, and a window partitioned
+ranges by approximate quantiles (the bucket count grows with the input's
+split count); a per-bucket totals table (bounded by the bucket count) yields each bucket's offset, and a window partitioned
 by bucket adds the running sum inside it.  The result is exact — the
 quantiles only decide how work is split.
 """
@@ -16,8 +16,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SPLITS_PER_BUCKET = 64
-MAX_BUCKETS = 4096
+SPLITS_PER_BUCKET = 32
+MAX_BUCKETS = 16384
 
 
 def score_counts(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
@@ -28,18 +28,19 @@ def score_counts(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame
             .agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg")))
 
 
-def _bucket_count(counts: DataFrame) -> int:
-    """Buckets from the grouped table's partition count, which follows the
-    shuffle sizing of the job (planning only, no job): about one bucket per
-    ``SPLITS_PER_BUCKET`` partitions, at most MAX_BUCKETS."""
-    splits = counts.rdd.getNumPartitions()
+def bucket_count(df: DataFrame) -> int:
+    """Buckets from the input's split count, which grows with the input
+    size (planning only, no job): one bucket per ``SPLITS_PER_BUCKET``
+    splits, at most MAX_BUCKETS.  Small inputs get one bucket and no
+    quantile job at all."""
+    splits = df.rdd.getNumPartitions()
     return min(MAX_BUCKETS, max(1, math.ceil(splits / SPLITS_PER_BUCKET)))
 
 
 def _bucketed(counts: DataFrame, buckets: int | None) -> DataFrame:
     """Attach bucket id ``b`` (higher score -> higher b)."""
     if buckets is None:
-        buckets = _bucket_count(counts)
+        buckets = bucket_count(counts)
     if buckets <= 1:
         return counts.withColumn("b", F.lit(0))
     probs = [i / buckets for i in range(1, buckets)]
@@ -92,7 +93,7 @@ def running_counts(counts: DataFrame, buckets: int | None = None) -> DataFrame:
 def auc(df: DataFrame, y: str = "y", score: str = "score", buckets: int | None = None) -> DataFrame:
     """Exact ROC AUC with ties counted half; NULL when one class is
     absent.  One row: auc, n_pos, n_neg."""
-    r = running_counts(score_counts(df, y, score), buckets)
+    r = running_counts(score_counts(df, y, score), buckets or bucket_count(df))
     dec = "decimal(38,0)"
     num = F.col("neg").cast(dec) * (2 * F.col("tps") - F.col("pos")).cast(dec)
     agg = r.agg(F.sum(num).alias("num2"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
@@ -108,7 +109,7 @@ def score_summary(df: DataFrame, y: str = "y", score: str = "score", threshold:
     """AUC and the confusion counts at ``threshold`` from one grouped pass:
     auc, n_pos, n_neg, tn, fp, fn, tp (rows without a finite score are
     left out of both)."""
-    r = running_counts(score_counts(df, y, score), buckets)
+    r = running_counts(score_counts(df, y, score), buckets or bucket_count(df))
     dec = "decimal(38,0)"
     num = F.col("neg").cast(dec) * (2 * F.col("tps") - F.col("pos")).cast(dec)
     above = F.col("score") >= F.lit(threshold)
@@ -133,7 +134,7 @@ def roc_curve(df: DataFrame, y: str = "y", score: str = "score", drop_intermedia
     (both ends always kept, and only when there are more than two
     points); then a leading (0, 0) point with NULL threshold is added.
     """
-    r = running_counts(score_counts(df, y, score), buckets)
+    r = running_counts(score_counts(df, y, score), buckets or bucket_count(df))
     last = F.col("n_points") - 1
     if drop_intermediate:
         curv = ((F.col("prev_fps") - 2 * F.col("fps") + F.col("next_fps")) != 0) | (

@@ -80,6 +80,54 @@ def best_threshold(df: DataFrame, y: str = "y", score: str = "score",
                        "f1", "fpr")
 
 
+def auto_summary(df: DataFrame, y: str = "y", score: str = "score",
+                 objective: str = "youden") -> DataFrame:
+    """M9 summary with an automatic threshold, in one pass over the rows.
+
+    Every row falls in a candidate bin (rows without a finite score in
+    bin -1); the labelled counts pick the best candidate (as
+    ``best_threshold``, default 0.5 when none beats -1) and the all-row
+    counts of the same bins give the totals at that threshold.  One row:
+    total_records, anomalies_detected, normal_records, threshold."""
+    if objective not in ("f1", "youden"):
+        objective = "f1"
+    cands = candidate_thresholds()
+    s = F.col(score).cast("double")
+    finite = s.isNotNull() & ~F.isnan(s)
+    k = F.when(finite, candidate_index(s, cands)).otherwise(F.lit(-1))
+    bins = df.groupBy(k.alias("k")).agg(
+        F.count_if(finite & (F.col(y) == 1)).alias("pos"),
+        F.count_if(finite & (F.col(y) == 0)).alias("neg"),
+        F.count(F.lit(1)).alias("n_all"))
+    grid = df.sparkSession.createDataFrame(
+        [(-1, None), (0, None)] + [(i + 1, c) for i, c in enumerate(cands)], "k int, threshold double")
+    # at most 101 rows on both sides: the equi-join and the windows are bounded
+    per = grid.join(F.broadcast(bins), "k", "left").fillna(0, ["pos", "neg", "n_all"])
+    scored_k = F.col("k") >= 0
+    suffix = Window.orderBy(F.col("k").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    every = Window.partitionBy()
+    per = (per.withColumn("tp", F.sum(F.when(scored_k, F.col("pos")).otherwise(0)).over(suffix))
+           .withColumn("fp", F.sum(F.when(scored_k, F.col("neg")).otherwise(0)).over(suffix))
+           .withColumn("above", F.sum(F.when(scored_k, F.col("n_all")).otherwise(0)).over(suffix))
+           .withColumn("P", F.sum("pos").over(every)).withColumn("N", F.sum("neg").over(every))
+           .withColumn("total", F.sum("n_all").over(every))
+           .withColumn("scored", F.sum(F.when(scored_k, F.col("n_all")).otherwise(0)).over(every))
+           .filter(F.col("k") >= 1))
+    tp, fp = F.col("tp"), F.col("fp")
+    fn, tn = F.col("P") - tp, F.col("N") - fp
+    per = (per.withColumn("f1", safe_ratio(2 * tp, 2 * tp + fp + fn))
+           .withColumn("youden", safe_ratio(tp, tp + fn) - safe_ratio(fp, fp + tn)))
+    best = Window.orderBy((F.col(objective) > -1).desc(), F.col(objective).desc(),
+                          F.col("threshold").asc())
+    default = F.col("threshold") == F.lit(vocab.THRESHOLD_DEFAULT)
+    ranked = per.withColumn("_r", F.row_number().over(best)).withColumn(
+        "_ok", F.max(F.col(objective) > -1).over(every))
+    pick = ranked.filter((F.col("_ok") & (F.col("_r") == 1)) | (~F.col("_ok") & default))
+    return pick.select(F.col("total").alias("total_records"),
+                       F.col("above").alias("anomalies_detected"),
+                       (F.col("scored") - F.col("above")).alias("normal_records"), "threshold")
+
+
 def best_threshold_value(df: DataFrame, y: str = "y", score: str = "score",
                          objective: str = "youden") -> float:
     row = best_threshold(df, y, score, objective).first()

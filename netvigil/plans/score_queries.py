@@ -87,16 +87,10 @@ def minmax_score(spark, sf_dir):
 
 
 def predict_summary(spark, sf_dir):
-    """M9 summary: auto (Youden) threshold from labelled rows, then counts
-    over every row."""
-    lf = labelled_flows(spark, sf_dir)
-    t = threshold.best_threshold_value(lf, "y", "score", "youden")
-    f = fixtures.flows(spark, sf_dir)
-    pred = (F.col("score") >= F.lit(t)).cast("int")
-    return f.agg(F.count(F.lit(1)).alias("total_records"),
-                 F.count_if(pred == 1).alias("anomalies_detected"),
-                 F.count_if(pred != 1).alias("normal_records")).withColumn(
-        "threshold", F.lit(t))
+    """M9 summary: auto (Youden) threshold from the labelled rows and the
+    totals at that threshold over every row, in one pass."""
+    f = fixtures.flows(spark, sf_dir).withColumn("y", normalize_label("attack", "open"))
+    return threshold.auto_summary(f, "y", "score", "youden")
 
 
 def preview(spark, sf_dir):

@@ -142,3 +142,19 @@ def test_minmax(spark):
     df = spark.createDataFrame([(1.0,), (3.0,), (5.0,)], "d double")
     out = [r[0] for r in threshold.minmax_normalize(df, "d", "n").select("n").collect()]
     assert out == [0.0, 2.0 / (4 + 1e-8), 4.0 / (4 + 1e-8)]
+
+
+def test_auto_summary_one_pass(spark):
+    rng = np.random.default_rng(11)
+    n = 500
+    ys = [int(v) for v in rng.integers(0, 2, n)]
+    ss = [float(v) for v in np.clip(rng.normal(0.4, 0.25, n), 0, 1)]
+    rows = [(y if i % 9 else None, s if i % 13 else None) for i, (y, s) in enumerate(zip(ys, ss))]
+    df = spark.createDataFrame(rows, "y int, score double")
+    t = threshold.best_threshold_value(df, "y", "score", "youden")
+    got = threshold.auto_summary(df, "y", "score", "youden").first()
+    scored = [s for _, s in rows if s is not None]
+    assert got["threshold"] == t
+    assert got["total_records"] == n
+    assert got["anomalies_detected"] == sum(s >= t for s in scored)
+    assert got["normal_records"] == sum(s < t for s in scored)
