@@ -18,6 +18,7 @@ Plan shape (see ``device_report``):
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +26,7 @@ from pyspark.sql import types as T
 from netvigil.functions import vocab
 from netvigil.functions.mac import mac_prefix, strip
 from netvigil.functions.numeric import safe_ratio, to_numeric, zero_fill
+from netvigil.session import checkpoint_dir
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 DEFAULT_MAC_SALTS = 1
@@ -279,7 +281,9 @@ def device_page(devices: DataFrame, query: str = "", status: str = "",
     Adds ``row_no`` (1-based position in the filtered, sorted table).
     """
     size = max(1, int(size))
-    filtered = device_filter(devices, query, status)
+    # the device table is read twice (count for clamping, then the page):
+    # keep it for the duration, then materialise the small page
+    filtered = device_filter(devices, query, status).persist(StorageLevel.MEMORY_AND_DISK)
     total = filtered.count()
     max_page = max(1, -(-total // size))
     page = min(max(1, int(page)), max_page)
@@ -289,4 +293,8 @@ def device_page(devices: DataFrame, query: str = "", status: str = "",
         filtered.orderBy(*keys).limit(size)
     # the page has at most ``size`` rows, so this window is bounded
     w = Window.orderBy(*keys)
-    return top.withColumn("row_no", F.row_number().over(w) + F.lit(start))
+    out = top.withColumn("row_no", F.row_number().over(w) + F.lit(start))
+    checkpoint_dir(devices.sparkSession)
+    out = out.checkpoint(eager=True)
+    filtered.unpersist()
+    return out
