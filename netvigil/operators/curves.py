@@ -16,6 +16,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from netvigil.session import checkpoint_dir
+
 SPLITS_PER_BUCKET = 32
 MAX_BUCKETS = 16384
 
@@ -56,8 +58,29 @@ def _bucketed(counts: DataFrame, buckets: int | None) -> DataFrame:
 
 def running_counts(counts: DataFrame, buckets: int | None = None) -> DataFrame:
     """Add, in descending score order: tps/fps (inclusive running sums),
-    idx (0-based position), prev/next tps/fps (NULL at the ends), n_points."""
-    c = _bucketed(counts, buckets)
+    idx (0-based position), prev/next tps/fps (NULL at the ends),
+    tot_pos/tot_neg, n_points and the bucket id ``b``.
+
+    One bucket (small input): plain windows over the distinct scores.
+    More buckets: the grouped table is written once to the checkpoint
+    folder (read by the quantile job, the bucket totals and the windows),
+    then the two-level scheme described in the module docstring."""
+    if buckets is None:
+        buckets = bucket_count(counts)
+    every = Window.partitionBy()
+    if buckets <= 1:
+        w = Window.orderBy(F.desc("score"))
+        upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        j = (counts.withColumn("b", F.lit(0))
+             .withColumn("tps", F.sum("pos").over(upto)).withColumn("fps", F.sum("neg").over(upto))
+             .withColumn("idx", F.row_number().over(w) - 1)
+             .withColumn("tot_pos", F.sum("pos").over(every))
+             .withColumn("tot_neg", F.sum("neg").over(every))
+             .withColumn("n_points", F.count(F.lit(1)).over(every)))
+        return (j.withColumn("prev_tps", F.lag("tps").over(w)).withColumn("prev_fps", F.lag("fps").over(w))
+                .withColumn("next_tps", F.lead("tps").over(w)).withColumn("next_fps", F.lead("fps").over(w)))
+    checkpoint_dir(counts.sparkSession)
+    c = _bucketed(counts.checkpoint(eager=True), buckets)
     tot = c.groupBy("b").agg(F.sum("pos").alias("bpos"), F.sum("neg").alias("bneg"),
                              F.count(F.lit(1)).alias("bn"),
                              F.max_by("pos", "score").alias("first_pos"),
@@ -68,9 +91,9 @@ def running_counts(counts: DataFrame, buckets: int | None = None) -> DataFrame:
     tot = (tot.withColumn("off_pos", F.coalesce(F.sum("bpos").over(before), F.lit(0)))
            .withColumn("off_neg", F.coalesce(F.sum("bneg").over(before), F.lit(0)))
            .withColumn("off_idx", F.coalesce(F.sum("bn").over(before), F.lit(0)))
-           .withColumn("tot_pos", F.sum("bpos").over(Window.partitionBy()))
-           .withColumn("tot_neg", F.sum("bneg").over(Window.partitionBy()))
-           .withColumn("n_points", F.sum("bn").over(Window.partitionBy())))
+           .withColumn("tot_pos", F.sum("bpos").over(every))
+           .withColumn("tot_neg", F.sum("bneg").over(every))
+           .withColumn("n_points", F.sum("bn").over(every)))
     tot = (tot.withColumn("next_tps0", F.lead(F.col("off_pos") + F.col("first_pos")).over(wt))
            .withColumn("next_fps0", F.lead(F.col("off_neg") + F.col("first_neg")).over(wt))
            .select("b", "off_pos", "off_neg", "off_idx", "next_tps0", "next_fps0",
@@ -134,24 +157,29 @@ def roc_curve(df: DataFrame, y: str = "y", score: str = "score", drop_intermedia
     (both ends always kept, and only when there are more than two
     points); then a leading (0, 0) point with NULL threshold is added.
     """
-    r = running_counts(score_counts(df, y, score), buckets or bucket_count(df))
+    nb = buckets or bucket_count(df)
+    r = running_counts(score_counts(df, y, score), nb)
     last = F.col("n_points") - 1
     if drop_intermediate:
         curv = ((F.col("prev_fps") - 2 * F.col("fps") + F.col("next_fps")) != 0) | (
             (F.col("prev_tps") - 2 * F.col("tps") + F.col("next_tps")) != 0)
         keep = (F.col("n_points") <= 2) | (F.col("idx") == 0) | (F.col("idx") == last) | curv
         r = r.filter(keep)
-    # renumber the kept points: per-bucket kept counts (bounded) + offsets
-    kept = r.groupBy("b").agg(F.count(F.lit(1)).alias("kn"))
-    wt = Window.orderBy(F.desc("b"))
-    kept = kept.withColumn("koff", F.coalesce(
-        F.sum("kn").over(wt.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    w = Window.partitionBy("b").orderBy(F.desc("score"))
     cols = ["threshold", "fps", "tps", "tot_pos", "tot_neg"]
-    pts = (r.join(F.broadcast(kept.select("b", "koff")), "b")
-           .withColumn("idx", F.col("koff") + F.row_number().over(w))
-           .withColumn("threshold", F.col("score"))
-           .select("idx", *cols))
+    if nb <= 1:
+        pts = (r.withColumn("idx", F.row_number().over(Window.orderBy(F.desc("score"))))
+               .withColumn("threshold", F.col("score")).select("idx", *cols))
+    else:
+        # renumber the kept points: per-bucket kept counts (bounded) + offsets
+        kept = r.groupBy("b").agg(F.count(F.lit(1)).alias("kn"))
+        wt = Window.orderBy(F.desc("b"))
+        kept = kept.withColumn("koff", F.coalesce(
+            F.sum("kn").over(wt.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        w = Window.partitionBy("b").orderBy(F.desc("score"))
+        pts = (r.join(F.broadcast(kept.select("b", "koff")), "b")
+               .withColumn("idx", F.col("koff") + F.row_number().over(w))
+               .withColumn("threshold", F.col("score"))
+               .select("idx", *cols))
     origin = r.filter(F.col("idx") == 0).select(
         F.lit(0).cast("long").alias("idx"), F.lit(None).cast("double").alias("threshold"),
         F.lit(0).cast("long").alias("fps"), F.lit(0).cast("long").alias("tps"),

@@ -48,3 +48,18 @@ def test_csv_with_own_header_and_device_map(spark):
     _write(d, "devices.csv", "ip,name,type\n10.0.0.1,cam,camera\n,blank,x\n10.0.0.1,cam2, \n")
     got = {r["device"]: (r["name"], r["dtype"]) for r in lookups.device_table_csv(spark, f"{d}/devices.csv").collect()}
     assert got == {"10.0.0.1": ("cam2", None)}
+
+
+def test_union_labelled_and_hash_shuffle(spark):
+    from netvigil.operators.combine import hash_shuffled, union_labelled
+
+    a = spark.createDataFrame([(1, "attack")], "x int, attack string")
+    b = spark.createDataFrame([(2, "normal", 7)], "x int, label string, extra int")
+    c = spark.createDataFrame([(3,)], "x int")
+    u = union_labelled([a, b, c])
+    rows = sorted((r["x"], r["label_raw"], r["extra"]) for r in u.collect())
+    assert rows == [(1, "attack", None), (2, "normal", 7)]
+    df = spark.range(50).withColumnRenamed("id", "k")
+    first = [r[0] for r in hash_shuffled(df, ["k"]).collect()]
+    again = [r[0] for r in hash_shuffled(df.repartition(5), ["k"]).collect()]
+    assert first == again and sorted(first) == list(range(50)) and first != list(range(50))
