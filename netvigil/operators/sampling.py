@@ -51,6 +51,7 @@ class _Cut:
     lo: float            # rows with v < lo are all selected
     hi: float | None     # boundary rows: lo <= v < hi (None: no boundary)
     r: int               # how many boundary rows to take
+    tie: bool = False    # boundary rows share one value and are too many to rank
 
 
 def _resolve(df: DataFrame, cls: str, v: str, need, hi0: dict | None,
@@ -115,9 +116,12 @@ def _resolve(df: DataFrame, cls: str, v: str, need, hi0: dict | None,
                     nxt = rows[i + 1][2] if i + 1 < len(rows) else st["hi"]
                     if cum + n == k:
                         cuts[c] = _Cut(lo=nxt if nxt is not None else math.inf, hi=None, r=0)
-                    elif n <= MAX_BOUNDARY or vmin == vmax:
-                        # small enough to rank (or identical values: ties ranked by order cols)
-                        cuts[c] = _Cut(lo=vmin, hi=nxt, r=k - cum)
+                    elif n <= MAX_BOUNDARY:
+                        cuts[c] = _Cut(lo=vmin, hi=nxt, r=k - cum)  # small enough to rank
+                    elif vmin == vmax:
+                        # one value held by many rows: resolved by a second,
+                        # hash-distributed selection among the tied rows
+                        cuts[c] = _Cut(lo=vmin, hi=nxt, r=k - cum, tie=True)
                     else:
                         st["lo"], st["base"] = vmin, cum
                         st["hi"] = nxt if nxt is not None else math.nextafter(vmax, math.inf)
@@ -160,6 +164,9 @@ def select_smallest(df: DataFrame, cls: str, v: str, order_cols, need,
             t = F.when(is_c, F.lit(cut.r))
             take = t if take is None else take.when(is_c, F.lit(cut.r))
     below = below if below is not None else F.lit(False)
+    ties = {c: cut for c, cut in cuts.items() if cut.tie}
+    if ties and not flag:
+        return _with_tie_breaks(df, cls, v, order_cols, cuts, ties, below)
     if boundary is None:
         if flag:
             return df.withColumn(flag, below)
@@ -174,6 +181,38 @@ def select_smallest(df: DataFrame, cls: str, v: str, order_cols, need,
     return df.filter(below & ~boundary).unionByName(edge.filter(picked).drop("_rk"))
 
 
+def _with_tie_breaks(df: DataFrame, cls: str, v: str, order_cols, cuts: dict, ties: dict,
+                     below: Column) -> DataFrame:
+    """Selection when some class's boundary is one heavily repeated value:
+    among those tied rows, r are chosen in the order of a hash of the whole
+    row (recursively, with the same bounded machinery)."""
+    out = df.filter(below)
+    for c, cut in cuts.items():
+        is_c = F.col(cls) == F.lit(c)
+        if cut.tie:
+            tied = df.filter(is_c & (F.col(v) == F.lit(cut.lo)))
+            row_hash = F.xxhash64(*[F.col(f"`{x}`") for x in df.columns])
+            tied = tied.withColumn("_v2", (row_hash.cast("double") + 2.0 ** 63) / 2.0 ** 64)
+            picked = select_smallest(tied, cls, "_v2", list(order_cols), {c: cut.r})
+            out = out.unionByName(picked.drop("_v2"))
+        elif cut.hi is not None or (cut.r > 0 and math.isfinite(cut.lo)):
+            single = {k: (x if k == c else _Cut(lo=-math.inf, hi=None, r=0)) for k, x in cuts.items()}
+            out = out.unionByName(_boundary_only(df, cls, v, order_cols, single))
+    return out
+
+
+def _boundary_only(df: DataFrame, cls: str, v: str, order_cols, cuts: dict) -> DataFrame:
+    """The ranked boundary rows of the (single) non-tie cut in ``cuts``."""
+    (c, cut), = [(k, x) for k, x in cuts.items() if x.hi is not None or
+                 (x.r > 0 and math.isfinite(x.lo))]
+    bd = (F.col(cls) == F.lit(c)) & (F.col(v) >= F.lit(cut.lo))
+    if cut.hi is not None:
+        bd = bd & (F.col(v) < F.lit(cut.hi))
+    w = Window.partitionBy(cls).orderBy(F.col(v), *[F.col(o) for o in order_cols])
+    return (df.filter(bd).withColumn("_rk", F.row_number().over(w))
+            .filter(F.col("_rk") <= cut.r).drop("_rk"))
+
+
 def class_counts(df: DataFrame, y: str) -> dict:
     """{class: rows} — one small aggregate to the driver."""
     return {r[0]: r[1] for r in df.groupBy(y).count().collect()}

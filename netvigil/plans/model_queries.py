@@ -28,7 +28,8 @@ def _prepared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list, list]:
 
 
 def fitted(spark: SparkSession, sf_dir: str, algorithm: str = "rf"):
-    key = (sf_dir, algorithm)
+    # fitted models are reused within one SparkContext only
+    key = (id(spark.sparkContext), spark.sparkContext.applicationId, sf_dir, algorithm)
     if key not in _FITTED:
         data, nums, cats = _prepared(spark, sf_dir)
         train = data.filter(F.col("split") == "train")

@@ -107,3 +107,22 @@ def test_hash_split_is_stable(spark, sf_dir):
     assert 0 < a.count() < ev.count()
     assert sampling.sample_fraction(ev, 1.0, ["event_id"]).count() == ev.count()
     assert F is not None
+
+
+def test_first_n_with_heavy_ties_is_exact_and_bounded(spark, monkeypatch):
+    # a third of class 0 shares one order value; boundary ranking must not see all of it
+    monkeypatch.setattr(sampling, "MAX_BOUNDARY", 20)
+    monkeypatch.setattr(sampling, "BUCKETS", 8)
+    rows = [(i, 0, 5 if i % 3 == 0 else i) for i in range(300)] + [(1000 + i, 1, i) for i in range(50)]
+    df = spark.createDataFrame(rows, "id long, label int, ts long")
+    out = sampling.first_n_per_class(df, "label", 40, ["ts"])
+    got = out.collect()
+    per = {}
+    for r in got:
+        per.setdefault(r["label"], []).append(r["ts"])
+    assert len(per[0]) == 40 and len(per[1]) == 40
+    # class 0: everything with ts < 5 (ids 1, 2, 4) then 37 of the 100 tied rows at ts = 5
+    assert sorted(per[0])[:3] == [1, 2, 4] and sorted(per[0])[3:] == [5] * 37
+    assert sorted(per[1]) == list(range(40))
+    again = sampling.first_n_per_class(df.repartition(4), "label", 40, ["ts"])
+    assert sorted(r["id"] for r in again.collect()) == sorted(r["id"] for r in got)
