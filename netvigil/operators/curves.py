@@ -35,7 +35,10 @@ def bucket_count(df: DataFrame) -> int:
     size (planning only, no job): one bucket per ``SPLITS_PER_BUCKET``
     splits, at most MAX_BUCKETS.  Small inputs get one bucket and no
     quantile job at all."""
-    splits = df.rdd.getNumPartitions()
+    try:
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view (e.g. a remote session)
+        splits = 1
     return min(MAX_BUCKETS, max(1, math.ceil(splits / SPLITS_PER_BUCKET)))
 
 

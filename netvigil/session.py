@@ -50,7 +50,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     one is always used.  Only when it is unset (local tests) a fresh
     scratch folder is created and registered.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # remote session: the server owns the checkpoint folder
+        return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(
+            prefix="netvigil-ckpt-")
     current = sc.getCheckpointDir()
     if current:
         return current

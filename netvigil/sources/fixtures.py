@@ -18,8 +18,11 @@ def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     (e.g. one file with a single row group) over all cores, hash-partitioned
     on ``key`` (deterministic on task retry).  Large inputs already have
     many splits and are returned unchanged (no shuffle)."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= cores:
+            return df
+    except Exception:  # no RDD view (e.g. a remote session): leave the scan as is
         return df
     return df.repartition(cores, key) if key else df.repartition(cores)
 
