@@ -1,4 +1,9 @@
-"""End-to-end prediction report (M9) as one-row DataFrames."""
+"""End-to-end report compositions (M9, M10) as DataFrames.
+
+Each section of a report is its own small DataFrame (one row, four rows,
+or a bounded curve), computed on the executors; ``write_report`` stores
+them as JSON tables in a folder.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netvigil.functions import vocab
-from netvigil.operators import curves, metrics, threshold
+from netvigil.operators import curves, devices, metrics, threshold
+from netvigil.sinks import reports as sinks
 
 
 def _one_row_join(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -33,3 +39,53 @@ def predict_report(scored: DataFrame, y: str | None = "y", score: str = "score",
         return summary
     m = metrics.metrics_from_counts(curves.score_summary(labelled, y, score, t), "auc")
     return _one_row_join(summary, m)
+
+
+def predict_outputs(scored: DataFrame, y: str | None = "y", score: str = "score",
+                    order_cols=None, threshold_value: float = vocab.THRESHOLD_DEFAULT,
+                    auto_metric: str | None = None) -> dict:
+    """Every section of the prediction report: summary, auto_threshold,
+    metrics, confusion (matrix and share of each true row), roc (thinned
+    arrays + auc) and preview (first 20 predictions and scores)."""
+    out = {}
+    t = threshold_value
+    labelled = scored.filter(F.col(y).isin(0, 1)) if y else None
+    if auto_metric and labelled is not None:
+        best = threshold.best_threshold(labelled, y, score, auto_metric)
+        row = best.first()  # one row
+        if row is not None:
+            t = float(row["threshold"])
+        out["auto_threshold"] = best
+    out["summary"] = predict_report(scored, None, score, t)
+    pred = (F.col(score) >= F.lit(t)).cast("int")
+    if labelled is not None:
+        lab = labelled.withColumn("_pred", pred)
+        out["metrics"] = metrics.metrics_from_counts(curves.score_summary(labelled, y, score, t), "auc")
+        out["confusion"] = sinks.confusion_report(metrics.confusion(lab, y, "_pred"), normalize="true")
+        out["roc"] = sinks.roc_report(curves.roc_curve(labelled, y, score),
+                                      curves.auc(labelled, y, score))
+    order = [c for c in (order_cols or []) if c in scored.columns]
+    head = scored.orderBy(*order) if order else scored
+    out["preview"] = head.limit(vocab.PREVIEW_ROWS).select(
+        pred.alias("prediction"), F.round(score, 6).alias("score"))
+    return out
+
+
+def device_outputs(scored: DataFrame, mode: str = "auto", vendors: DataFrame | None = None,
+                   names: DataFrame | None = None, pred_col: str = "pred") -> dict:
+    """The device table plus the address statistics and the grouping
+    label (both / saddr / daddr)."""
+    _, label = devices.resolve_roles(scored.columns, mode)
+    return {
+        "devices": devices.device_report(scored, mode, vendors=vendors, names=names,
+                                         pred_col=pred_col),
+        "dev_stats": devices.device_stats(scored),
+        "dev_col": scored.sparkSession.range(1).select(F.lit(label).alias("dev_col")),
+    }
+
+
+def write_report(sections: dict, path: str) -> None:
+    """Write every section as a JSON table under ``path/<section>``
+    (NaN / infinity written as NULL)."""
+    for name, df in sections.items():
+        sinks.write_table(df, f"{path.rstrip('/')}/{name}", "json")

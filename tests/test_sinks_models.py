@@ -46,3 +46,28 @@ def test_forest_scores_and_roundtrip(spark, sf_dir):
     a = {r["flow_id"]: r["score"] for r in s.collect()}
     b = {r["flow_id"]: r["score"] for r in mq.model_roundtrip(spark, sf_dir).collect()}
     assert a == b
+
+
+def test_train_and_evaluate_and_report_sections(spark, sf_dir):
+    from netvigil.plans.reports import predict_outputs, write_report
+    from netvigil.plans.training import train_and_evaluate
+    from netvigil.session import scratch_path
+    from netvigil.operators import models
+    from netvigil.sources import fixtures
+
+    flows = fixtures.flows(spark, sf_dir)
+    path = scratch_path(spark, "train")
+    model, result, meta = train_and_evaluate(flows, "attack", ["flow_id"], profile="open",
+                                             num_trees=5, max_depth=4, save_path=path)
+    row = result.first()
+    assert 0.0 <= row["accuracy"] <= 1.0 and row["support_0"] == row["support_1"] > 0
+    assert meta["categorical_cols"] == ["proto", "state"]
+    loaded, meta2 = models.load_model(path)
+    assert meta2["feature_cols"] == meta["feature_cols"]
+    from netvigil.functions.labels import normalize_label
+    scored = models.with_score(loaded, flows).withColumn("y", normalize_label("attack", "open"))
+    out = predict_outputs(scored, "y", "score", order_cols=["pkSeqID", "flow_id"], auto_metric="youden")
+    assert set(out) == {"auto_threshold", "summary", "metrics", "confusion", "roc", "preview"}
+    assert out["preview"].count() == 20
+    assert out["summary"].first()["total_records"] == flows.count()
+    write_report(out, scratch_path(spark, "report"))
