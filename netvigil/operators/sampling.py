@@ -20,6 +20,7 @@ ever sorts a whole class, however large or skewed.
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -308,7 +309,28 @@ def ratio_sample(df: DataFrame, y: str, rows: int, pos_frac: float, key_cols,
     want = rows * pos_frac
     need_pos = int(round(want)) if rounding == "half_even" else int(want)
     need = {1: need_pos, 0: rows - need_pos}
-    return exact_k(df.filter(F.col(y).isin(0, 1)), y, lambda counts: need, key_cols, seed)
+
+    def quota(counts):
+        short = {c: k - counts.get(c, 0) for c, k in need.items() if counts.get(c, 0) < k}
+        if short:
+            warnings.warn(f"not enough rows for the exact target; missing per class: {short}")
+        return need
+
+    return exact_k(df.filter(F.col(y).isin(0, 1)), y, quota, key_cols, seed)
+
+
+def balance_to_class(df: DataFrame, y: str, key_cols, keep_class: int = 0, sample_class: int = 1,
+                     seed: int = vocab.SEED) -> DataFrame:
+    """Every row of ``keep_class`` is kept and ``sample_class`` is
+    sampled down to the same count (an error when it has fewer rows)."""
+    def quota(counts):
+        n_keep, n_sample = counts.get(keep_class, 0), counts.get(sample_class, 0)
+        if n_sample < n_keep:
+            raise ValueError(f"cannot take {n_keep} rows of class {sample_class}: only {n_sample}")
+        return {keep_class: n_keep, sample_class: n_keep}
+
+    return exact_k(df.filter(F.col(y).isin(keep_class, sample_class)), y, quota, key_cols, seed,
+                   classes=(keep_class, sample_class))
 
 
 def first_n_per_class(df: DataFrame, y: str, n: int, order_cols, allow_partial: bool = True
@@ -360,6 +382,13 @@ def sample_fraction(df: DataFrame, frac: float, key_cols, seed: int = vocab.SEED
     return df.filter(hash_unit(hash_text(seed, key_cols)) < F.lit(frac))
 
 
-def dedup_sample(df: DataFrame, frac: float, key_cols, seed: int = vocab.SEED) -> DataFrame:
-    """Drop duplicate rows, then keep a hash fraction."""
-    return sample_fraction(df.dropDuplicates(), frac, key_cols, seed)
+def dedup_sample(df: DataFrame, frac: float, key_cols, seed: int = vocab.SEED,
+                 cap: int | None = None) -> DataFrame:
+    """Drop duplicate rows, keep a hash fraction, and when more than
+    ``cap`` rows remain draw exactly ``cap`` of them (md5 order)."""
+    out = sample_fraction(df.dropDuplicates(), frac, key_cols, seed)
+    if cap is not None:
+        n = out.limit(cap + 1).count()
+        if n > cap:
+            out = sample_n(out, cap, key_cols, seed)
+    return out

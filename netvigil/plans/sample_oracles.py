@@ -48,9 +48,15 @@ SELECT event_id, label, rep FROM r WHERE rn <= 3000""",
     "ratio_sample": f"""WITH {FL}
 SELECT flow_id, label FROM ({_ranked('fl', 'flow_id', 'flow_id')})
 WHERE (label = 1 AND rn <= 3000) OR (label = 0 AND rn <= 7000)""",
-    "holdout": f"""WITH {FL}
-SELECT flow_id, label FROM ({_ranked('fl', 'flow_id', 'flow_id')})
+    "holdout": f"""WITH flows AS ({fixtures.FLOWS_SQL}),
+sm AS (SELECT flow_id, label FROM (SELECT flow_id, {label_sql('small')} AS label FROM flows)
+       WHERE label IS NOT NULL)
+SELECT flow_id, label FROM ({_ranked('sm', 'flow_id', 'flow_id')})
 WHERE (label = 1 AND rn <= 4999) OR (label = 0 AND rn <= 5000)""",
+    "balance_to_class": f"""WITH {EV},
+cnt AS (SELECT count(*) FILTER (WHERE label = 1) AS n_keep FROM ev),
+r AS ({_ranked('ev', 'event_id', 'event_id')})
+SELECT event_id, label FROM r WHERE rn <= (SELECT n_keep FROM cnt)""",
     "first_n_per_class": f"""WITH {EV}
 SELECT event_id, label FROM (
   SELECT event_id, label, row_number() OVER (PARTITION BY label ORDER BY event_id) AS rn FROM ev)

@@ -40,8 +40,19 @@ def ratio_sample(spark, sf_dir):
 
 
 def holdout(spark, sf_dir):
-    return sampling.ratio_sample(_flows(spark, sf_dir), "label", 9999, 0.5, ["flow_id"], seed=SEED,
-                                 rounding="floor")
+    """Holdout labels use the small nine-key map; the positive quota is
+    truncated."""
+    f = fixtures.flows(spark, sf_dir)
+    small = (f.select("flow_id", normalize_label("attack", "small").alias("label"))
+             .filter(F.col("label").isNotNull()))
+    return sampling.ratio_sample(small, "label", 9999, 0.5, ["flow_id"], seed=SEED, rounding="floor")
+
+
+def balance_to_class(spark, sf_dir):
+    """Keep every row of the smaller class (errors) and sample the
+    other class down to the same count."""
+    return sampling.balance_to_class(_events(spark, sf_dir), "label", ["event_id"], keep_class=1,
+                                     sample_class=0, seed=SEED)
 
 
 def first_n_per_class(spark, sf_dir):
@@ -72,6 +83,7 @@ QUERIES = {
     "balance_target": balance_target,
     "ratio_sample": ratio_sample,
     "holdout": holdout,
+    "balance_to_class": balance_to_class,
     "first_n_per_class": first_n_per_class,
     "split_exact": split_exact,
     "split_hash": split_hash,

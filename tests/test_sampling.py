@@ -126,3 +126,22 @@ def test_first_n_with_heavy_ties_is_exact_and_bounded(spark, monkeypatch):
     assert sorted(per[1]) == list(range(40))
     again = sampling.first_n_per_class(df.repartition(4), "label", 40, ["ts"])
     assert sorted(r["id"] for r in again.collect()) == sorted(r["id"] for r in got)
+
+
+def test_balance_to_class_and_dedup_cap(spark, sf_dir):
+    ev = _events(spark, sf_dir)
+    counts = sampling.class_counts(ev, "label")
+    out = sampling.balance_to_class(ev, "label", ["event_id"], keep_class=1, sample_class=0)
+    per = {r[0]: r[1] for r in out.groupBy("label").count().collect()}
+    assert per == {1: counts[1], 0: counts[1]}
+    with pytest.raises(ValueError):
+        sampling.balance_to_class(ev, "label", ["event_id"], keep_class=0, sample_class=1)
+    capped = sampling.dedup_sample(ev.select("label", "event_id"), 0.9, ["event_id"], cap=30)
+    assert capped.count() == 30
+
+
+def test_ratio_sample_warns_on_shortfall(spark, sf_dir):
+    ev = _events(spark, sf_dir)
+    n1 = sampling.class_counts(ev, "label")[1]
+    with pytest.warns(UserWarning):
+        sampling.ratio_sample(ev, "label", 4 * n1, 0.5, ["event_id"])
