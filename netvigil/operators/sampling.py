@@ -246,15 +246,16 @@ def exact_k(df: DataFrame, y: str, need, key_cols, seed: int = vocab.SEED,
         keep = list(need)
     else:
         start, keep = None, list(need) if not callable(need) else list(classes)
-    out = select_smallest(ranked, y, "_v", ["_h", *key_cols], need, start, flag, classes=keep)
-    if flag is None:
-        out = out.filter(F.col(y).isin(keep)) if keep else out.limit(0)
-    # materialise the result in the reliable checkpoint folder (cuts lineage
-    # for the training that usually follows), then release the cache
-    checkpoint_dir(df.sparkSession)
-    out = out.drop("_h", "_v").checkpoint(eager=True)
-    ranked.unpersist()
-    return out
+    try:
+        out = select_smallest(ranked, y, "_v", ["_h", *key_cols], need, start, flag, classes=keep)
+        if flag is None:
+            out = out.filter(F.col(y).isin(keep)) if keep else out.limit(0)
+        # materialise the result in the reliable checkpoint folder (cuts lineage
+        # for the training that usually follows) before the cache is released
+        checkpoint_dir(df.sparkSession)
+        return out.drop("_h", "_v").checkpoint(eager=True)
+    finally:
+        ranked.unpersist()
 
 
 # ------------------------------------------------------------- samplers
