@@ -32,6 +32,7 @@ from netvigil.session import checkpoint_dir
 
 BUCKETS = 1024
 MAX_BOUNDARY = 100_000
+CACHE_MAX_SPLITS = 4096  # ~0.5 TB of input at 128 MB splits
 _HEX_DIGITS = 13  # 52 bits: exact in a double
 
 
@@ -226,18 +227,32 @@ def _start(n: int, k: int) -> float | None:
     return min(1.0, (k + 6 * math.sqrt(k) + 16) / n)
 
 
+def _cache_worthwhile(df: DataFrame) -> bool:
+    """Cache the input of a selection only when it is small enough (by its
+    split count, a planning-only measure).  Large inputs are re-read: each
+    histogram round reads just the label and key columns."""
+    try:
+        return df.rdd.getNumPartitions() <= CACHE_MAX_SPLITS
+    except Exception:  # no RDD view (e.g. a remote session)
+        return False
+
+
 def exact_k(df: DataFrame, y: str, need, key_cols, seed: int = vocab.SEED,
-            counts: dict | None = None, flag: str | None = None, classes=(0, 1)) -> DataFrame:
+            counts: dict | None = None, flag: str | None = None, classes=(0, 1),
+            cache_input: bool | None = None) -> DataFrame:
     """need[c] rows of class c, first in md5 order (all rows when fewer).
 
     ``need`` is a dict or a function of the class counts.  Without known
     counts, the first histogram round spans the whole hash range and also
     yields the counts, so no separate counting pass is made."""
     h = hash_text(seed, key_cols)
-    # the selection reads its input once per histogram round and once more
-    # at the end: keep the hashed rows (memory, spilling to disk) meanwhile
-    ranked = df.withColumn("_h", h).withColumn("_v", hash_unit(F.col("_h"))).persist(
-        StorageLevel.MEMORY_AND_DISK)
+    ranked = df.withColumn("_h", h).withColumn("_v", hash_unit(F.col("_h")))
+    if cache_input is None:
+        cache_input = _cache_worthwhile(df)
+    if cache_input:
+        # read once per histogram round and once more at the end: keep the
+        # hashed rows (memory, spilling to disk) for the duration
+        ranked = ranked.persist(StorageLevel.MEMORY_AND_DISK)
     if counts is not None:
         if callable(need):
             need = need(counts)
@@ -255,7 +270,8 @@ def exact_k(df: DataFrame, y: str, need, key_cols, seed: int = vocab.SEED,
         checkpoint_dir(df.sparkSession)
         return out.drop("_h", "_v").checkpoint(eager=True)
     finally:
-        ranked.unpersist()
+        if cache_input:
+            ranked.unpersist()
 
 
 # ------------------------------------------------------------- samplers

@@ -24,9 +24,10 @@ def _brute(pdf, k_by_class, seed=42):
     return set(pd.concat(out).event_id)
 
 
-def test_exact_k_matches_brute_force(spark, sf_dir):
+@pytest.mark.parametrize("cache_input", [True, False])
+def test_exact_k_matches_brute_force(spark, sf_dir, cache_input):
     ev = _events(spark, sf_dir)
-    got = sampling.exact_k(ev, "label", {0: 123, 1: 45}, ["event_id"])
+    got = sampling.exact_k(ev, "label", {0: 123, 1: 45}, ["event_id"], cache_input=cache_input)
     ids = {r[0] for r in got.select("event_id").collect()}
     assert ids == _brute(ev.toPandas(), {0: 123, 1: 45})
 
