@@ -293,7 +293,7 @@ def device_page(devices: DataFrame, query: str = "", status: str = "",
         filtered.orderBy(*keys).limit(size)
     # the page has at most ``size`` rows, so this window is bounded
     w = Window.orderBy(*keys)
-    out = top.withColumn("row_no", F.row_number().over(w) + F.lit(start))
+    out = top.withColumn("row_no", (F.row_number().over(w) + F.lit(start)).cast("long"))
     checkpoint_dir(devices.sparkSession)
     out = out.checkpoint(eager=True)
     filtered.unpersist()

@@ -311,7 +311,7 @@ def balance_target(df: DataFrame, y: str, k: int, key_cols,
     base = df.filter(F.col(y).isin(0, 1))
     rep = F.when(F.col(y) == minority, F.sequence(F.lit(1), F.lit(max(reps, 1)))).otherwise(
         F.array(F.lit(1)))
-    copies = base.withColumn("rep", F.explode(rep))
+    copies = base.withColumn("rep", F.explode(rep.cast("array<bigint>")))
     new_counts = {minority: n_min * max(reps, 1), majority: counts.get(majority, 0)}
     need = {majority: min(counts.get(majority, 0), k), minority: k if n_min else 0}
     return exact_k(copies, y, need, [*key_cols, "rep"], seed, new_counts)

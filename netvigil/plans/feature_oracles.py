@@ -40,12 +40,12 @@ SELECT flow_id, CAST({_num('attack')} AS INTEGER) AS attack, category,
 FROM flows""",
     "align_features": f"""WITH {FLOWS}
 SELECT flow_id, {_fill('CAST(pkts AS DOUBLE)')} AS pkts, {_fill('CAST(bytes AS DOUBLE)')} AS bytes,
-       0.0 AS dur, {_fill(_num('proto'))} AS proto, {_fill('score')} AS score
+       CAST(0.0 AS DOUBLE) AS dur, {_fill(_num('proto'))} AS proto, {_fill('score')} AS score
 FROM flows""",
     "align_connlog": f"""WITH cl AS ({fixtures.CONNLOG_SQL})
 SELECT uid, {_fill('CAST(id_orig_p AS DOUBLE)')} AS id_orig_p, {_fill('CAST(duration AS DOUBLE)')} AS duration,
        {_fill('CAST(orig_bytes AS DOUBLE)')} AS orig_bytes, {_fill(_num('conn_state'))} AS conn_state,
-       0.0 AS resp_bytes
+       CAST(0.0 AS DOUBLE) AS resp_bytes
 FROM cl""",
     "standardise": """WITH ev AS (SELECT event_id, value, user_id FROM events),
 st AS (SELECT avg(value) AS mv, stddev_pop(value) AS sv, avg(user_id) AS mu, stddev_pop(user_id) AS su

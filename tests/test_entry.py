@@ -29,8 +29,17 @@ def duck(sf_dir):
     return con
 
 
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "float": "FLOAT",
+                 "string": "VARCHAR", "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN"}
+
+
 @pytest.mark.parametrize("name", sorted(E.oracle_sql()))
 def test_query_matches_oracle(spark, sf_dir, duck, name):
-    sp = E.queries()[name](spark, sf_dir).toPandas()
-    dd = duck.execute(E.oracle_sql()[name]).df()
-    assert _canon(sp) == _canon(dd)
+    df = E.queries()[name](spark, sf_dir)
+    rel = duck.execute(E.oracle_sql()[name])
+    duck_types = {d[0]: str(d[1]).upper() for d in rel.description}
+    dd = rel.df()
+    spark_types = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+                   for f in df.schema.fields}
+    assert spark_types == duck_types
+    assert _canon(df.toPandas()) == _canon(dd)
