@@ -44,7 +44,7 @@ def feature_stages(num_cols, cat_cols, scale: bool = False):
 
 def classifier(algorithm: str = "rf", label_col: str = "label", weight_col: str | None = None,
                num_trees: int = 200, max_depth: int = 20, max_iter: int = 2000,
-               layers=None, seed: int = vocab.SEED):
+               layers=None, seed: int = vocab.SEED, reg_param: float = 0.0):
     """M5 random forest / M6 logistic regression / M7 perceptron."""
     if algorithm == "rf":
         rf = RandomForestClassifier(labelCol=label_col, featuresCol="features", numTrees=num_trees,
@@ -55,7 +55,7 @@ def classifier(algorithm: str = "rf", label_col: str = "label", weight_col: str
         return rf
     if algorithm == "lr":
         lr = LogisticRegression(labelCol=label_col, featuresCol="features", maxIter=max_iter,
-                                standardization=False)
+                                standardization=False, regParam=reg_param, elasticNetParam=0.0)
         if weight_col:
             lr.setWeightCol(weight_col)
         return lr
@@ -65,12 +65,32 @@ def classifier(algorithm: str = "rf", label_col: str = "label", weight_col: str
     raise ValueError(f"unknown algorithm {algorithm!r}; use one of {ALGORITHMS}")
 
 
+def l2_reg_param(train: DataFrame, weight_col: str | None, c: float = 1.0) -> float:
+    """MLlib ``regParam`` equal to an L2 penalty with inverse strength ``c``
+    on the summed sample weights: 1 / (c * sum(w))  (one aggregate)."""
+    total = train.agg(F.sum(F.col(weight_col)) if weight_col else F.count(F.lit(1))).first()[0]
+    return 1.0 / (c * float(total)) if total else 0.0
+
+
 def fit_pipeline(train: DataFrame, num_cols, cat_cols, algorithm: str = "rf",
                  label_col: str = "label", scale: bool = False, weight_col: str | None = None,
-                 **params) -> PipelineModel:
+                 encode_on: DataFrame | None = None, **params) -> PipelineModel:
     """Fit encoder + classifier.  For the perceptron the input width is
-    read from the fitted feature stages' output metadata."""
+    taken from the fitted feature stages.  With ``encode_on`` the encoders
+    are fitted on that frame (e.g. the whole table before the split) and
+    the classifier on ``train``.  Logistic regression defaults to the L2
+    penalty with C = 1 (``l2_reg_param``)."""
+    if algorithm == "lr" and "reg_param" not in params:
+        params["reg_param"] = l2_reg_param(train, weight_col, params.pop("c", 1.0))
     stages = feature_stages(num_cols, cat_cols, scale)
+    if encode_on is not None:
+        feat_model = Pipeline(stages=stages).fit(encode_on)
+        if algorithm == "mlp":
+            width = feat_model.transform(train.limit(1)).select("features").first()[0].size
+            params["layers"] = [width, *params.pop("hidden", [128, 64]), 2]
+        clf = classifier(algorithm, label_col, weight_col, **params)
+        fitted = clf.fit(feat_model.transform(train))
+        return PipelineModel(stages=[*feat_model.stages, fitted])
     if algorithm == "mlp":
         feat_model = Pipeline(stages=stages).fit(train)
         width = feat_model.transform(train.limit(1)).select("features").first()[0].size

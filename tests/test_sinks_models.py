@@ -71,3 +71,18 @@ def test_train_and_evaluate_and_report_sections(spark, sf_dir):
     assert out["preview"].count() == 20
     assert out["summary"].first()["total_records"] == flows.count()
     write_report(out, scratch_path(spark, "report"))
+
+
+def test_logistic_l2_and_encode_before_split(spark, sf_dir):
+    from netvigil.operators import models
+    from netvigil.plans.training import train_and_evaluate
+    from netvigil.sources import fixtures
+
+    flows = fixtures.flows(spark, sf_dir)
+    model, result, _ = train_and_evaluate(flows, "attack", ["flow_id"], profile="open",
+                                          algorithm="lr", max_iter=20, encode_before_split=True)
+    lr = model.stages[-1]
+    assert lr.getRegParam() > 0 and lr.getStandardization() is False
+    assert 0.0 <= result.first()["auc"] <= 1.0
+    df = spark.createDataFrame([(1.0, 2.0), (3.0, 4.0)], "a double, w double")
+    assert models.l2_reg_param(df, "w") == 1.0 / 6.0
