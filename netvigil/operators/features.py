@@ -159,3 +159,19 @@ def with_class_weight(df: DataFrame, y: str, out: str = "weight") -> DataFrame:
     for c, v in w.items():
         expr = F.when(F.col(y) == c, F.lit(v)) if expr is None else expr.when(F.col(y) == c, F.lit(v))
     return df.withColumn(out, expr if expr is not None else F.lit(None).cast("double"))
+
+
+def preprocess_connlog(df: DataFrame, label_source: str = "tunnel_parents", out: str = "attack",
+                       drop=None) -> DataFrame:
+    """Conn-log cleaning: keyword label (L7) into ``out``, identifier and
+    text columns dropped (P3), every other column coerced to a number
+    (N1) with NULL -> 0 (N3)."""
+    from netvigil.functions import vocab
+    from netvigil.functions.labels import label_from_keywords
+
+    drop = vocab.DROP_CONNLOG if drop is None else drop
+    labelled = df.withColumn(out, label_from_keywords(q(label_source)))
+    keep = [c for c in labelled.columns if c not in drop and c != out]
+    return labelled.select(*[F.coalesce(to_numeric(labelled, c), F.lit(0.0)).alias(c) for c in keep],
+                           F.col(out))
+

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from netvigil.functions import vocab
 from netvigil.plans.score_oracles import _num, label_sql
 from netvigil.sources import fixtures
 
@@ -63,4 +64,11 @@ nn AS ({_nulls})
 SELECT col_name, n_null FROM nn ORDER BY n_null DESC, col_name LIMIT 10""",
     "value_counts": f"""WITH {FLOWS}
 SELECT category, count(*) AS n FROM flows GROUP BY category ORDER BY n DESC, category NULLS FIRST LIMIT 30""",
+    "connlog_clean": f"""WITH cl AS ({fixtures.CONNLOG_SQL})
+SELECT coalesce(CAST(id_orig_p AS DOUBLE), 0.0) AS id_orig_p, coalesce(CAST(duration AS DOUBLE), 0.0) AS duration,
+       coalesce({_num('conn_state')}, 0.0) AS conn_state, coalesce(CAST(orig_bytes AS DOUBLE), 0.0) AS orig_bytes,
+       CASE WHEN tunnel_parents IS NULL THEN 0 WHEN contains(lower(tunnel_parents), 'benign') THEN 0
+            WHEN {" OR ".join(f"contains(lower(tunnel_parents), '{w}')" for w in vocab.KEYWORD_MALICIOUS)} THEN 1
+            ELSE 0 END AS attack
+FROM cl""",
 }

@@ -72,6 +72,11 @@ def column_summary(spark, sf_dir):
     return pf.column_summary(fixtures.flows(spark, sf_dir))
 
 
+def connlog_clean(spark, sf_dir):
+    """Conn-log preprocessing chain over the conn-log fixture."""
+    return ft.preprocess_connlog(fixtures.connlog(spark, sf_dir))
+
+
 QUERIES = {
     "clean_features": clean_features,
     "prepare_numeric": prepare_numeric,
@@ -83,4 +88,5 @@ QUERIES = {
     "null_profile": null_profile,
     "value_counts": value_counts,
     "column_summary": column_summary,
+    "connlog_clean": connlog_clean,
 }
