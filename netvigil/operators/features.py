@@ -162,16 +162,18 @@ def with_class_weight(df: DataFrame, y: str, out: str = "weight") -> DataFrame:
 
 
 def preprocess_connlog(df: DataFrame, label_source: str = "tunnel_parents", out: str = "attack",
-                       drop=None) -> DataFrame:
+                       drop=None, keep=()) -> DataFrame:
     """Conn-log cleaning: keyword label (L7) into ``out``, identifier and
     text columns dropped (P3), every other column coerced to a number
-    (N1) with NULL -> 0 (N3)."""
+    (N1) with NULL -> 0 (N3).  ``keep`` columns (e.g. a key) are carried
+    through untouched."""
     from netvigil.functions import vocab
     from netvigil.functions.labels import label_from_keywords
 
     drop = vocab.DROP_CONNLOG if drop is None else drop
     labelled = df.withColumn(out, label_from_keywords(q(label_source)))
-    keep = [c for c in labelled.columns if c not in drop and c != out]
-    return labelled.select(*[F.coalesce(to_numeric(labelled, c), F.lit(0.0)).alias(c) for c in keep],
+    feats = [c for c in labelled.columns if c not in drop and c != out and c not in keep]
+    return labelled.select(*[q(k) for k in keep],
+                           *[F.coalesce(to_numeric(labelled, c), F.lit(0.0)).alias(c) for c in feats],
                            F.col(out))
 

@@ -111,6 +111,22 @@ def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows
 
 
+def connlog_class_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conn-log flow: clean (L7/P3/N1/N3), keep every attack row and sample
+    normals to the same count (B6), exact 70/30 split, forest, per-class
+    report (A7, 4 digits) on the held-out rows."""
+    from netvigil.operators import metrics
+    clean = ft.preprocess_connlog(fixtures.connlog(spark, sf_dir), keep=["uid"])
+    bal = sampling.balance_to_class(clean, "attack", ["uid"], keep_class=1, sample_class=0, seed=SEED)
+    split = sampling.stratified_split(bal, "attack", 0.3, ["uid"], seed=SEED, exact=True)
+    feats = ["id_orig_p", "duration", "conn_state", "orig_bytes"]
+    model = models.fit_pipeline(split.filter(F.col("split") == "train"), feats, [], "rf", "attack",
+                                num_trees=30, max_depth=10)
+    scored = models.with_score(model, split.filter(F.col("split") == "test"))
+    pred = scored.withColumn("pred", (F.col("score") >= 0.5).cast("int"))
+    return metrics.class_report(pred, "attack", "pred", digits=4)
+
+
 QUERIES = {
     "rf_score": score_query("rf"),
     "lr_score": score_query("lr"),
@@ -119,4 +135,5 @@ QUERIES = {
     "device_report_model": device_report_model,
     "model_roundtrip": model_roundtrip,
     "model_comparison": model_comparison,
+    "connlog_class_report": connlog_class_report,
 }
