@@ -25,6 +25,10 @@ _nulls = "\n  UNION ALL ".join(
     f"SELECT '{c}' AS col_name, count(*) FILTER (WHERE {c} IS NULL) AS n_null FROM flows"
     for c in FLOW_COLS)
 
+_summary = "\n  UNION ALL ".join(
+    f"SELECT {i} AS position, '{c}' AS col_name, (SELECT typeof({c}) FROM flows LIMIT 1) AS dtype, "
+    f"count({c}) AS non_null FROM flows" for i, c in enumerate(FLOW_COLS))
+
 ORACLES = {
     "clean_features": f"""WITH {FLOWS}
 SELECT flow_id, coalesce(proto, '0') AS proto, coalesce(state, '0') AS state,
@@ -71,4 +75,12 @@ SELECT coalesce(CAST(id_orig_p AS DOUBLE), 0.0) AS id_orig_p, coalesce(CAST(dura
             WHEN {" OR ".join(f"contains(lower(tunnel_parents), '{w}')" for w in vocab.KEYWORD_MALICIOUS)} THEN 1
             ELSE 0 END AS attack
 FROM cl""",
+    "column_summary": f"""WITH {FLOWS},
+n AS (SELECT count(*) AS total FROM flows),
+cols AS ({_summary})
+SELECT CAST(position AS INTEGER) AS position, col_name,
+       CASE dtype WHEN 'BIGINT' THEN 'bigint' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double'
+                  WHEN 'INTEGER' THEN 'int' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(dtype) END AS dtype,
+       non_null, (SELECT total FROM n) AS rows
+FROM cols""",
 }
