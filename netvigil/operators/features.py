@@ -13,8 +13,6 @@ from pyspark.sql import types as T
 
 from netvigil.functions.numeric import finite_or_null, to_numeric, zero_fill
 
-_NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
-            T.DecimalType)
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
