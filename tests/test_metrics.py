@@ -158,3 +158,15 @@ def test_auto_summary_one_pass(spark):
     assert got["total_records"] == n
     assert got["anomalies_detected"] == sum(s >= t for s in scored)
     assert got["normal_records"] == sum(s < t for s in scored)
+
+
+def test_auto_buckets_follow_input_splits(spark, sf_dir):
+    from netvigil.plans.score_queries import labelled_flows
+
+    lf = labelled_flows(spark, sf_dir)
+    wide = lf.repartition(100)
+    assert curves.bucket_count(lf) == 1 and curves.bucket_count(wide) == 4
+    assert curves.auc(wide, "y", "score").first()["auc"] == curves.auc(lf, "y", "score").first()["auc"]
+    a = [tuple(r) for r in curves.roc_curve(wide, "y", "score").orderBy("idx").collect()]
+    b = [tuple(r) for r in curves.roc_curve(lf, "y", "score").orderBy("idx").collect()]
+    assert a == b
