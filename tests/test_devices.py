@@ -85,3 +85,15 @@ def test_vendor_table_fallback(spark, tmp_path):
     p.write_text('{" aa:bb:cc ": "One", "AA:BB:CC": "Two", "11:22:33": "Three"}')
     got = {r["prefix"]: r["vendor"] for r in lookups.vendor_table(spark, str(p)).collect()}
     assert got == {"AA:BB:CC": "Two", "11:22:33": "Three"}
+
+
+def test_device_report_on_minimal_columns(spark):
+    df = spark.createDataFrame([("a", "b", 1), ("a", None, 0), ("c", "b", 0)],
+                               "saddr string, daddr string, pred int")
+    rows = {r["device"]: r for r in dv.device_report(df, "both").collect()}
+    assert set(rows) == {"a", "b", "c"}
+    assert (rows["a"]["total"], rows["a"]["anomalies"], rows["a"]["pkts"]) == (2, 1, 0)
+    assert rows["b"]["status"] == "RED" and rows["c"]["status"] == "GREEN"
+    assert rows["a"]["top_attack"] is None and rows["a"]["smac"] is None and rows["a"]["last_seen"] is None
+    only_src = {r["device"] for r in dv.device_report(df.drop("daddr"), "auto").collect()}
+    assert only_src == {"a", "c"}
