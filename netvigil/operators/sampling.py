@@ -28,11 +28,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netvigil.functions import vocab
+from netvigil.operators.sizing import small_input
 from netvigil.session import checkpoint_dir
 
 BUCKETS = 1024
 MAX_BOUNDARY = 100_000
-CACHE_MAX_SPLITS = 4096  # ~0.5 TB of input at 128 MB splits
 _HEX_DIGITS = 13  # 52 bits: exact in a double
 
 
@@ -227,16 +227,6 @@ def _start(n: int, k: int) -> float | None:
     return min(1.0, (k + 6 * math.sqrt(k) + 16) / n)
 
 
-def _cache_worthwhile(df: DataFrame) -> bool:
-    """Cache the input of a selection only when it is small enough (by its
-    split count, a planning-only measure).  Large inputs are re-read: each
-    histogram round reads just the label and key columns."""
-    try:
-        return df.rdd.getNumPartitions() <= CACHE_MAX_SPLITS
-    except Exception:  # no RDD view (e.g. a remote session)
-        return False
-
-
 def exact_k(df: DataFrame, y: str, need, key_cols, seed: int = vocab.SEED,
             counts: dict | None = None, flag: str | None = None, classes=(0, 1),
             cache_input: bool | None = None) -> DataFrame:
@@ -248,7 +238,7 @@ def exact_k(df: DataFrame, y: str, need, key_cols, seed: int = vocab.SEED,
     h = hash_text(seed, key_cols)
     ranked = df.withColumn("_h", h).withColumn("_v", hash_unit(F.col("_h")))
     if cache_input is None:
-        cache_input = _cache_worthwhile(df)
+        cache_input = small_input(df)
     if cache_input:
         # read once per histogram round and once more at the end: keep the
         # hashed rows (memory, spilling to disk) for the duration
