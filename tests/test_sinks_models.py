@@ -86,3 +86,16 @@ def test_logistic_l2_and_encode_before_split(spark, sf_dir):
     assert 0.0 <= result.first()["auc"] <= 1.0
     df = spark.createDataFrame([(1.0, 2.0), (3.0, 4.0)], "a double, w double")
     assert models.l2_reg_param(df, "w") == 1.0 / 6.0
+
+
+def test_train_target_balanced(spark, sf_dir):
+    from netvigil.plans.training import train_target_balanced
+    from netvigil.sources import fixtures
+
+    flows = fixtures.flows(spark, sf_dir).drop("score")
+    model, result, meta = train_target_balanced(flows, "attack", ["flow_id"], k=400,
+                                                sample_frac=0.9, num_trees=5, max_depth=4)
+    row = result.first()
+    assert 0.0 <= row["accuracy"] <= 1.0 and row["support_0"] > 0 and row["support_1"] > 0
+    assert set(meta["categorical_cols"]) == {"proto", "state", "category"}
+    assert "pkSeqID" not in meta["feature_cols"] and "saddr" not in meta["feature_cols"]
