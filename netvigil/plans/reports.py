@@ -89,3 +89,35 @@ def write_report(sections: dict, path: str) -> None:
     (NaN / infinity written as NULL)."""
     for name, df in sections.items():
         sinks.write_table(df, f"{path.rstrip('/')}/{name}", "json")
+
+
+def evaluate_holdout(spark, parts_path: str, names, model_path: str, out_path: str,
+                     rows: int = 300_000, pos_frac: float = 0.5, skip_files: int = 5,
+                     glob: str = "data_*.csv", key_cols=None) -> dict:
+    """Holdout evaluation: parts after the first ``skip_files`` (all when
+    none are left), labels from the nine-key map, ``rows`` rows with a
+    truncated positive quota, scored with a saved model; writes metrics
+    (JSON and CSV), the confusion matrix with shares of the total and the
+    ROC report under ``out_path``.  Returns the report sections."""
+    from netvigil.functions.labels import normalize_label
+    from netvigil.operators import features, models, sampling
+    from netvigil.sources import csv_parts
+
+    model, meta = models.load_model(model_path)
+    label_col = meta.get("label_col", "attack")
+    parts = csv_parts.read_parts(spark, parts_path, names, glob=glob, skip_files=skip_files)
+    labelled = parts.withColumn("y", normalize_label(label_col, "small")).filter(F.col("y").isNotNull())
+    keys = list(key_cols or [c for c in names if c != label_col])
+    hold = sampling.ratio_sample(labelled, "y", rows, pos_frac, keys, rounding="floor")
+    other = [c for c in hold.columns if c not in meta["numeric_cols"]]
+    x = features.align_features(hold, meta["numeric_cols"], strict_numeric=True, keep=other)
+    scored = models.with_score(model, x)
+    pred = scored.withColumn("_pred", (F.col("score") >= 0.5).cast("int"))
+    sections = {
+        "metrics": metrics.metrics_from_counts(curves.score_summary(scored, "y", "score", 0.5), "auc"),
+        "confusion": sinks.confusion_report(metrics.confusion(pred, "y", "_pred"), normalize="all"),
+        "roc": sinks.roc_report(curves.roc_curve(scored, "y", "score"), curves.auc(scored, "y", "score")),
+    }
+    write_report(sections, out_path)
+    sinks.write_metrics(sections["metrics"], f"{out_path.rstrip('/')}/metrics_csv", fmt="csv")
+    return sections

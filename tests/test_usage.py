@@ -43,3 +43,23 @@ def test_readme_example(spark, sf_dir):
     assert 0 <= metrics_row.first()["accuracy"] <= 1
     assert report["summary"].first()["total_records"] == src.count()
     assert page.count() == 25 and page.first()["row_no"] == 1
+
+
+def test_evaluate_holdout(spark, sf_dir):
+    from netvigil.plans.reports import evaluate_holdout
+    from netvigil.plans.training import train_and_evaluate
+
+    base = scratch_path(spark, "holdout")
+    cols = ["pkSeqID", "flow_id", "proto", "state", "pkts", "bytes", "attack"]
+    src = fixtures.flows(spark, sf_dir).select(*[F.col(c).cast("string") for c in cols])
+    csv_parts.write_parts(src, f"{base}/parts", parts=7, header=True)
+    flows = csv_parts.read_parts(spark, f"{base}/parts", cols, glob="part-*.csv")
+    train_and_evaluate(flows, "attack", ["flow_id"], profile="open", num_trees=5, max_depth=4,
+                       save_path=f"{base}/model")
+    out = evaluate_holdout(spark, f"{base}/parts", cols, f"{base}/model", f"{base}/report",
+                           rows=400, pos_frac=0.5, skip_files=5, glob="part-*.csv",
+                           key_cols=["flow_id"])
+    m = out["metrics"].first()
+    assert m["support_0"] + m["support_1"] <= 400 and m["support_1"] <= 200
+    assert spark.read.option("header", True).csv(f"{base}/report/metrics_csv").count() == 1
+    assert len(out["confusion"].first()["matrix_pct"]) == 2
