@@ -63,3 +63,26 @@ def test_evaluate_holdout(spark, sf_dir):
     assert m["support_0"] + m["support_1"] <= 400 and m["support_1"] <= 200
     assert spark.read.option("header", True).csv(f"{base}/report/metrics_csv").count() == 1
     assert len(out["confusion"].first()["matrix_pct"]) == 2
+
+
+def test_dataset_flows(spark, sf_dir):
+    from netvigil.plans import datasets
+
+    base = scratch_path(spark, "datasets")
+    cols = ["pkSeqID", "flow_id", "proto", "pkts", "attack"]
+    src = fixtures.flows(spark, sf_dir).select(*[F.col(c).cast("string") for c in cols])
+    csv_parts.write_parts(src, f"{base}/parts", parts=3, header=False)
+    test_file = datasets.balanced_test_file(spark, f"{base}/parts", cols, f"{base}/test.csv",
+                                            rows=300, pos_frac=0.3, glob="part-*.csv",
+                                            key_cols=["flow_id"])
+    back = spark.read.option("header", True).csv(f"{base}/test.csv")
+    assert back.count() == 300 == test_file.count()
+    first = datasets.first_n_sample_file(spark, f"{base}/parts", cols, f"{base}/first.csv",
+                                         per_class=50, order_cols=("pkSeqID", "flow_id"),
+                                         glob="part-*.csv")
+    per = {r[0]: r[1] for r in first.groupBy("label").count().collect()}
+    assert per == {0: 50, 1: 50} and "attack" not in first.columns
+    # the test file holds the smallest hashes under seed 42: sample it with another seed
+    frac = datasets.fraction_to_parquet(spark, f"{base}/test.csv", f"{base}/frac.parquet", 0.5,
+                                        key_cols=["flow_id"], seed=7)
+    assert 0 < spark.read.parquet(f"{base}/frac.parquet").count() == frac.count() < 300
