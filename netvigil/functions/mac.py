@@ -6,10 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+WHITESPACE = " \t\n\r\f\v"
+
+
 def strip(c) -> Column:
-    """Trim surrounding whitespace (spaces, tabs, line breaks)."""
+    """Trim surrounding whitespace (spaces, tabs, line breaks); a plain
+    character-set trim, no regular expression per row."""
     col = F.col(c) if isinstance(c, str) else c
-    return F.regexp_replace(col, r"^\s+|\s+$", "")
+    return F.btrim(col, F.lit(WHITESPACE))
 
 
 def mac_prefix(c) -> Column:

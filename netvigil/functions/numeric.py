@@ -23,18 +23,27 @@ def _as_col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+_NUMBER_CHARS = "0123456789.+-e"
+_INF_WORDS = ["inf", "+inf", "infinity", "+infinity"]
+_NEG_INF_WORDS = ["-inf", "-infinity"]
+
+
 def to_numeric_text(c) -> Column:
     """Coerce text to double: bad text -> NULL, 'inf' words -> +/-Infinity.
 
-    Unlike a plain cast it rejects Java-only literals such as ``1d`` or
-    ``1.0f`` and treats ``nan`` as missing.
+    Accepts what ``NUMBER_PATTERN`` describes: the trimmed text may only
+    use digits, '.', signs and 'e' (checked with ``translate``, no regex
+    per row) and must then parse as a double.  Unlike a plain cast it
+    rejects Java-only literals such as ``1d``, ``1.0f`` or hex floats, and
+    treats ``nan`` as missing.
     """
     s = _as_col(c).cast("string")
-    trimmed = F.trim(s)
-    return (F.when(s.rlike(NUMBER_PATTERN), trimmed.try_cast("double"))
-            .when(s.rlike(INF_PATTERN),
-                  F.when(trimmed.startswith("-"), F.lit(float("-inf")))
-                  .otherwise(F.lit(float("inf")))))
+    trimmed = F.btrim(s, F.lit(" \t\n\r\f\v"))
+    low = F.lower(trimmed)
+    plain = (trimmed != "") & (F.translate(low, _NUMBER_CHARS, "") == "")
+    return (F.when(plain, trimmed.try_cast("double"))
+            .when(low.isin(*_INF_WORDS), F.lit(float("inf")))
+            .when(low.isin(*_NEG_INF_WORDS), F.lit(float("-inf"))))
 
 
 def to_numeric(df_or_type, c=None) -> Column:
