@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from netvigil.functions import vocab
+from netvigil.functions.mac import strip
 from netvigil.functions.numeric import to_numeric_text
 
 PROFILES = ("closed", "open", "strict", "named", "botnet", "small")
@@ -60,7 +61,7 @@ def normalize_label(c, profile: str = "named", numeric_input: bool = False) -> C
         key = F.coalesce(F.lower(text), F.lit("nan"))
         return F.coalesce(_map_lookup(vocab.LABELS_CLOSED, key), F.lit(1))
 
-    key = F.lower(F.trim(text))
+    key = F.lower(strip(text))
     if profile == "small":
         return _map_lookup(vocab.LABELS_SMALL, key)
 

@@ -85,3 +85,8 @@ def test_mac_prefix(spark):
 def test_mac_prefix_handles_null_column(spark):
     df = spark.range(1).select(F.lit(None).cast("string").alias("m"))
     assert df.select(mac_prefix("m")).first()[0] is None
+
+
+def test_label_keys_strip_all_whitespace(spark):
+    df = spark.createDataFrame([("\tAttack\n",), (" normal\r",)], "t string")
+    assert [r[0] for r in df.select(normalize_label("t", "open")).collect()] == [1, 0]
