@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from netvigil.functions.mac import strip as strip_ws
+
 EXTRA = "_extra_field"
 _TEXT_OPTS = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
@@ -37,7 +39,7 @@ def header_row(names) -> F.Column:
     """The row repeats the header (trimmed, lower-case) in every field."""
     cond = None
     for n in names:
-        c = F.lower(F.trim(F.col(f"`{n}`"))) == F.lit(n.strip().lower())
+        c = F.lower(strip_ws(F.col(f"`{n}`"))) == F.lit(n.strip().lower())
         cond = c if cond is None else cond & c
     return F.coalesce(cond, F.lit(False))
 
