@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from netvigil.llm import packing, token_counts
+from netvigil.llm import (decontaminate, jaccard_join, license_scan, packing, quality_classifier, quality_rules,
+                         token_counts)
 
 
 def llm_queries():
     """Query per operator."""
     return {
+        "op1_quality_classifier": quality_classifier.op1_quality_classifier,
         "op2_token_counts": token_counts.op2_token_counts,
+        "op3_quality_rules": quality_rules.op3_quality_rules,
+        "op7_license_scan": license_scan.op7_license_scan,
         "op8_best_fit_packing": packing.op8_best_fit_packing,
+        "op9_ngram_jaccard_join": jaccard_join.op9_ngram_jaccard_join,
+        "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
     }
 
 
