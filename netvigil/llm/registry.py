@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from netvigil.llm import (decontaminate, jaccard_join, license_scan, packing, quality_classifier, quality_rules,
+from netvigil.llm import (decontaminate, jaccard_join, license_scan, lm_scoring, packing, quality_classifier, quality_rules,
                          token_counts)
 
 
@@ -12,6 +12,7 @@ def llm_queries():
         "op1_quality_classifier": quality_classifier.op1_quality_classifier,
         "op2_token_counts": token_counts.op2_token_counts,
         "op3_quality_rules": quality_rules.op3_quality_rules,
+        "op6_lm_scoring": lm_scoring.op6_lm_scoring,
         "op7_license_scan": license_scan.op7_license_scan,
         "op8_best_fit_packing": packing.op8_best_fit_packing,
         "op9_ngram_jaccard_join": jaccard_join.op9_ngram_jaccard_join,
