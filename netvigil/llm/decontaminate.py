@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from netvigil.llm.common import table
 from netvigil.llm.license_scan import word_view
-from netvigil.llm.textvec import Texts, Words, grams, pieces, ragged
+from netvigil.llm.textvec import Texts, Words, grams, keep_rows, pieces, ragged
 
 SHINGLE = 5
 MIN_SIMILARITY = 0.8
@@ -147,19 +147,23 @@ class Index:
                 break
         return best
 
+    def matches(self, w: Words) -> dict[tuple[int, int], tuple[float, int, int]]:
+        """Best verified passage by text and item."""
+        rows: dict[tuple[int, int], tuple] = {}
+        for doc, item, start in self.candidates(w).tolist():
+            best = rows.get((doc, item), (0.0,))[0]
+            if best < 1.0:
+                got = self.verify(w, doc, item, start)
+                if got[0] >= self.similarity and got[0] > best:
+                    rows[doc, item] = got
+        return rows
+
 
 def _find(index: Index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in pieces(batches):
             t, w = word_view(p.column("text"))
-            rows: dict[tuple[int, int], tuple] = {}
-            for doc, item, start in index.candidates(w).tolist():
-                if rows.get((doc, item), (0.0,))[0] == 1.0:
-                    continue
-                got = index.verify(w, doc, item, start)
-                if got[0] >= index.similarity and got[0] > rows.get((doc, item), (0.0,))[0]:
-                    rows[doc, item] = got
-            yield _rows(p, index, t, w, rows)
+            yield _rows(p, index, t, w, index.matches(w))
     return run
 
 
@@ -176,37 +180,62 @@ def _rows(p: pa.RecordBatch, index: Index, t: Texts, w: Words, rows: dict) -> pa
         ["doc_id", "item_id", "similarity", "first_word", "n_words", "first_byte", "end_byte"])
 
 
-def item_weights(texts: list, k: int = SHINGLE) -> dict[int, float]:
-    """Weight of each shingle: less if several of the items share it."""
-    count: dict[int, int] = {}
-    maker = Index.__new__(Index)
-    maker.k = k
-    _, w = word_view(pa.array(texts, pa.string()))
-    for a, b in zip(w.off[:-1], w.off[1:]):
-        for s in maker.shingle_set(w.hash[a:b]).tolist():
-            count[s] = count.get(s, 0) + 1
-    return {s: 1.0 / c for s, c in count.items() if c > 1}
+def _item_shingles(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in pieces(batches):
+            index = Index([None] * p.num_rows, p.column("text").to_pylist(), k=k)
+            flat = np.concatenate([*index.shingles, np.zeros(0, np.uint64)])
+            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64))], ["shingle"])
+    return run
+
+
+def benchmark_blocks(benchmark: DataFrame, similarity: float, k: int, radius: int,
+                     block_items: int) -> Iterator[Index]:
+    """Indexes of the benchmark, ``block_items`` items at a time on average.
+
+    A shingle that several items of the whole benchmark share weighs 1 / (their number), others 1.
+    """
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    blocks = -(-items.count() // block_items)
+    shingles = lambda df: df.select("text").mapInArrow(_item_shingles(k), "shingle long")
+    shared = shingles(items).groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    for b in range(blocks):
+        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
+        own = block.collect()
+        weights = {r.shingle % (1 << 64): 1.0 / r.n for r in
+                   shared.join(shingles(block).distinct(), "shingle", "left_semi").collect()}
+        yield Index([r.item_id for r in own], [r.text for r in own], weights, similarity, k, radius)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = MIN_SIMILARITY,
                  k: int = SHINGLE, radius: int = RADIUS, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """One row per document and benchmark item whose passage it holds, with the best passage.
 
-    Items come to the driver ``block_items`` at a time (on average); every block is one pass
-    over the documents.
+    Every block of items is one map-only pass over the documents.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    blocks = -(-items.count() // block_items)
     out = None
-    for b in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        texts = [r.text for r in own]
-        index = Index([r.item_id for r in own], texts, item_weights(texts, k), similarity, k, radius)
+    for index in benchmark_blocks(benchmark, similarity, k, radius, block_items):
         found = rows.mapInArrow(_find(index), OUT)
         out = found if out is None else out.unionByName(found)
-    return out if out is not None else spark.createDataFrame([], OUT)
+    return out if out is not None else docs.sparkSession.createDataFrame([], OUT)
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, similarity: float = MIN_SIMILARITY,
+                    k: int = SHINGLE, radius: int = RADIUS, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that hold no benchmark passage."""
+    def without(index: Index):
+        def clean(p: pa.RecordBatch):
+            _, w = word_view(p.column("text"))
+            mask = np.ones(p.num_rows, bool)
+            mask[[doc for doc, _ in index.matches(w)]] = False
+            return mask
+        return keep_rows(clean)
+
+    schema = docs.schema
+    for index in benchmark_blocks(benchmark, similarity, k, radius, block_items):
+        docs = docs.mapInArrow(without(index), schema)
+    return docs
 
 
 def op10_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from netvigil.llm.common import components, table, written
 from netvigil.llm.textvec import Texts, Words, distinct, grams, in_text, mix, pieces
@@ -91,7 +92,7 @@ def _chain(h: np.ndarray) -> np.uint64:
 class Sketch:
     """Sets of a piece: set id (0 without words), size, MinHash values, shingles by text."""
 
-    def __init__(self, column, k: int):
+    def __init__(self, column, k: int, hashes: int = N_HASH):
         t = Texts(column, lower=True)
         g, doc = shingles(t, k)
         self.n = np.bincount(doc, minlength=t.n)
@@ -107,7 +108,7 @@ class Sketch:
             self.id[own] = mix(a + mix(b + self.n[own].astype(np.uint64)))
             h = (g >> np.uint64(32)).astype(np.uint32)
             v = np.empty_like(h)
-            for j in range(N_HASH):
+            for j in range(hashes):
                 np.bitwise_xor(h, _XOR[j], out=v)
                 np.multiply(v, _MUL[j], out=v)
                 self.sig[own, j] = np.minimum.reduceat(v, at)
@@ -331,12 +332,12 @@ def _tiles(df: DataFrame, *group: str) -> DataFrame:
     return out.repartition(*group, "i", "j").sortWithinPartitions(*group, "i", "j")
 
 
-def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, k: int = K,
-                 tolerance: float = TOLERANCE) -> DataFrame:
-    """One row per document: ``doc_id, class_id, n_links, n_copies``.
+def set_classes(docs: DataFrame, threshold: float = THRESHOLD, k: int = K,
+                tolerance: float = TOLERANCE) -> tuple[DataFrame, DataFrame]:
+    """Rows (``doc_id, set_id``) and distinct sets (``set_id, rep, copies, links, root``), written.
 
-    ``class_id`` is the smallest id among the documents that links connect to it, ``n_links`` the
-    number of other rows linked to it directly, ``n_copies`` the rows with its very shingles.
+    ``rep`` is a set's smallest document id, ``links`` the number of rows with other sets linked
+    to it, ``root`` names the class.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = written(rows.mapInArrow(_sketch_rows(k), "doc_id long, set_id long, size long, sig binary"),
@@ -376,17 +377,45 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, k: int = K,
     links = verified.groupBy("set_id").agg(F.sum("links").alias("links"))
     roots = components(verified.select(F.col("set_id").alias("a"), F.col("parent").alias("b")))
 
-    # classes: one row per set, then per document
     s = (sets.select("set_id", "rep", "copies").join(links, "set_id", "left")
          .join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
          .withColumn("root", F.coalesce("root", "set_id")))
-    s = written(s, "set-classes")
+    return sketches.select("doc_id", "set_id"), written(s, "set-classes")
+
+
+def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, k: int = K,
+                 tolerance: float = TOLERANCE) -> DataFrame:
+    """One row per document: ``doc_id, class_id, n_links, n_copies``.
+
+    ``class_id`` is the smallest id among the documents that links connect to it, ``n_links`` the
+    number of other rows linked to it directly, ``n_copies`` the rows with its very shingles.
+    """
+    rows, s = set_classes(docs, threshold, k, tolerance)
     names = s.groupBy("root").agg(F.min("rep").alias("class_id"))
     s = s.join(names, "root").select(
         "set_id", "class_id", F.col("copies").alias("n_copies"),
         (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return (sketches.select("doc_id", "set_id").join(s, "set_id")
-            .select("doc_id", "class_id", "n_links", "n_copies"))
+    return rows.join(s, "set_id").select("doc_id", "class_id", "n_links", "n_copies")
+
+
+def _with_set_id(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in pieces(batches):
+            yield p.append_column("_set", pa.array(Sketch(p.column("text"), k, 0).id.view(np.int64)))
+    return run
+
+
+def distinct_documents(docs: DataFrame, threshold: float = THRESHOLD, k: int = K,
+                       tolerance: float = TOLERANCE) -> DataFrame:
+    """One row of ``docs``, with all its columns, of each class: that of the smallest id."""
+    _, s = set_classes(docs, threshold, k, tolerance)
+    chosen = s.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "set_id")).alias("c"))
+    chosen = chosen.select(F.col("c.set_id").alias("_set"), F.col("c.rep").alias("_rep"))
+    rows = docs.mapInArrow(_with_set_id(k), T.StructType([*docs.schema.fields]).add("_set", "long"))
+    # both keys, so that a text with very many copies is spread over the tasks
+    kept = rows.join(chosen.withColumnRenamed("_set", "_chosen"),
+                     (F.col("_set") == F.col("_chosen")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_rep")))
+    return kept.dropDuplicates(["_chosen", "_rep"]).select(*docs.columns)
 
 
 def _head(sig: str):

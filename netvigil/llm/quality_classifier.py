@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from netvigil.llm.common import crc_mod, table, written
 from netvigil.llm.quality_rules import SYMBOLS, sigmoid
-from netvigil.llm.textvec import (Texts, Words, distinct, duplicate_lines, in_text, pieces,
-                                  repeated_windows, sums)
+from netvigil.llm.textvec import (Texts, Words, distinct, duplicate_lines, in_text, keep_rows,
+                                  pieces, repeated_windows, sums)
 
 TOWARDS_POOLED = 0.15
 TOWARDS_IDENTITY = 0.05
@@ -152,27 +152,42 @@ def _score_rows(model: Discriminant):
     return run
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, teach=None) -> DataFrame:
-    """``doc_id, score`` of every document; ``teach`` is a condition on the labelled ids to learn from.
-
-    One pass over the texts writes the statistics; the fit and the scores read only those.
-    The driver gets 2 * (statistics + 1)^2 sums.
-    """
+def document_statistics(docs: DataFrame) -> DataFrame:
+    """``doc_id, stats`` of every document: one pass over the texts, written."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    stats = written(rows.mapInArrow(_stats_rows, "doc_id long, stats array<double>"), "doc-stats")
+    return written(rows.mapInArrow(_stats_rows, "doc_id long, stats array<double>"), "doc-stats")
+
+
+def fit(stats: DataFrame, labels: DataFrame, teach=None) -> Discriminant:
+    """Fit on all labelled rows (that ``teach`` allows); the driver gets 2 * (statistics + 1)^2 sums."""
     marked = (labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
               .groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality")))
     if teach is not None:
         marked = marked.where(teach)
-    sums_ = (stats.join(marked, "doc_id").select("quality", "stats")
+    cells = (stats.join(marked, "doc_id").select("quality", "stats")
              .mapInArrow(_moments, "k int, cell int, v double")
              .groupBy("k", "cell").agg(F.sum("v").alias("v")).collect())
     d = N_STATS + 1
     moments = {0: np.zeros(d * d), 1: np.zeros(d * d)}
-    for r in sums_:
+    for r in cells:
         moments[r.k][r.cell] = r.v
-    model = Discriminant({k: m.reshape(d, d) for k, m in moments.items()})
-    return stats.mapInArrow(_score_rows(model), "doc_id long, score double")
+    return Discriminant({k: m.reshape(d, d) for k, m in moments.items()})
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, teach=None) -> DataFrame:
+    """``doc_id, score`` of every document; ``teach`` is a condition on the labelled ids to learn from.
+
+    The fit and the scores read only the written statistics.
+    """
+    stats = document_statistics(docs)
+    return stats.mapInArrow(_score_rows(fit(stats, labels, teach)), "doc_id long, score double")
+
+
+def accepted_documents(docs: DataFrame, model: Discriminant, at: float = PREDICT_AT) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score reaches ``at``."""
+    def kept(p: pa.RecordBatch):
+        return model.score(statistics(Texts(p.column("text")))) >= at
+    return docs.mapInArrow(keep_rows(kept), docs.schema)
 
 
 def op1_quality_classifier(spark, sf_dir: str) -> DataFrame:

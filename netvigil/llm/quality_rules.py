@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netvigil.llm.common import crc_mod, table
-from netvigil.llm.textvec import (Texts, Words, distinct, duplicate_lines, grams, pieces,
+from netvigil.llm.textvec import (Texts, Words, distinct, duplicate_lines, grams, keep_rows, pieces,
                                   repeated_windows, sums)
 
 BITS = 16  # each of the three tables has 2^16 weights
@@ -217,6 +217,14 @@ def quality_rules(docs: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT,
     return rows.mapInArrow(judge(model, keep_at), OUT)
 
 
+def accepted_documents(docs: DataFrame, model: Model | None, keep_at: float = KEEP_AT) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that the rules and the model keep."""
+    def kept(p: pa.RecordBatch):
+        rows = pa.RecordBatch.from_arrays([pa.nulls(p.num_rows, pa.int64()), p.column("text")], ["doc_id", "text"])
+        return np.concatenate([np.asarray(b.column("kept")) for b in judge(model, keep_at)(iter([rows]))])
+    return docs.mapInArrow(keep_rows(kept), docs.schema)
+
+
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
     """Count rules and the model's verdict on every document."""
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

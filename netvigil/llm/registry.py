@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from netvigil.llm import (decontaminate, jaccard_join, license_scan, lm_scoring, packing, quality_classifier, quality_rules,
-                         token_counts)
+from netvigil.llm import (chat_format, decontaminate, jaccard_join, license_scan, lm_scoring, packing, quality_classifier, quality_rules,
+                         token_counts, url_filters)
 
 
 def llm_queries():
@@ -12,6 +12,8 @@ def llm_queries():
         "op1_quality_classifier": quality_classifier.op1_quality_classifier,
         "op2_token_counts": token_counts.op2_token_counts,
         "op3_quality_rules": quality_rules.op3_quality_rules,
+        "op4_chat_formatting": chat_format.op4_chat_formatting,
+        "op5_url_filters": url_filters.op5_url_filters,
         "op6_lm_scoring": lm_scoring.op6_lm_scoring,
         "op7_license_scan": license_scan.op7_license_scan,
         "op8_best_fit_packing": packing.op8_best_fit_packing,
@@ -22,4 +24,7 @@ def llm_queries():
 
 def llm_oracles():
     """DuckDB SQL of the queries that SQL can express."""
-    return {}
+    return {
+        "op4_chat_formatting": chat_format.ORACLE,
+        "op5_url_filters": url_filters.ORACLE,
+    }

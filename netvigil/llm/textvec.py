@@ -215,3 +215,11 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     ends = np.cumsum(lengths)
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
+
+
+def keep_rows(decide):
+    """A mapInArrow function that keeps the rows which ``decide(piece)`` marks (a boolean array)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in pieces(batches):
+            yield p.filter(pa.array(np.asarray(decide(p), bool)))
+    return run
