@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netvigil.llm.common import table
+from netvigil.llm.common import table, written
 from netvigil.llm.textvec import pieces
 from netvigil.llm.tokens import encoder, vocabulary_path
 from netvigil.session import scratch_path
@@ -77,8 +77,9 @@ def token_counts(docs: DataFrame, cache: str, vocabulary: str | None = None,
     (misses.select("digest", "text").mapInArrow(_count(path), "digest binary, n_tokens long")
      .withColumn("version", F.lit(version)).select("digest", "version", "n_tokens")
      .write.mode("append").parquet(cache))
-    counts = (read_cache(spark, cache).where(F.col("version") == version)
-              .groupBy(F.col("digest").alias("_digest")).agg(F.max("n_tokens").alias("n_tokens")))
+    # written, so that the join below reads plain shuffles and a hot digest can be split
+    counts = written(read_cache(spark, cache).where(F.col("version") == version)
+                     .groupBy(F.col("digest").alias("_digest")).agg(F.max("n_tokens").alias("n_tokens")), "counts")
     rows = docs.select(F.col(id_col), *[F.col(c) for c in keep],
                        F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"),
                        content_digest(F.col(text_col)).alias("_digest"))
