@@ -40,8 +40,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternates the large-star and small-star rewrites until the edge list stops changing:
     every round is two shuffles of at most the edge list, no node's neighbours are gathered in
-    memory (minima are map-side combined aggregates) and each round is written to the shared
-    folder.  The root is the smallest id of the component.  Nodes without an edge to another
+    memory (minima are map-side combined aggregates, written so that the joins read plain shuffles
+    and a hub's edges are split over tasks) and each round is written to the shared folder.  The root is the smallest id of the component.  Nodes without an edge to another
     node do not appear.
     """
     spark = edges.sparkSession
@@ -54,11 +54,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(
             F.col("u").alias("k"), F.least("u", "m").alias("m"))
+        low = written(low, "cc-low")
         large = (both.join(low, F.col("u") == F.col("k")).where(F.col("v") > F.col("u"))
                  .select(F.col("v").alias("u"), F.col("m").alias("v")))
         e2 = written(large.where("u != v").distinct(), "cc-large")
         # small star: every neighbour below a node, and the node, to the smallest of them
         low = e2.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
+        low = written(low, "cc-low")
         small = (e2.join(low, F.col("u") == F.col("k"))
                  .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
                  .union(low.select(F.col("k").alias("u"), F.col("m").alias("v"))))
