@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _PINV = np.uint64(pow(int(_P), -1, 1 << 64))
 _C1 = np.uint64(0xFF51AFD7ED558CCD)
@@ -61,6 +61,8 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text",
             stop = max(start + 1, int(np.searchsorted(at, base + limit, "right")))
             yield b.slice(start, stop - start)
             start = stop
+        del b
+        pa.default_memory_pool().release_unused()
 
 
 class Texts:

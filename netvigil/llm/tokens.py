@@ -12,7 +12,7 @@ import numpy as np
 from netvigil.llm.textvec import SPACES, Texts, distinct, ragged
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
-MAX_CACHED_SEGMENTS = 2_000_000  # memory bound of a task's cache; it restarts when full
+MAX_CACHED_SEGMENTS = 1_000_000  # memory bound of a task's cache; it restarts when full
 
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[ord("a"):ord("z") + 1] = 1
