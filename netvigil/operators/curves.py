@@ -3,8 +3,8 @@
 Scores are first reduced to one row per distinct score (pos, neg counts;
 map-side combined).  Running sums in descending score order are then
 computed in two levels: scores are cut into at most ``max_buckets``
-ranges by approximate quantiles (the bucket count grows with the input's
-split count); a per-bucket totals table (bounded by the bucket count) yields each bucket's offset, and a window partitioned
+ranges by approximate quantiles (the bucket count grows with the bytes of
+input); a per-bucket totals table (bounded by the bucket count) yields each bucket's offset, and a window partitioned
 by bucket adds the running sum inside it.  The result is exact — the
 quantiles only decide how work is split.
 """
@@ -16,9 +16,10 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from netvigil.operators.sizing import input_bytes
 from netvigil.session import checkpoint_dir
 
-SPLITS_PER_BUCKET = 32
+BYTES_PER_BUCKET = 256 << 20
 MAX_BUCKETS = 16384
 
 
@@ -31,15 +32,9 @@ def score_counts(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame
 
 
 def bucket_count(df: DataFrame) -> int:
-    """Buckets from the input's split count, which grows with the input
-    size (planning only, no job): one bucket per ``SPLITS_PER_BUCKET``
-    splits, at most MAX_BUCKETS.  Small inputs get one bucket and no
-    quantile job at all."""
-    try:
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # no RDD view (e.g. a remote session)
-        splits = 1
-    return min(MAX_BUCKETS, max(1, math.ceil(splits / SPLITS_PER_BUCKET)))
+    """Buckets from the bytes of input below ``df`` (planner statistics, no job): one per
+    ``BYTES_PER_BUCKET``, at most MAX_BUCKETS."""
+    return min(MAX_BUCKETS, max(1, math.ceil((input_bytes(df) or 0) / BYTES_PER_BUCKET)))
 
 
 def _bucketed(counts: DataFrame, buckets: int | None) -> DataFrame:

@@ -21,6 +21,13 @@ from netvigil.functions import vocab
 ALGORITHMS = ("rf", "lr", "mlp")
 
 
+def _depth(max_depth: int) -> int:
+    """Depth of a forest; Spark's trees end at 30."""
+    if max_depth > 30:
+        raise ValueError(f"max_depth is {max_depth}; Spark's trees have at most 30 levels")
+    return max_depth
+
+
 def feature_stages(num_cols, cat_cols, scale: bool = False):
     """M1/M4 (+M3): index and one-hot the categoricals (an unseen value maps
     to the dropped last slot, i.e. the all-zero vector), assemble with the
@@ -48,7 +55,7 @@ def classifier(algorithm: str = "rf", label_col: str = "label", weight_col: str
     """M5 random forest / M6 logistic regression / M7 perceptron."""
     if algorithm == "rf":
         rf = RandomForestClassifier(labelCol=label_col, featuresCol="features", numTrees=num_trees,
-                                    maxDepth=min(max_depth, 30), seed=seed, cacheNodeIds=True,
+                                    maxDepth=_depth(max_depth), seed=seed, cacheNodeIds=True,
                                     checkpointInterval=10)
         if weight_col:
             rf.setWeightCol(weight_col)

@@ -11,7 +11,7 @@ that order" is done without ranking the whole class:
    (map-side combined; at most ``BUCKETS`` rows per class reach the driver);
 3. every row below the bucket that holds the k-th row is in; that
    boundary bucket is refined the same way until it holds at most
-   ``MAX_BOUNDARY`` rows, and only those rows are ranked with a window.
+   ``MAX_BOUNDARY`` rows (or holds one order value), and only those rows are ranked with a window.
 
 The result is exact (equal to a full ``row_number`` ranking) and no task
 ever sorts a whole class, however large or skewed.
@@ -53,16 +53,16 @@ class _Cut:
     lo: float            # rows with v < lo are all selected
     hi: float | None     # boundary rows: lo <= v < hi (None: no boundary)
     r: int               # how many boundary rows to take
-    tie: bool = False    # boundary rows share one value and are too many to rank
 
 
 def _resolve(df: DataFrame, cls: str, v: str, need, hi0: dict | None,
-             classes=None) -> tuple[dict, dict]:
+             classes=None, max_boundary: int | None = None) -> tuple[dict, dict]:
     """Find, per class, the cut that selects exactly need[c] smallest v.
 
     ``need`` is a dict, or a function of the class counts; then the first
     round covers the whole range and its histogram also gives the counts
     (no separate counting job).  Returns (cuts, need)."""
+    max_boundary = MAX_BOUNDARY if max_boundary is None else max_boundary
     deferred = callable(need)
     keys = list(classes) if deferred else list(need)
     state = {c: {"lo": 0.0, "hi": (hi0 or {}).get(c), "base": 0} for c in keys}
@@ -118,12 +118,9 @@ def _resolve(df: DataFrame, cls: str, v: str, need, hi0: dict | None,
                     nxt = rows[i + 1][2] if i + 1 < len(rows) else st["hi"]
                     if cum + n == k:
                         cuts[c] = _Cut(lo=nxt if nxt is not None else math.inf, hi=None, r=0)
-                    elif n <= MAX_BOUNDARY:
-                        cuts[c] = _Cut(lo=vmin, hi=nxt, r=k - cum)  # small enough to rank
-                    elif vmin == vmax:
-                        # one value held by many rows: resolved by a second,
-                        # hash-distributed selection among the tied rows
-                        cuts[c] = _Cut(lo=vmin, hi=nxt, r=k - cum, tie=True)
+                    elif n <= max_boundary or vmin == vmax:
+                        # few enough to rank, or rows that only the order columns tell apart
+                        cuts[c] = _Cut(lo=vmin, hi=nxt, r=k - cum)
                     else:
                         st["lo"], st["base"] = vmin, cum
                         st["hi"] = nxt if nxt is not None else math.nextafter(vmax, math.inf)
@@ -138,83 +135,43 @@ def _resolve(df: DataFrame, cls: str, v: str, need, hi0: dict | None,
 
 def select_smallest(df: DataFrame, cls: str, v: str, order_cols, need,
                     start_fraction: dict | None = None, flag: str | None = None,
-                    classes=None) -> DataFrame:
+                    classes=None, max_boundary: int | None = None) -> DataFrame:
     """Rows with the need[c] smallest (v, *order_cols) per class c.
 
     ``need`` may be a function of the class counts (see ``_resolve``).
     With ``flag`` every row is returned and the column ``flag`` tells
     whether it was selected (used for splits)."""
-    cuts, _ = _resolve(df, cls, v, need, start_fraction, classes)
-    below = None
-    boundary = None
-    take = None
+    cuts, _ = _resolve(df, cls, v, need, start_fraction, classes, max_boundary)
+    below, edges = F.lit(False), {}
     for c, cut in cuts.items():
         is_c = F.col(cls) == F.lit(c)
-        lo = F.lit(cut.lo) if math.isfinite(cut.lo) else None
         if cut.lo == math.inf:
-            b = is_c
-        elif cut.lo == -math.inf:
-            b = F.lit(False)
-        else:
-            b = is_c & (F.col(v) < lo)
-        below = b if below is None else below | b
-        if cut.hi is not None or (cut.r > 0 and math.isfinite(cut.lo)):
-            bd = is_c & (F.col(v) >= F.lit(cut.lo))
-            if cut.hi is not None:
-                bd = bd & (F.col(v) < F.lit(cut.hi))
-            boundary = bd if boundary is None else boundary | bd
-            t = F.when(is_c, F.lit(cut.r))
-            take = t if take is None else take.when(is_c, F.lit(cut.r))
-    below = below if below is not None else F.lit(False)
-    ties = {c: cut for c, cut in cuts.items() if cut.tie}
-    if ties and not flag:
-        return _with_tie_breaks(df, cls, v, order_cols, cuts, ties, below)
-    if boundary is None:
-        if flag:
-            return df.withColumn(flag, below)
-        return df.filter(below)
-    w = Window.partitionBy(cls).orderBy(F.col(v), *[F.col(o) for o in order_cols])
-    # only boundary rows (at most MAX_BOUNDARY per class) are ranked
-    edge = df.filter(boundary).withColumn("_rk", F.row_number().over(w))
-    picked = F.col("_rk") <= F.coalesce(take, F.lit(0))
+            below = below | is_c
+        elif cut.lo != -math.inf:
+            below = below | (is_c & (F.col(v) < F.lit(cut.lo)))
+            if cut.r > 0:
+                edge = is_c & (F.col(v) >= F.lit(cut.lo))
+                edges[c] = (edge if cut.hi is None else edge & (F.col(v) < F.lit(cut.hi)), cut.r)
+    # Boundary rows are ranked class by class in the whole order.  The literal limit lets every
+    # task drop all but its first r rows before the shuffle.
+    # Rows equal in all order columns are told apart by a hash, equal rows need not be.
+    w = Window.partitionBy(cls).orderBy(F.col(v), *[F.col(o).asc_nulls_last() for o in order_cols],
+                                        F.xxhash64(*[F.col(f"`{x}`") for x in df.columns]))
+    rank = lambda edge: df.filter(edge).withColumn("_rk", F.row_number().over(w))
+    boundary = F.lit(False)
+    for edge, _ in edges.values():
+        boundary = boundary | edge
     if flag:
-        rest = df.filter(~boundary).withColumn(flag, below)
-        return rest.unionByName(edge.withColumn(flag, picked).drop("_rk"))
-    return df.filter(below & ~boundary).unionByName(edge.filter(picked).drop("_rk"))
-
-
-def _with_tie_breaks(df: DataFrame, cls: str, v: str, order_cols, cuts: dict, ties: dict,
-                     below: Column) -> DataFrame:
-    """Selection when some class's boundary is one heavily repeated value:
-    among those tied rows, r are chosen in the order of a hash of the whole
-    row (recursively, with the same bounded machinery)."""
+        out = df.filter(~F.coalesce(boundary, F.lit(False))).withColumn(flag, below)
+        for edge, r in edges.values():
+            out = out.unionByName(rank(edge).withColumn(flag, F.col("_rk") <= r).drop("_rk"))
+        return out
     out = df.filter(below)
-    for c, cut in cuts.items():
-        is_c = F.col(cls) == F.lit(c)
-        if cut.tie:
-            tied = df.filter(is_c & (F.col(v) == F.lit(cut.lo)))
-            row_hash = F.xxhash64(*[F.col(f"`{x}`") for x in df.columns])
-            tied = tied.withColumn("_v2", (row_hash.cast("double") + 2.0 ** 63) / 2.0 ** 64)
-            picked = select_smallest(tied, cls, "_v2", list(order_cols), {c: cut.r})
-            out = out.unionByName(picked.drop("_v2"))
-        elif cut.hi is not None or (cut.r > 0 and math.isfinite(cut.lo)):
-            single = {k: (x if k == c else _Cut(lo=-math.inf, hi=None, r=0)) for k, x in cuts.items()}
-            out = out.unionByName(_boundary_only(df, cls, v, order_cols, single))
+    for edge, r in edges.values():
+        out = out.unionByName(rank(edge).filter(F.col("_rk") <= r).drop("_rk"))
     return out
 
 
-def _boundary_only(df: DataFrame, cls: str, v: str, order_cols, cuts: dict) -> DataFrame:
-    """The ranked boundary rows of the (single) non-tie cut in ``cuts``."""
-    (c, cut), = [(k, x) for k, x in cuts.items() if x.hi is not None or
-                 (x.r > 0 and math.isfinite(x.lo))]
-    bd = (F.col(cls) == F.lit(c)) & (F.col(v) >= F.lit(cut.lo))
-    if cut.hi is not None:
-        bd = bd & (F.col(v) < F.lit(cut.hi))
-    w = Window.partitionBy(cls).orderBy(F.col(v), *[F.col(o) for o in order_cols])
-    return (df.filter(bd).withColumn("_rk", F.row_number().over(w))
-            .filter(F.col("_rk") <= cut.r).drop("_rk"))
-
-
 def class_counts(df: DataFrame, y: str) -> dict:
     """{class: rows} — one small aggregate to the driver."""
     return {r[0]: r[1] for r in df.groupBy(y).count().collect()}
@@ -340,11 +297,12 @@ def balance_to_class(df: DataFrame, y: str, key_cols, keep_class: int = 0, sampl
                    classes=(keep_class, sample_class))
 
 
-def first_n_per_class(df: DataFrame, y: str, n: int, order_cols, allow_partial: bool = True
-                      ) -> DataFrame:
+def first_n_per_class(df: DataFrame, y: str, n: int, order_cols, allow_partial: bool = True,
+                      max_boundary: int | None = None) -> DataFrame:
     """B1: the first n rows of each class in ``order_cols`` order; when a
     class is short, both are cut to the smaller size (or an error without
-    ``allow_partial``); an empty class is an error."""
+    ``allow_partial``); an empty class is an error.  Rows without a value in
+    the first order column come last."""
     counts = class_counts(df, y)
     n0, n1 = counts.get(0, 0), counts.get(1, 0)
     if n0 == 0 or n1 == 0:
@@ -355,12 +313,12 @@ def first_n_per_class(df: DataFrame, y: str, n: int, order_cols, allow_partial:
         n = min(n0, n1)
     first = order_cols[0]
     stats = df.agg(F.min(first).alias("lo"), F.max(first).alias("hi")).first()
-    lo, hi = float(stats["lo"]), float(stats["hi"])
+    lo, hi = (float(stats[k]) if stats[k] is not None else 0.0 for k in ("lo", "hi"))
     span = (hi - lo) or 1.0
     ranked = df.filter(F.col(y).isin(0, 1)).withColumn(
-        "_v", (F.col(first).cast("double") - F.lit(lo)) / F.lit(span * (1 + 1e-9)))
+        "_v", F.coalesce((F.col(first).cast("double") - F.lit(lo)) / F.lit(span * (1 + 1e-9)), F.lit(2.0)))
     out = select_smallest(ranked, y, "_v", list(order_cols), {0: n, 1: n},
-                          {0: None, 1: None})
+                          {0: None, 1: None}, max_boundary=max_boundary)
     return out.drop("_v")
 
 

@@ -1,16 +1,25 @@
-"""Planning-only size decisions shared by operators."""
+"""Size decisions from the planner's file statistics; nothing is run for them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-CACHE_MAX_SPLITS = 4096  # ~0.5 TB of input at 128 MB splits
+CACHE_MAX_BYTES = 512 << 30  # of input files
 
 
-def small_input(df: DataFrame) -> bool:
-    """True when ``df`` has few enough input splits that keeping it in the
-    executors' memory/disk cache is cheaper than reading it again."""
+def input_bytes(df: DataFrame) -> int | None:
+    """Bytes of the files and tables below ``df``, as the planner knows them (no job).
+
+    Counted at the leaves of the logical plan, so a join does not change it; None without
+    access to the plan (e.g. a remote session)."""
     try:
-        return df.rdd.getNumPartitions() <= CACHE_MAX_SPLITS
-    except Exception:  # no RDD view (e.g. a remote session)
-        return False
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    except AttributeError:
+        return None
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
+def small_input(df: DataFrame) -> bool:
+    """True when keeping ``df`` in the executors' cache is cheaper than reading its input again."""
+    n = input_bytes(df)
+    return n is not None and n <= CACHE_MAX_BYTES

@@ -27,7 +27,8 @@ def candidate_index(score: Column, cands: list[float]) -> Column:
     comparisons (candidates are ~i/100), so no per-row loop."""
     arr = F.array(*[F.lit(c) for c in cands])
     n = len(cands)
-    g = F.least(F.greatest(F.floor(score * 100).cast("int"), F.lit(0)), F.lit(n))
+    unit = F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0))  # clamped before the cast: inf, 3e7
+    g = F.least(F.greatest(F.floor(unit * 100).cast("int"), F.lit(0)), F.lit(n))
     a = F.greatest(g - 1, F.lit(0))
 
     def le(i):  # candidate i (1-based) <= score; false beyond the end
@@ -76,8 +77,10 @@ def best_threshold(df: DataFrame, y: str = "y", score: str = "score",
     w = Window.orderBy(F.col(objective).desc(), F.col("threshold").asc())
     # 99 rows: bounded single-partition window
     best = sw.filter(F.col(objective) > -1).withColumn("_r", F.row_number().over(w)).filter("_r = 1")
-    return best.select(F.lit(objective).alias("metric"), "threshold", "precision", "recall_tpr",
-                       "f1", "fpr")
+    one = df.sparkSession.createDataFrame([(objective, 1)], "metric string, _one int")
+    return one.join(best, F.col("_one") == F.col("_r"), "left").select(
+        "metric", F.coalesce("threshold", F.lit(vocab.THRESHOLD_DEFAULT)).alias("threshold"),
+        "precision", "recall_tpr", "f1", "fpr")
 
 
 def auto_summary(df: DataFrame, y: str = "y", score: str = "score",

@@ -20,6 +20,12 @@ def _one_row_join(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.withColumn("_one", F.lit(1)).join(b.withColumn("_one", F.lit(1)), "_one").drop("_one")
 
 
+def predicted(score, t):
+    """1 for a score of at least ``t``; 0 below, and for NULL and NaN (Spark sorts NaN above all)."""
+    s = score.cast("double")
+    return F.coalesce((s >= F.lit(t)) & ~F.isnan(s), F.lit(False)).cast("int")
+
+
 def predict_report(scored: DataFrame, y: str | None = "y", score: str = "score",
                    threshold_value: float = vocab.THRESHOLD_DEFAULT,
                    auto_metric: str | None = None) -> DataFrame:
@@ -30,10 +36,10 @@ def predict_report(scored: DataFrame, y: str | None = "y", score: str = "score",
     labelled = scored.filter(F.col(y).isin(0, 1)) if y else None
     if auto_metric and labelled is not None:
         t = threshold.best_threshold_value(labelled, y, score, auto_metric)
-    pred = (F.col(score) >= F.lit(t)).cast("int")
+    hit = predicted(F.col(score), t) == 1
     summary = scored.agg(F.count(F.lit(1)).alias("total_records"),
-                         F.count_if(pred == 1).alias("anomalies_detected"),
-                         F.count_if(pred != 1).alias("normal_records")).select(
+                         F.count_if(hit).alias("anomalies_detected"),
+                         F.count_if(~hit).alias("normal_records")).select(
         "*", F.lit(t).alias("threshold"), F.lit(True).alias("has_proba"))
     if labelled is None:
         return summary
@@ -57,7 +63,7 @@ def predict_outputs(scored: DataFrame, y: str | None = "y", score: str = "score"
             t = float(row["threshold"])
         out["auto_threshold"] = best
     out["summary"] = predict_report(scored, None, score, t)
-    pred = (F.col(score) >= F.lit(t)).cast("int")
+    pred = predicted(F.col(score), t)
     if labelled is not None:
         lab = labelled.withColumn("_pred", pred)
         out["metrics"] = metrics.metrics_from_counts(curves.score_summary(labelled, y, score, t), "auc")

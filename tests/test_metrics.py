@@ -160,13 +160,34 @@ def test_auto_summary_one_pass(spark):
     assert got["normal_records"] == sum(s < t for s in scored)
 
 
-def test_auto_buckets_follow_input_splits(spark, sf_dir):
+def test_auto_buckets_follow_input_bytes(spark, sf_dir, monkeypatch):
+    from netvigil.operators.sizing import input_bytes
     from netvigil.plans.score_queries import labelled_flows
 
     lf = labelled_flows(spark, sf_dir)
-    wide = lf.repartition(100)
-    assert curves.bucket_count(lf) == 1 and curves.bucket_count(wide) == 4
-    assert curves.auc(wide, "y", "score").first()["auc"] == curves.auc(lf, "y", "score").first()["auc"]
-    a = [tuple(r) for r in curves.roc_curve(wide, "y", "score").orderBy("idx").collect()]
+    assert curves.bucket_count(lf) == 1
+    one = curves.auc(lf, "y", "score").first()["auc"]
     b = [tuple(r) for r in curves.roc_curve(lf, "y", "score").orderBy("idx").collect()]
-    assert a == b
+    monkeypatch.setattr(curves, "BYTES_PER_BUCKET", input_bytes(lf) // 4 + 1)
+    assert curves.bucket_count(lf) == 4
+    assert curves.auc(lf, "y", "score").first()["auc"] == one
+    assert [tuple(r) for r in curves.roc_curve(lf, "y", "score").orderBy("idx").collect()] == b
+
+
+def test_threshold_edges(spark):
+    rows = [(1, float("inf")), (0, 3e7), (0, -5.0), (1, 0.7), (0, 0.2), (1, None), (0, float("nan"))]
+    df = spark.createDataFrame(rows, "y int, score double")
+    sw = {r["threshold"]: r for r in threshold.sweep(df, "y", "score").collect()}
+    for t, r in sw.items():
+        s = [(y, x) for y, x in rows if x is not None and x == x]
+        assert (r["tp"], r["fp"]) == (sum(y and x >= t for y, x in s), sum(not y and x >= t for y, x in s))
+    one = spark.createDataFrame([(0, 1.0)] * 5, "y int, score double")
+    assert [r["threshold"] for r in threshold.best_threshold(one, "y", "score", "youden").collect()] == [0.5]
+
+
+def test_summary_counts_rows_without_a_score_as_normal(spark):
+    from netvigil.plans.reports import predict_report
+
+    df = spark.createDataFrame([(1, 0.9), (0, 0.1), (0, None), (0, float("nan"))], "y int, score double")
+    r = predict_report(df, None, "score", 0.5).first()
+    assert (r["total_records"], r["anomalies_detected"], r["normal_records"]) == (4, 1, 3)

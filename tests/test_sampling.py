@@ -146,3 +146,21 @@ def test_ratio_sample_warns_on_shortfall(spark, sf_dir):
     n1 = sampling.class_counts(ev, "label")[1]
     with pytest.warns(UserWarning):
         sampling.ratio_sample(ev, "label", 4 * n1, 0.5, ["event_id"])
+
+
+@pytest.mark.parametrize("limit", [20, 100_000])
+def test_first_n_same_rows_at_every_size(spark, limit):
+    rows = [(i, 0, 5 if i % 2 else None, (i * 37) % 101) for i in range(200)] + [(300 + i, 1, i, 0) for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, label int, ts long, part long")
+    for n in (40, 85):
+        got = sampling.first_n_per_class(df, "label", n, ["ts", "part", "id"], max_boundary=limit).collect()
+        for c in (0, 1):
+            own = sorted((r for r in rows if r[1] == c), key=lambda r: (r[2] is None, r[2] or 0, r[3], r[0]))[:n]
+            assert sorted(r["id"] for r in got if r["label"] == c) == sorted(r[0] for r in own)
+
+
+def test_first_n_of_equal_rows_ends(spark, monkeypatch):
+    df = spark.createDataFrame([(c, 1) for c in (0, 1) for _ in range(100)], "label int, ts long")
+    assert sampling.first_n_per_class(df, "label", 20, ["ts"], max_boundary=10).count() == 40
+    nulls = spark.createDataFrame([(c, None) for c in (0, 1) for _ in range(9)], "label int, ts long")
+    assert sampling.first_n_per_class(nulls, "label", 4, ["ts"]).count() == 8
