@@ -178,11 +178,13 @@ def roc_curve(df: DataFrame, y: str = "y", score: str = "score", drop_intermedia
                .withColumn("idx", F.col("koff") + F.row_number().over(w))
                .withColumn("threshold", F.col("score"))
                .select("idx", *cols))
-    origin = r.filter(F.col("idx") == 0).select(
-        F.lit(0).cast("long").alias("idx"), F.lit(None).cast("double").alias("threshold"),
-        F.lit(0).cast("long").alias("fps"), F.lit(0).cast("long").alias("tps"),
-        "tot_pos", "tot_neg")
-    allp = pts.unionByName(origin)
+    # the first point also emits the origin, so the curve is computed once
+    point = F.struct(F.col("idx").cast("long").alias("idx"), F.col("threshold").cast("double").alias("threshold"),
+                     F.col("fps").cast("long").alias("fps"), F.col("tps").cast("long").alias("tps"))
+    zero = F.struct(F.lit(0).cast("long").alias("idx"), F.lit(None).cast("double").alias("threshold"),
+                    F.lit(0).cast("long").alias("fps"), F.lit(0).cast("long").alias("tps"))
+    allp = pts.select(F.explode(F.when(F.col("idx") == 1, F.array(zero, point)).otherwise(F.array(point)))
+                      .alias("p"), "tot_pos", "tot_neg").select("p.*", "tot_pos", "tot_neg")
     return allp.select(
         F.col("idx").cast("long").alias("idx"), "threshold",
         F.when(F.col("tot_neg") > 0, F.col("fps") / F.col("tot_neg")).alias("fpr"),

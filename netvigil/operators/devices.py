@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from netvigil.functions import vocab
 from netvigil.functions.mac import mac_prefix, strip
-from netvigil.functions.numeric import safe_ratio, to_numeric, zero_fill
+from netvigil.functions.numeric import safe_ratio, to_numeric, to_numeric_text, zero_fill
 from netvigil.session import checkpoint_dir
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -33,27 +33,37 @@ DEFAULT_MAC_SALTS = 1
 
 
 # ------------------------------------------------------------------ roles
+_WANTED = {"src": ("src",), "dst": ("dst",), "both": ("src", "dst")}
+
+
 def resolve_roles(columns, mode: str = "auto", src_col: str = "saddr", dst_col: str = "daddr"):
     """Which address columns become devices.
 
-    ``mode`` is one of auto/src/dst/both (anything else means auto).  Returns
-    ``([(role, column), ...], dev_col_label)``; raises when no usable column.
+    ``mode`` names the wanted roles; auto (and any other word) wants those whose column is there.
+    Returns ``([(role, column), ...], label)``, the label naming the column, or 'both' when two
+    roles were wanted; raises when no wanted column is there.
     """
-    mode = (mode or "auto").lower()
-    if mode not in vocab.DEVICE_MODES:
-        mode = "auto"
-    has_s, has_d = src_col in columns, dst_col in columns
-    include_src = mode in ("src", "both") or (mode == "auto" and has_s)
-    include_dst = mode in ("dst", "both") or (mode == "auto" and has_d)
-    roles = []
-    if include_src and has_s:
-        roles.append(("src", src_col))
-    if include_dst and has_d:
-        roles.append(("dst", dst_col))
+    address = {"src": src_col, "dst": dst_col}
+    present = [role for role, col in address.items() if col in columns]
+    wanted = _WANTED.get((mode or "auto").lower(), present)
+    roles = [(role, address[role]) for role in wanted if role in present]
     if not roles:
         raise ValueError(f"no {src_col}/{dst_col} columns to group")
-    label = "both" if (include_src and include_dst) else (src_col if include_src else dst_col)
-    return roles, label
+    return roles, address[wanted[0]] if len(wanted) == 1 else "both"
+
+
+def _time_order(df: DataFrame, name: str) -> Column:
+    """Sort key of a time column: text holding numbers sorts as numbers, before it other text."""
+    if isinstance(df.schema[name].dataType, T.StringType):
+        return F.struct(to_numeric_text(F.col(name)), F.col(name))
+    return F.col(name)
+
+
+def _latest(df: DataFrame, name: str) -> Column:
+    """The largest value by ``_time_order``, in the column's own type."""
+    if isinstance(df.schema[name].dataType, T.StringType):
+        return F.max_by(name, _time_order(df, name))
+    return F.max(name)
 
 
 def _amount(df: DataFrame, name: str) -> Column:
@@ -85,7 +95,7 @@ def explode_roles(df: DataFrame, mode: str = "auto", src_col: str = "saddr",
              opt("ltime", "timestamp"), opt("smac"), opt("dmac"),
              (F.col(attack_col).cast("string") if attack_col else F.lit(None).cast("string"))
              .alias("attack")]
-    carry += [F.col(c).alias(f"_o_{i}") for i, c in enumerate(order_cols)]
+    carry += [_time_order(df, c).alias(f"_o_{i}") for i, c in enumerate(order_cols)]
 
     if len(roles) == 1:
         role, col = roles[0]
@@ -119,10 +129,10 @@ def device_rollup(long: DataFrame, with_top_attack: bool = True) -> DataFrame:
                   .agg(F.count(F.lit(1)).alias("n_all"),
                        F.count_if(F.col("pred") == 1).alias("n_anom"),
                        F.sum("pkts").alias("pkts"), F.sum("bytes").alias("bytes"),
-                       F.max("ltime").alias("last_seen")))
+                       _latest(long, "ltime").alias("last_seen")))
     aggs = [F.sum("n_all").alias("total"), F.sum("n_anom").alias("anomalies"),
             F.sum("pkts").alias("pkts"), F.sum("bytes").alias("bytes"),
-            F.max("last_seen").alias("last_seen")]
+            _latest(per_attack, "last_seen").alias("last_seen")]
     if with_top_attack:
         # most frequent name among predicted anomalies, else among all rows;
         # ties go to the smallest name

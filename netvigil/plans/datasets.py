@@ -55,9 +55,10 @@ def first_n_sample_file(spark: SparkSession, parts_path: str, names, out_path: s
 def fraction_to_parquet(spark: SparkSession, path: str, out_path: str, frac: float = 0.05,
                         key_cols=None, seed: int = vocab.SEED) -> DataFrame:
     """B4 + S7 + K2: tolerant read of CSV files with their own header
-    (rows with too many fields skipped), a hash fraction kept, written as
+    (rows with too many fields skipped, short ones padded), a hash fraction kept, written as
     Parquet."""
-    raw = spark.read.option("header", True).option("mode", "DROPMALFORMED").csv(path)
+    names = spark.read.option("header", True).csv(path).columns
+    raw = csv_parts.read_csv_with_header(spark, path, names)
     keys = list(key_cols or raw.columns)
     out = sampling.sample_fraction(raw, frac, keys, seed)
     sinks.write_table(out, out_path, "parquet")

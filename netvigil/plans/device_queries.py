@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from netvigil.functions.mac import mac_prefix
 from netvigil.operators import devices as dv
+from netvigil.plans import reports
 from netvigil.sources import fixtures, lookups
 
 THRESHOLD = 0.5
@@ -14,7 +15,7 @@ THRESHOLD = 0.5
 
 def scored_flows(spark: SparkSession, sf_dir: str, threshold: float = THRESHOLD) -> DataFrame:
     f = fixtures.flows(spark, sf_dir)
-    return f.withColumn("pred", (F.col("score") >= F.lit(threshold)).cast("int"))
+    return f.withColumn("pred", reports.predicted(F.col("score"), threshold))
 
 
 _ROLLUP_COLS = ["device", "total", "anomalies", "anomaly_rate", "status", "pkts", "bytes",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netvigil.functions import vocab
@@ -53,11 +53,7 @@ def standardise(spark, sf_dir):
 def class_weights(spark, sf_dir):
     f = fixtures.flows(spark, sf_dir)
     y = f.select(normalize_label("attack", "open").alias("label")).filter("label IS NOT NULL")
-    counts = y.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    # one row per class: a bounded window
-    every = Window.partitionBy()
-    return counts.withColumn("weight", F.sum("n").over(every).cast("double")
-                             / (F.count(F.lit(1)).over(every) * F.col("n")))
+    return ft.with_class_weight(y, "label").groupBy("label", "weight").agg(F.count(F.lit(1)).alias("n"))
 
 
 def null_profile(spark, sf_dir):

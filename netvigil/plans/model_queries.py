@@ -1,4 +1,4 @@
-"""Model-based queries (M1-M10, K7): rows-only checks, no SQL oracle."""
+"""Model-based queries."""
 
 from __future__ import annotations
 
@@ -15,7 +15,6 @@ from netvigil.sources import fixtures, lookups
 
 SEED = 42
 TRAIN_CAP = 300_000  # rows per class used for training
-_FITTED: dict = {}
 
 
 def _prepared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list, list]:
@@ -23,28 +22,23 @@ def _prepared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list, list]:
     f = f.withColumn("label", normalize_label("attack", "open")).filter(F.col("label").isin(0, 1))
     x, nums, cats = ft.clean_features(f, "attack", vocab.DROP_BALANCED, vocab.CATEGORICAL_BALANCED,
                                       keep=["flow_id", "label"])
-    x = x.drop("label_y") if "label_y" in x.columns else x
     return sampling.stratified_split(x, "label", 0.3, ["flow_id"], seed=SEED), nums, cats
 
 
 def fitted(spark: SparkSession, sf_dir: str, algorithm: str = "rf"):
-    # fitted models are reused within one SparkContext only
-    key = (id(spark.sparkContext), spark.sparkContext.applicationId, sf_dir, algorithm)
-    if key not in _FITTED:
-        data, nums, cats = _prepared(spark, sf_dir)
-        train = data.filter(F.col("split") == "train")
-        train = sampling.balance_min(train, "label", ["flow_id"], cap=TRAIN_CAP, seed=SEED)
-        params = {"rf": dict(num_trees=30, max_depth=10),
-                  "lr": dict(max_iter=100),
-                  "mlp": dict(max_iter=50, hidden=[128, 64])}[algorithm]
-        weight = None
-        if algorithm == "lr":
-            train = ft.with_class_weight(train, "label")
-            weight = "weight"
-        model = models.fit_pipeline(train, [c for c in nums if c != "label"], cats, algorithm,
-                                    "label", scale=(algorithm == "mlp"), weight_col=weight, **params)
-        _FITTED[key] = (model, nums, cats)
-    return _FITTED[key]
+    data, nums, cats = _prepared(spark, sf_dir)
+    train = data.filter(F.col("split") == "train")
+    train = sampling.balance_min(train, "label", ["flow_id"], cap=TRAIN_CAP, seed=SEED)
+    params = {"rf": dict(num_trees=30, max_depth=10),
+              "lr": dict(max_iter=100),
+              "mlp": dict(max_iter=50, hidden=[128, 64])}[algorithm]
+    weight = None
+    if algorithm == "lr":
+        train = ft.with_class_weight(train, "label")
+        weight = "weight"
+    model = models.fit_pipeline(train, [c for c in nums if c != "label"], cats, algorithm,
+                                "label", scale=(algorithm == "mlp"), weight_col=weight, **params)
+    return model, nums, cats
 
 
 def score_query(algorithm: str):
@@ -54,7 +48,7 @@ def score_query(algorithm: str):
         test = data.filter(F.col("split") == "test")
         s = models.with_score(model, test)
         return s.select("flow_id", "label", F.round("score", 6).alias("score"),
-                        (F.col("score") >= 0.5).cast("int").alias("pred"))
+                        reports.predicted(F.col("score"), 0.5).alias("pred"))
     run.__name__ = f"{algorithm}_score"
     return run
 
@@ -76,22 +70,41 @@ def device_report_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, _, _ = ft.clean_features(f, "attack", vocab.DROP_BALANCED, vocab.CATEGORICAL_BALANCED,
                                 keep=carry)
     scored = models.with_score(model, x, out="model_score")
-    pred = scored.withColumn("pred", (F.col("model_score") >= 0.5).cast("int"))
+    pred = scored.withColumn("pred", reports.predicted(F.col("model_score"), 0.5))
     from netvigil.operators import devices as dv
     return dv.device_report(pred, "both", vendors=lookups.vendor_table(spark))
 
 
 def model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K7: save the fitted pipeline with metadata, load it back, score."""
+    """K7: save the fitted pipeline with metadata, load it back, score with both: rows scored, rows
+    whose score differs, and the label column that the metadata names."""
     model, nums, cats = fitted(spark, sf_dir, "rf")
     path = scratch_path(spark, "model")
     models.save_model(model, {"label_col": "label", "numeric_cols": nums,
                               "categorical_cols": cats, "drop_cols": vocab.DROP_BALANCED}, path)
     loaded, meta = models.load_model(path)
     data, _, _ = _prepared(spark, sf_dir)
-    s = models.with_score(loaded, data.filter(F.col("split") == "test"))
-    return s.select("flow_id", F.round("score", 6).alias("score"),
-                    F.lit(meta.get("label_col")).alias("label_col"))
+    test = data.filter(F.col("split") == "test")
+    first = models.with_score(model, test).select("flow_id", F.col("score").alias("before"))
+    again = models.with_score(loaded, test).select(F.col("flow_id").alias("id"), "score")
+    return first.join(again, F.col("flow_id") == F.col("id")).agg(
+        F.count(F.lit(1)).alias("rows_scored"),
+        F.count_if(~F.col("before").eqNullSafe(F.col("score"))).alias("rows_different"),
+        F.lit(meta.get("label_col")).alias("label_col"))
+
+
+def score_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1-M8: per model, the held-out rows, those of class 1, and those with a score from 0 to 1."""
+    data, _, _ = _prepared(spark, sf_dir)
+    test = data.filter(F.col("split") == "test")
+    rows = None
+    for algo in ("rf", "lr", "mlp"):
+        s = models.with_score(fitted(spark, sf_dir, algo)[0], test)
+        one = s.agg(F.count(F.lit(1)).alias("rows_scored"), F.count_if(F.col("label") == 1).alias("attacks"),
+                    F.count_if(F.col("score").between(0, 1)).alias("in_unit")).select(
+            F.lit(algo).alias("model"), "*")
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
 
 
 def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +136,7 @@ def connlog_class_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = models.fit_pipeline(split.filter(F.col("split") == "train"), feats, [], "rf", "attack",
                                 num_trees=30, max_depth=10)
     scored = models.with_score(model, split.filter(F.col("split") == "test"))
-    pred = scored.withColumn("pred", (F.col("score") >= 0.5).cast("int"))
+    pred = scored.withColumn("pred", reports.predicted(F.col("score"), 0.5))
     return metrics.class_report(pred, "attack", "pred", digits=4)
 
 
@@ -134,6 +147,7 @@ QUERIES = {
     "predict_report": predict_report,
     "device_report_model": device_report_model,
     "model_roundtrip": model_roundtrip,
+    "score_ranges": score_ranges,
     "model_comparison": model_comparison,
     "connlog_class_report": connlog_class_report,
 }

@@ -51,8 +51,8 @@ def predict_outputs(scored: DataFrame, y: str | None = "y", score: str = "score"
                     order_cols=None, threshold_value: float = vocab.THRESHOLD_DEFAULT,
                     auto_metric: str | None = None) -> dict:
     """Every section of the prediction report: summary, auto_threshold,
-    metrics, confusion (matrix and share of each true row), roc (thinned
-    arrays + auc) and preview (first 20 predictions and scores)."""
+    metrics, confusion (matrix and share of each true row), roc (all
+    points + auc) and preview (first 20 predictions and scores)."""
     out = {}
     t = threshold_value
     labelled = scored.filter(F.col(y).isin(0, 1)) if y else None
@@ -70,11 +70,17 @@ def predict_outputs(scored: DataFrame, y: str | None = "y", score: str = "score"
         out["confusion"] = sinks.confusion_report(metrics.confusion(lab, y, "_pred"), normalize="true")
         out["roc"] = sinks.roc_report(curves.roc_curve(labelled, y, score),
                                       curves.auc(labelled, y, score))
+    out["preview"] = preview(scored, score, t, order_cols)
+    return out
+
+
+def preview(scored: DataFrame, score: str = "score", t: float = vocab.THRESHOLD_DEFAULT,
+            order_cols=None, keep=()) -> DataFrame:
+    """O3: the first 20 predictions and scores in ``order_cols`` order, beside the ``keep`` columns."""
     order = [c for c in (order_cols or []) if c in scored.columns]
     head = scored.orderBy(*order) if order else scored
-    out["preview"] = head.limit(vocab.PREVIEW_ROWS).select(
-        pred.alias("prediction"), F.round(score, 6).alias("score"))
-    return out
+    return head.limit(vocab.PREVIEW_ROWS).select(
+        *keep, predicted(F.col(score), t).alias("prediction"), F.round(score, 6).alias("score"))
 
 
 def device_outputs(scored: DataFrame, mode: str = "auto", vendors: DataFrame | None = None,
@@ -118,7 +124,7 @@ def evaluate_holdout(spark, parts_path: str, names, model_path: str, out_path: s
     other = [c for c in hold.columns if c not in meta["numeric_cols"]]
     x = features.align_features(hold, meta["numeric_cols"], strict_numeric=True, keep=other)
     scored = models.with_score(model, x)
-    pred = scored.withColumn("_pred", (F.col("score") >= 0.5).cast("int"))
+    pred = scored.withColumn("_pred", predicted(F.col("score"), 0.5))
     sections = {
         "metrics": metrics.metrics_from_counts(curves.score_summary(scored, "y", "score", 0.5), "auc"),
         "confusion": sinks.confusion_report(metrics.confusion(pred, "y", "_pred"), normalize="all"),

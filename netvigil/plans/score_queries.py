@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from netvigil.functions.labels import label_from_keywords, normalize_label
 from netvigil.functions.numeric import to_numeric_text, zero_fill
 from netvigil.operators import curves, metrics, threshold
+from netvigil.plans import reports
 from netvigil.sources import fixtures
 
 THRESHOLD = 0.5
@@ -18,7 +19,7 @@ def labelled_flows(spark: SparkSession, sf_dir: str, profile: str = "open",
     """Flows with y (label profile, unmappable rows dropped) and pred."""
     f = fixtures.flows(spark, sf_dir)
     return (f.withColumn("y", normalize_label("attack", profile)).filter(F.col("y").isNotNull())
-            .withColumn("pred", (F.col("score") >= F.lit(t)).cast("int")))
+            .withColumn("pred", reports.predicted(F.col("score"), t)))
 
 
 def label_query(profile: str):
@@ -96,9 +97,8 @@ def predict_summary(spark, sf_dir):
 def preview(spark, sf_dir):
     """O3: first 20 predictions and scores in flow order (top-k, no global sort)."""
     f = fixtures.flows(spark, sf_dir)
-    return (f.orderBy("ltime", "pkSeqID", "flow_id").limit(20)
-            .select("flow_id", (F.col("score") >= THRESHOLD).cast("int").alias("pred"),
-                    F.round("score", 6).alias("score")))
+    return reports.preview(f, "score", THRESHOLD, ["ltime", "pkSeqID", "flow_id"],
+                           keep=["flow_id"]).withColumnRenamed("prediction", "pred")
 
 
 QUERIES = {

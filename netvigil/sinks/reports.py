@@ -1,8 +1,8 @@
 """Report writers (K1-K6, K9): every writer is a distributed DataFrame write.
 
 Values that are NaN or infinite are written as NULL (JSON has no such
-numbers).  Array-valued reports are built only from bounded inputs (the
-2x2 confusion matrix, a curve thinned to at most ``ROC_MAX_POINTS``).
+numbers).  The only array-valued report is the 2x2 confusion matrix; a
+curve is written as a long table.
 """
 
 from __future__ import annotations
@@ -11,9 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netvigil.functions import vocab
 from netvigil.functions.numeric import finite_or_null, round_half_even
-from netvigil.operators import curves
 
 
 def null_nonfinite(df: DataFrame) -> DataFrame:
@@ -68,16 +66,14 @@ def confusion_report(confusion_long: DataFrame, normalize: str = "all", digits:
         F.array(F.array(r(tn, d0), r(fp, d0)), F.array(r(fn, d1), r(tp, d1))).alias("matrix_pct"))
 
 
-def roc_report(roc: DataFrame, auc_row: DataFrame, max_points: int = vocab.ROC_MAX_POINTS) -> DataFrame:
-    """K6: one row {fpr[], tpr[], thresholds[], auc} from the thinned curve
-    (at most ``max_points`` points, so the arrays are bounded)."""
-    thin = curves.thin_curve(roc, max_points)
-    pts = thin.agg(F.array_sort(F.collect_list(F.struct("idx", "fpr", "tpr", "threshold"))).alias("p"))
-    j = pts.withColumn("_one", F.lit(1)).join(auc_row.withColumn("_one", F.lit(1)), "_one")
-    return j.select(F.transform("p", lambda s: s["fpr"]).alias("fpr"),
-                    F.transform("p", lambda s: s["tpr"]).alias("tpr"),
-                    F.transform("p", lambda s: s["threshold"]).alias("thresholds"),
-                    finite_or_null(F.col("auc")).alias("auc"))
+def roc_report(roc: DataFrame, auc_row: DataFrame) -> DataFrame:
+    """K6: every point of the curve (idx, threshold, fpr, tpr) with the AUC beside it.
+
+    A long table, so that its size has no bound; charts thin it with ``curves.thin_curve``.
+    """
+    one = auc_row.select(finite_or_null(F.col("auc")).alias("auc"))
+    return (roc.select("idx", "threshold", "fpr", "tpr").withColumn("_one", F.lit(1))
+            .join(F.broadcast(one.withColumn("_one", F.lit(1))), "_one").drop("_one"))  # one row
 
 
 def write_json_row(row_df: DataFrame, path: str) -> None:
