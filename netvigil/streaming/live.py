@@ -17,13 +17,14 @@ from pyspark.sql import functions as F
 from netvigil.functions import vocab
 from netvigil.functions.numeric import safe_ratio
 from netvigil.operators.devices import explode_roles
+from netvigil.plans.reports import predicted
 
 
 def rollup_stream(flows: DataFrame, threshold: float = vocab.THRESHOLD_DEFAULT,
                   mode: str = "both", score_col: str = "score",
                   watermark: str | None = None) -> DataFrame:
     """Streaming per-device totals (A12) from a streaming flow frame."""
-    scored = flows.withColumn("pred", (F.col(score_col) >= F.lit(threshold)).cast("int"))
+    scored = flows.withColumn("pred", predicted(F.col(score_col), threshold))
     long = explode_roles(scored, mode)
     if watermark:
         long = long.withWatermark("ltime", watermark)
