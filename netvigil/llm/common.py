@@ -35,6 +35,36 @@ def crc_mod(col: str, n: int):
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % n
 
 
+FILTER_BITS = 1 << 24
+
+
+def _place(key):
+    return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+
+
+def key_filter(keys: DataFrame) -> DataFrame:
+    """One-hash Bloom filter over the only column of ``keys``, written: ``_word, _bits``.
+
+    At most ``FILTER_BITS / 64`` (262,144) rows, whatever the input, so it may be broadcast.
+    """
+    at = _place(keys[keys.columns[0]])
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+    return written(keys.select(F.shiftright(at, 6).alias("_word"), bit.alias("_bit"))
+                   .groupBy("_word").agg(F.bit_or("_bit").alias("_bits")), "key-filter")
+
+
+def marked(rows: DataFrame, key, words: DataFrame) -> DataFrame:
+    """``rows`` with ``_maybe``: false only if ``key`` is certainly not among the filter's keys.
+
+    Nothing is shuffled.  It spares a join's shuffle the rows that match nothing; with more keys
+    than the filter can tell apart, more rows go through that exact join and the result is the same.
+    """
+    at = _place(key)
+    hit = F.getbit("_bits", at.bitwiseAND(F.lit(63)).cast("int")) == 1
+    return (rows.join(F.broadcast(words), F.shiftright(at, 6) == F.col("_word"), "left")
+            .withColumn("_maybe", F.coalesce(hit, F.lit(False))).drop("_word", "_bits"))
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of an edge list ``a, b`` (long or string ids): ``node, root``.
 

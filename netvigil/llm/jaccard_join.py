@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netvigil.llm.common import components, table, written
+from netvigil.llm.common import components, key_filter, marked, table, written
 from netvigil.llm.textvec import Texts, Words, distinct, grams, in_text, mix, pieces
 
 K = 5
@@ -368,7 +368,10 @@ def set_classes(docs: DataFrame, threshold: float = THRESHOLD, k: int = K,
         F.ceil(F.count("*") / CLASS_CHUNK), F.ceil(F.sum("size") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
     wanted = (own.join(weight, "root").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
               .select("rep", "root", "chunk", "chunks", "copies", F.col("node").alias("set_id")))
-    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).drop("doc_id", "rep")
+    wanted = written(wanted, "wanted")
+    # texts that certainly stand for no wanted set are left out before the shuffle
+    texts = (marked(rows, F.col("doc_id"), key_filter(wanted.select("rep"))).where("_maybe").drop("_maybe")
+             .join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).drop("doc_id", "rep"))
     payload = texts.mapInArrow(_set_rows(k), (
         "root long, chunk int, chunks int, copies long, set_id long, sig binary, shingles binary"))
     full = schedule([32, 64, 96, 128, N_HASH], threshold, tolerance)
@@ -407,15 +410,31 @@ def _with_set_id(k: int):
 
 def distinct_documents(docs: DataFrame, threshold: float = THRESHOLD, k: int = K,
                        tolerance: float = TOLERANCE) -> DataFrame:
-    """One row of ``docs``, with all its columns, of each class: that of the smallest id."""
-    _, s = set_classes(docs, threshold, k, tolerance)
-    chosen = s.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "set_id")).alias("c"))
-    chosen = chosen.select(F.col("c.set_id").alias("_set"), F.col("c.rep").alias("_rep"))
-    rows = docs.mapInArrow(_with_set_id(k), T.StructType([*docs.schema.fields]).add("_set", "long"))
+    """One row of ``docs``, with all its columns, of each class: that of the smallest id.
+
+    Rows whose id is certainly in no class of several rows stay as they are; texts of the others
+    only are shuffled, to keep one row of each class.
+    """
+    ids, s = set_classes(docs, threshold, k, tolerance)
+    classes = written(s.groupBy("root").agg(
+        F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "set_id")).alias("c"),
+        F.sum("copies").alias("n")), "classes")
+    # ids of rows in classes of several: found over set ids by a filter too, so that a set with
+    # very many copies meets in no task
+    several = s.join(classes.where("n > 1").select("root"), "root", "left_semi").select("set_id")
+    repeated = marked(ids, F.col("set_id"), key_filter(several)).where("_maybe").select("doc_id")
+    doubtful = key_filter(repeated)
+    doc_id = F.col("doc_id").cast("long")
+    flagged = marked(docs, doc_id, doubtful)
+    clear = flagged.where(~F.col("_maybe")).select(*docs.columns)
+
+    chosen = classes.select(F.col("c.set_id").alias("_chosen"), F.col("c.rep").alias("_rep"))
+    chosen = marked(chosen, F.col("_rep"), doubtful).where("_maybe").drop("_maybe")
+    rows = (flagged.where("_maybe").select(*docs.columns)
+            .mapInArrow(_with_set_id(k), T.StructType([*docs.schema.fields]).add("_set", "long")))
     # both keys, so that a text with very many copies is spread over the tasks
-    kept = rows.join(chosen.withColumnRenamed("_set", "_chosen"),
-                     (F.col("_set") == F.col("_chosen")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_rep")))
-    return kept.dropDuplicates(["_chosen", "_rep"]).select(*docs.columns)
+    kept = rows.join(chosen, (F.col("_set") == F.col("_chosen")) & doc_id.eqNullSafe(F.col("_rep")))
+    return clear.unionByName(kept.dropDuplicates(["_chosen", "_rep"]).select(*docs.columns))
 
 
 def _head(sig: str):

@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from netvigil.llm import (chat_format, decontaminate, jaccard_join, license_scan, lm_scoring, packing,
+from netvigil.llm import (chat_format, common, decontaminate, jaccard_join, license_scan, lm_scoring, packing,
                           quality_classifier, quality_rules, token_counts, url_filters)
 from netvigil.llm.common import components, crc_mod, table
 from netvigil.llm.tokens import encoder, vocabulary_path
@@ -397,6 +397,31 @@ def test_jaccard_join_odd(spark):
     assert jaccard_join.distinct_documents(empty_docs(spark)).count() == 0
 
 
+@pytest.mark.parametrize("bits", [1 << 24, 64])
+def test_distinct_documents_odd(spark, monkeypatch, bits):
+    """One row of each class, repeated and NULL ids too; a full key filter changes nothing."""
+    monkeypatch.setattr(common, "FILTER_BITS", bits)
+    d = odd_docs(spark)
+    rows = [(r.doc_id, r.text) for r in d.collect()]
+    classes = brute_classes(rows)
+    named = {c for _, c, _ in classes if c is not None}
+    kept = jaccard_join.distinct_documents(d)
+    got = kept.collect()
+    assert kept.columns == d.columns
+    assert sorted(r.doc_id for r in got if r.doc_id is not None) == sorted(named)
+    assert [r.text for r in got if r.doc_id is None] == ["only null id"]
+
+
+def test_key_filter(spark):
+    keys = spark.createDataFrame([(i,) for i in [*range(0, 400, 4), None]], "k long")
+    rows = spark.createDataFrame([(i,) for i in [*range(400), None]], "k long")
+    got = common.marked(rows, F.col("k"), common.key_filter(keys)).where("_maybe")
+    found = {r.k for r in got.collect()}
+    assert found >= {*range(0, 400, 4), None} and len(found) < 110
+    none = common.marked(rows, F.col("k"), common.key_filter(keys.limit(0)))
+    assert none.where("_maybe").count() == 0 and none.count() == 401
+
+
 def test_pruning_bound():
     n, t, tol = 64, 0.8, 1e-6
     m = jaccard_join.least_matches(n, t, tol)
