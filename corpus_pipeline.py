@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from netvigil.llm import decontaminate, jaccard_join, packing, quality_classifier
 from netvigil.llm import quality_rules as rules
-from netvigil.llm.common import table, written
+from netvigil.llm.common import key_filter, marked, table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -30,9 +30,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def quality_classification(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: documents that the quadratic discriminant rejects go."""
     all_docs, labels = _labelled(spark, sf_dir)
-    marked = all_docs.join(labels.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id") == F.col("_id"),
-                           "left_semi")
-    model = quality_classifier.fit(quality_classifier.document_statistics(marked), labels)
+    # statistics of labelled rows (and of a few others, which the fit's join drops); no text is shuffled
+    taught = marked(all_docs, F.col("doc_id").cast("long"), key_filter(labels.select(F.col("doc_id").cast("long"))))
+    model = quality_classifier.fit(quality_classifier.document_statistics(taught.where("_maybe")), labels)
     return quality_classifier.accepted_documents(docs.select(*COLUMNS), model)
 
 
