@@ -1,12 +1,12 @@
 """Operator 10, benchmark decontamination with SimHash windows.
 
-Windows are sized by the benchmark item: W is the largest power of two so that every passage
-similar enough to the item must contain a clean run of 2W - 1 words.  The item's windows start
-at every word, a document's at every W-th, so one of the document's windows equals one of the
-item's.  Windows are compared by 64-bit SimHash: the fingerprint is cut into radius + 1 blocks,
+Windows are sized by the benchmark item's words and shingle weights: W is the largest power of two
+so that every passage similar enough to the item, edited anywhere or cut off by the document's ends,
+must contain 2W - 1 of the item's words in a run.  The item's windows start at every word, a
+document's at every W-th, so one of the document's windows equals one of the item's.  Windows are compared by 64-bit SimHash: the fingerprint is cut into radius + 1 blocks,
 and two fingerprints within the radius agree in one block at least, so no pair inside the radius
 is missed.  Candidates are verified exactly: weighted Jaccard similarity of word shingles between
-the item and the aligned item-sized passage.
+the item and every item-sized passage that can hold the window.
 
 The benchmark is a stated query set: it is taken in blocks of bounded size, each against all
 documents in a map-only pass.  A document is never shuffled.
@@ -38,22 +38,36 @@ OUT = ("doc_id long, item_id long, similarity double, first_word long, n_words l
        "first_byte long, end_byte long")
 
 
-def clean_run(words: int, similarity: float, k: int) -> int:
-    """Least length of the longest unchanged run in a passage that is still similar enough.
+def similar_in_runs(run: int, words: int, weights: np.ndarray, distinct: np.ndarray, shared: np.ndarray,
+                    similarity: float, k: int) -> bool:
+    """Whether a passage whose runs of the item's words are all at most ``run`` long may be similar.
 
-    Each change inside costs up to ``k`` shingles on either side of the quotient; changes at
-    the ends cost fewer, so one word at an end is given away.
+    ``weights`` are the item's shingle weights in order, ``distinct`` those of its distinct shingles,
+    ``shared`` the words (up to k - 1) that a run from each of the item's words may share with the
+    run before, as they are repeated in the item.  A similar passage keeps ``similarity`` of the
+    item's weight, whatever else it holds and wherever the document cuts it off.  In ``p`` runs it
+    keeps no more than ``p`` times the heaviest run, and, as it has at most the item's words, a run
+    needs ``k - 1`` words beside its shingles.
     """
-    shingles = max(1, words - k + 1)
-    changes = int(shingles * (1 - similarity) / ((1 + similarity) * k))
-    at_end = 1 if shingles * (1 - similarity) >= 1 + similarity else 0
-    return max(1, (words - max(changes, at_end)) // (changes + 1))
-
-
-def window_size(words: int, similarity: float, k: int) -> int:
-    """Largest power of two W with 2W - 1 words in every clean run."""
+    length = min(run - k + 1, len(weights))
+    if length < 1:
+        return False
+    run_sums = np.concatenate([[0.0], np.cumsum(weights)])
+    heaviest = (run_sums[length:] - run_sums[:-length]).max()
+    top = np.concatenate([[0.0], np.cumsum(np.sort(distinct)[::-1])])
+    p = np.arange(1, words + 1)
+    saved = np.cumsum(np.concatenate([[0], np.sort(shared)[::-1]]))[p - 1]
+    room = words - p * (k - 1) + saved
+    shingles = np.clip(np.minimum(p * length, room), 0, len(distinct))
+    return bool((np.minimum(p * heaviest, top[shingles]) >= similarity * top[-1] - 1e-9).any())
+
+
+def window_size(words: int, weights: np.ndarray, distinct: np.ndarray, shared: np.ndarray,
+                similarity: float, k: int) -> int:
+    """Largest power of two W so that every similar passage has a run of 2W - 1 of the item's words."""
     w = 1
-    while 2 * (2 * w) - 1 <= clean_run(words, similarity, k):
+    while 4 * w - 1 <= words and (words <= k or not similar_in_runs(4 * w - 2, words, weights, distinct, shared,
+                                                                      similarity, k)):
         w *= 2
     return w
 
@@ -76,7 +90,7 @@ class Index:
         self.shingles = [self.shingle_set(w.hash[a:b]) for a, b in zip(w.off[:-1], w.off[1:])]
         self.weights = weights or {}
         self.classes = []
-        size = np.array([window_size(int(n), similarity, k) if n else 0 for n in w.count])
+        size = np.array([self.stride(w.hash[a:b]) for a, b in zip(w.off[:-1], w.off[1:])])
         for width in sorted(set(size.tolist()) - {0}):
             own = np.flatnonzero(size == width)
             n = w.count[own] - width + 1
@@ -102,6 +116,22 @@ class Index:
         g, _ = grams(h, np.zeros(len(h), np.int8), min(self.k, len(h)))
         return np.unique(g)
 
+    def stride(self, h: np.ndarray) -> int:
+        """Window size of the item with these word hashes, 0 without words."""
+        n = len(h)
+        if n == 0:
+            return 0
+        zero = np.zeros(n, np.int8)
+        g, _ = grams(h, zero, min(self.k, n))
+        each, inv = np.unique(g, return_inverse=True)
+        weights = np.array([self.weights.get(x, 1.0) for x in each.tolist()])
+        shared = np.zeros(n, np.int64)
+        for o in range(1, min(self.k, n + 1)):
+            part, at = grams(h, zero, o)
+            _, back, times = np.unique(part, return_inverse=True, return_counts=True)
+            shared[at[times[back] > 1]] = o
+        return window_size(n, weights[inv], weights, shared, self.similarity, self.k)
+
     def candidates(self, w: Words) -> np.ndarray:
         """Distinct (text, item, start word) rows whose windows are within the radius."""
         found = []
@@ -126,34 +156,56 @@ class Index:
     def weighted(self, shingles: np.ndarray) -> float:
         return sum(self.weights.get(s, 1.0) for s in shingles.tolist())
 
-    def verify(self, w: Words, doc: int, item: int, start: int) -> tuple[float, int, int]:
-        """Best weighted similarity of an item-sized passage around the alignment: similarity,
-        first word, words."""
+    def verify(self, w: Words, doc: int, item: int, least: int, most: int) -> tuple[float, int, int]:
+        """Best weighted similarity of an item-sized passage that starts from word ``least`` to
+        ``most``: similarity, first word, words.
+
+        Only passages with enough of the item's weight, repeated shingles counted each time, are
+        compared exactly.
+        """
         length, target = int(self.length[item]), self.shingles[item]
         base, n = int(w.off[doc]), int(w.count[doc])
-        slack = 1 + length // 45
+        k = min(self.k, length)
+        start = np.arange(max(least, 1 - length), min(most, n - 1) + 1)
+        lo, hi = np.maximum(start, 0), np.minimum(start + length, n)
+        first, last = int(lo[0]), int(hi[-1])
+        g, _ = grams(w.hash[base + first:base + last], np.zeros(last - first, np.int8), k)
+        at = np.minimum(np.searchsorted(target, g), len(target) - 1)
+        weight = np.array([self.weights.get(x, 1.0) for x in target.tolist()])
+        total = weight.sum()
+        held = np.concatenate([[0.0], np.cumsum(np.where(target[at] == g, weight[at], 0.0))])
+        bound = held[np.maximum(hi - first - k + 1, lo - first).clip(0, len(g))] - held[(lo - first).clip(0, len(g))]
+        likely = np.flatnonzero(bound >= self.similarity * total - 1e-9)
         best = (0.0, 0, 0)
-        for s in sorted(range(start - slack, start + slack + 1), key=lambda x: abs(x - start)):
-            lo, hi = max(0, s), min(n, s + length)
-            if hi <= lo:
-                continue
-            own = self.shingle_set(w.hash[base + lo:base + hi])
-            both = np.intersect1d(own, target, assume_unique=True)
-            common = self.weighted(both)
+        for i in likely[np.argsort(-bound[likely], kind="stable")].tolist():
+            if bound[i] / total < best[0]:
+                break
+            a, b = int(lo[i]), int(hi[i])
+            own = self.shingle_set(w.hash[base + a:base + b])
+            common = self.weighted(np.intersect1d(own, target, assume_unique=True))
             sim = common / (self.weighted(own) + self.weighted(target) - common)
             if sim > best[0]:
-                best = (sim, lo, hi - lo)
+                best = (sim, a, b - a)
             if sim == 1.0:
                 break
         return best
 
     def matches(self, w: Words) -> dict[tuple[int, int], tuple[float, int, int]]:
-        """Best verified passage by text and item."""
+        """Best verified passage by text and item: all passages that can hold a candidate's window."""
         rows: dict[tuple[int, int], tuple] = {}
-        for doc, item, start in self.candidates(w).tolist():
+        c = self.candidates(w)
+        if not len(c):
+            return rows
+        size = self.length[c[:, 1]]
+        new = np.ones(len(c), bool)
+        new[1:] = (c[1:, :2] != c[:-1, :2]).any(1) | (c[1:, 2] - c[:-1, 2] > 2 * size[1:])
+        first = np.flatnonzero(new)
+        last = np.concatenate([first[1:], [len(c)]]) - 1
+        for (doc, item, start), end in zip(c[first].tolist(), c[last, 2].tolist()):
             best = rows.get((doc, item), (0.0,))[0]
             if best < 1.0:
-                got = self.verify(w, doc, item, start)
+                n = int(self.length[item])
+                got = self.verify(w, doc, item, start - n, end + n)
                 if got[0] >= self.similarity and got[0] > best:
                     rows[doc, item] = got
         return rows

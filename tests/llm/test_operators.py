@@ -477,6 +477,32 @@ def test_decontamination_against_all_windows(spark):
     assert docs[18][1].encode()[r.first_byte:r.end_byte].decode() == items[3][1]
 
 
+def test_decontamination_at_every_alignment(spark):
+    """Edits near the ends, passages cut off by the document's ends and stems that items share."""
+    rng = random.Random(7)
+    docs = []
+    stem = [f"stem{j}" for j in range(12)]
+    items = [(n, [f"i{n}w{j}" for j in range(n)]) for n in (16, *range(32, 37))]
+    items += [(100 + i, stem + [f"s{i}w{j}" for j in range(20)]) for i in range(4)]
+    items += [(200, [f"r{j % 9}" if j % 3 else f"q{j}" for j in range(34)])]
+    for _, w in items:
+        n = len(w)
+        forms = [(w, True), (w[:2] + ["new"] + w[3:], True), (w[:-3] + ["new"] + w[-2:], True),
+                 (w[:n // 2] + ["new"] + w[n // 2:], True), (w[6:] if n > 30 else w[2:], True),
+                 (w[:12] + ["new"] + w[13:], True)]
+        forms += [(w[:-c], False) for c in range(1, 7)]
+        for form, after in forms:
+            for at in range(16):
+                docs.append((len(docs), " ".join([f"x{rng.randint(0, 99)}" for _ in range(at)] + form + ["end"] * (9 * after))))
+        docs += [(len(docs) + c, " ".join(w[c:] + ["end"] * 5)) for c in range(1, 7)]
+    items = [(i, " ".join(w)) for i, w in items]
+    want = brute_passages(docs, items)
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"),
+                                     spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, round(r.similarity, 9)) for r in got} == want
+    assert len(want) > 900
+
+
 # ---- pipeline -------------------------------------------------------------------------------
 
 def test_pipeline(spark, texts):
