@@ -304,6 +304,28 @@ def test_lm_odd(spark):
     assert lm_scoring.lm_scores(odd_docs(spark), F.lit(False)).where("n_known = 0").count() == 15
 
 
+def test_lm_codes_texts_not_words(spark):
+    """Shuffling a held-out text's words lowers its score and leaves the base score."""
+    rng = random.Random(8)
+    words = [f"{x}{y}" for x in "kar lom tis ve".split() for y in "an od ur il es".split()]
+    after = {w: rng.sample(words, 3) for w in words}
+
+    def prose(n):
+        w = [rng.choice(words)]
+        while len(w) < n:
+            w.append(rng.choice(after[w[-1]]))
+        return w
+    rows = [(i, " ".join(prose(80)), True) for i in range(60)]
+    for i in range(100, 112):
+        w = prose(80)
+        rows += [(i, " ".join(w), False), (-i, " ".join(rng.sample(w, len(w))), False)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, taught boolean")
+    out = {r.doc_id: r for r in lm_scoring.lm_scores(docs, F.col("taught")).collect()}
+    for i in range(100, 112):
+        assert out[-i].base_score == pytest.approx(out[i].base_score)
+        assert out[-i].score < 1.2 * out[i].score
+
+
 def test_license_phrases_and_spans(spark, texts):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     got = as_dict(license_scan.op7_license_scan(spark, SF), "n_words", "n_base", "first_word", "last_word", "base_labels")
