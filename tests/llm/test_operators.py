@@ -326,6 +326,28 @@ def test_lm_codes_texts_not_words(spark):
         assert out[-i].score < 1.2 * out[i].score
 
 
+def test_lm_counts_keep_contexts_apart(spark, docs, texts):
+    """Every context of the corpus has its own exact counts, joined or held alike."""
+    streams = docs.mapInArrow(lambda it: lm_scoring._streams(
+        b.append_column("train", pa.array([True] * b.num_rows)) for b in it),
+        "doc_id long, shard long, n long, word binary")
+    got = lm_scoring.Counts(lm_scoring.context_table(streams).toArrow())
+    follow = defaultdict(Counter)
+    for t in texts.values():
+        b = " ".join([*WORD.findall(lower(t)), ""]).encode() + b" "
+        for j in range(4, len(b)):
+            follow[b[j - 4:j]][b[j]] += 1
+    some = sorted(follow)[::97]
+    for four in some:
+        c = lm_scoring.Coded(pa.array([four], pa.binary()))
+        n0, n1 = got.bits(c.ctx[:, 4:], c.bytes[4:].astype(np.int64))
+        assert n0[4, 0, 0] + n1[4, 0, 0] == sum(follow[four].values())
+        assert n1[4, 0, 0] == sum(n for s, n in follow[four].items() if s >= 128)
+    unseen = lm_scoring.Coded(pa.array([b"\x01\x02\x03\x04"], pa.binary()))
+    n0, n1 = got.bits(unseen.ctx[:, 4:], unseen.bytes[4:].astype(np.int64))
+    assert (n0 + n1)[2:5].sum() == 0
+
+
 def test_license_phrases_and_spans(spark, texts):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     got = as_dict(license_scan.op7_license_scan(spark, SF), "n_words", "n_base", "first_word", "last_word", "base_labels")
