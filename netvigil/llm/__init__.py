@@ -1,4 +1,4 @@
-"""Training-data pipeline operators (numbered 1-10), each in a module of its own.
+"""Training-data pipeline operators (numbered 1-13), each in a module of its own.
 
 Nothing outside this folder imports it except ``__spark_entry__`` and ``corpus_pipeline``.
 """
