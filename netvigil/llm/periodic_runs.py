@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -264,7 +265,7 @@ def _planted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if chosen:
             mask = np.zeros(p.num_rows, bool)
             mask[list(chosen)] = True
-            text = pa.compute.replace_with_mask(text, pa.array(mask), pa.array(chosen.values(), pa.string()))
+            text = pc.replace_with_mask(text, pa.array(mask), pa.array(chosen.values(), pa.string()))
         yield pa.RecordBatch.from_arrays([p.column("doc_id"), text], ["doc_id", "text"])
 
 
