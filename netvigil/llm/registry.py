@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from netvigil.llm import (chat_format, decontaminate, jaccard_join, license_scan, lm_scoring, packing, periodic_runs,
-                         quality_classifier, quality_rules, token_counts, url_filters, whitening)
+                         quality_classifier, quality_rules, token_counts, token_store, url_filters, whitening)
 
 
 def llm_queries():
@@ -20,6 +20,7 @@ def llm_queries():
         "op9_ngram_jaccard_join": jaccard_join.op9_ngram_jaccard_join,
         "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
         "op11_embedding_whitening": whitening.op11_embedding_whitening,
+        "op12_token_id_output": token_store.op12_token_id_output,
         "op13_periodic_runs": periodic_runs.op13_periodic_runs,
     }
 
