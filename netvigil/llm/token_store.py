@@ -1,7 +1,7 @@
 """Operator 12, token ids as binary files: raw id payloads behind a minimal perfect hash index.
 
-``write_store`` encodes every document, deals the rows over shards by ranges of the key and writes
-one file a shard, documents in ascending order of the key (NULL first; equal keys by a checksum of their ids):
+``write_store`` deals the documents over shards by ranges of the key; each shard's task encodes its documents and
+writes one file, in ascending order of the key (NULL first; equal keys by a hash of their texts):
 
     magic | ids of all documents, little-endian, 2 or 4 bytes | keys (int64) | starts (uint64, one more
     than documents) | footer: documents, ids, NULL keys, bytes an id, checksum of the tables, magic
@@ -15,8 +15,9 @@ the shard decides in the end, so a stranger with a matching fingerprint is not f
 Files are written by tasks through ``pyarrow.fs`` below the folder given (the session's shared checkpoint folder
 in the query) under names of their own, and only those of committed tasks are listed in the written tables
 ``shards`` and ``parts``: a repeated task leaves at most an unlisted file.  A key with a third of all rows
-spans as many shards as its rows need (rows of equal keys and ids are told apart by their row number when
-dealt), and has one slot.  A single document is encoded and written whole, in one task.
+spans as many shards as its rows need (rows of equal keys and texts are told apart by their row number when
+dealt, so ``docs`` should be a table that is read, whose rows come in the same order again), and has one
+slot.  A single document is encoded and written whole, in one task.
 
 Defined cases: NULL text is the empty document (the end id alone); a repeated key's documents follow one
 another and are all found under it; the NULL key has an entry of its own beside the index; an empty table gives
@@ -47,8 +48,8 @@ from netvigil.session import scratch_path
 
 MAGIC = b"TOKENS\x001"
 FOOTER = "<QQQII8s"
-SHARD_BYTES = 64 << 20  # of a shard's payload and tables, but for documents that are longer alone
-LEAST_SHARD_BYTES = 1 << 20  # smaller ones only where there are few shards for the cores
+SHARD_BYTES = 48 << 20  # text of a shard's documents and 16 bytes each, but for documents that are longer alone
+LEAST_SHARD_BYTES = 1 << 20  # down to this where there are fewer shards than cores
 KEYS_A_PART = 1 << 20
 LEAST_KEYS_A_PART = 1 << 13
 END_ID = 2
@@ -227,46 +228,32 @@ class Shard:
         return np.frombuffer(raw, f"<u{self.width}")
 
 
-def _encoded(vocabulary: str, end_id: int, width: int):
-    """Documents to rows: key, number of ids, the ids' bytes, their checksum and a number of the row's own."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = TaskContext.get().partitionId() << 40
-        for p in pieces(batches):
-            ids, bound = byte_encoder(vocabulary).encode(p.column("text"))
-            n = np.diff(bound)
-            out = np.full(len(ids) + len(n), end_id, f"<u{width}")
-            at = np.concatenate([[0], np.cumsum(n + 1)])
-            out[ragged(at[:-1], n)] = ids
-            data = out.tobytes()
-            edges = (at * width).tolist()
-            ties = [zlib.crc32(data[a:b]) for a, b in zip(edges[:-1], edges[1:])]
-            payload = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(at * width), pa.py_buffer(data)])
-            yield pa.RecordBatch.from_arrays(
-                [p.column("key"), pa.array(n + 1), payload.cast(pa.binary()), pa.array(ties, pa.int64()),
-                 pa.array(np.arange(seen, seen + len(n)))], ["key", "n", "ids", "tie", "row"])
-            seen += len(n)
-    return run
+def _encoded(batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int, width: int):
+    """Payload bytes, number of ids of each document and keys, piece by piece."""
+    for p in pieces(batches):
+        ids, bound = byte_encoder(vocabulary).encode(p.column("text"))
+        n = np.diff(bound)
+        out = np.full(len(ids) + len(n), end_id, f"<u{width}")
+        out[ragged(bound[:-1] + np.arange(len(n)), n)] = ids
+        yield out, n + 1, p.column("key")
 
 
 SEGMENT = "shard long, file string, key long, first_row long, documents long, ids long"
 
 
-def _write_shard(folder: str, width: int):
-    """Sorted rows of one range to one file; returns a row per key with its place there."""
+def _write_shard(folder: str, vocabulary: str, end_id: int, width: int):
+    """Sorted documents of one range to one file; returns a row per key with its place there."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, out, path = TaskContext.get().partitionId(), None, None
         keys, sizes, nulls = [], [], 0
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for payload, n, key in _encoded(batches, vocabulary, end_id, width):
             if out is None:
                 path, out = _new_file(folder, f"shard-{shard:06d}")
                 out.write(MAGIC)
-            for v in b.column("ids"):
-                out.write(v.as_buffer())
-            nulls += b.column("key").null_count
-            keys.append(np.asarray(b.column("key").fill_null(0)))
-            sizes.append(np.asarray(b.column("n")))
+            out.write(payload.data)
+            nulls += key.null_count
+            keys.append(np.asarray(key.fill_null(0)))
+            sizes.append(n)
         if out is None:
             return
         keys, sizes = np.concatenate(keys), np.concatenate(sizes)
@@ -496,12 +483,12 @@ def write_store(docs: DataFrame, folder: str, vocabulary: str | None = None, end
     path = vocabulary or vocabulary_path(DEFAULT_VOCABULARY)
     width = 2 if max(byte_encoder(path).size, end_id + 1) <= 1 << 16 else 4
     rows = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
-    rows = written(rows.mapInArrow(_encoded(path, end_id, width), "key long, n long, ids binary, tie long, row long"), "token-rows")
-    head = rows.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("ids")).first()
-    shards = _pieces_of(head.ids * width + 16 * head.rows, shard_bytes, min(LEAST_SHARD_BYTES, shard_bytes), cores)
+    head = rows.agg((F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) + 16 * F.count("*")).alias("bytes")).first()
+    shards = _pieces_of(head.bytes, shard_bytes, min(LEAST_SHARD_BYTES, shard_bytes), cores)
     order = [F.col("key").asc_nulls_first(), "tie", "row"]
-    (rows.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("key", "n", "ids")
-     .mapInArrow(_write_shard(f"{folder}/files", width), SEGMENT).write.parquet(f"{folder}/segments"))
+    (rows.withColumns({"tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+     .repartitionByRange(shards, *order).sortWithinPartitions(*order).select("key", "text")
+     .mapInArrow(_write_shard(f"{folder}/files", path, end_id, width), SEGMENT).write.parquet(f"{folder}/segments"))
     segments = spark.read.schema(SEGMENT).parquet(f"{folder}/segments")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
     (segments.groupBy("shard", "file").agg(F.sum("documents").alias("documents"), F.sum("ids").alias("ids"))
