@@ -3,8 +3,8 @@
 Scores are first reduced to one row per distinct score (pos, neg counts;
 map-side combined).  Running sums in descending score order are then
 computed in two levels: scores are cut into at most ``max_buckets``
-ranges by approximate quantiles (the bucket count grows with the bytes of
-input); a per-bucket totals table (bounded by the bucket count) yields each bucket's offset, and a window partitioned
+ranges by approximate quantiles (the bucket count grows with the bytes of input files, or
+with the distinct scores where those are not known); a per-bucket totals table (bounded by the bucket count) yields each bucket's offset, and a window partitioned
 by bucket adds the running sum inside it.  The result is exact — the
 quantiles only decide how work is split.
 """
@@ -19,28 +19,45 @@ from pyspark.sql import functions as F
 from netvigil.operators.sizing import input_bytes
 from netvigil.session import checkpoint_dir
 
-BYTES_PER_BUCKET = 256 << 20
+BYTES_PER_BUCKET = 32 << 20  # of input files
+ROWS_PER_BUCKET = 1_000_000  # distinct scores, where the input's bytes are not known
 MAX_BUCKETS = 16384
 
 
-def score_counts(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
-    """score, pos, neg per distinct finite score (labels 0/1 only)."""
+def class_counts(y: str, n: str | None):
+    """Aggregates ``pos, neg``: rows of each class, or the sums of a column of counts ``n``."""
+    if n is None:
+        return F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg")
+    return tuple(F.coalesce(F.sum(F.when(F.col(y) == c, F.col(n))), F.lit(0)).cast("long").alias(name)
+                 for c, name in ((1, "pos"), (0, "neg")))
+
+
+def score_counts(df: DataFrame, y: str = "y", score: str = "score", n: str | None = None) -> DataFrame:
+    """score, pos, neg per distinct finite score (labels 0/1 only); with ``n`` every row of ``df`` stands for ``n`` rows."""
     s = F.col(score).cast("double")
     ok = F.col(y).isin(0, 1) & s.isNotNull() & ~F.isnan(s)
-    return (df.filter(ok).groupBy(s.alias("score"))
-            .agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg")))
+    return df.filter(ok).groupBy(s.alias("score")).agg(*class_counts(y, n))
 
 
-def bucket_count(df: DataFrame) -> int:
+def bucket_count(df: DataFrame) -> int | None:
     """Buckets from the bytes of input below ``df`` (planner statistics, no job): one per
-    ``BYTES_PER_BUCKET``, at most MAX_BUCKETS."""
-    return min(MAX_BUCKETS, max(1, math.ceil((input_bytes(df) or 0) / BYTES_PER_BUCKET)))
+    ``BYTES_PER_BUCKET``, at most MAX_BUCKETS; None where those are not known."""
+    n = input_bytes(df)
+    return None if n is None else min(MAX_BUCKETS, max(1, math.ceil(n / BYTES_PER_BUCKET)))
 
 
-def _bucketed(counts: DataFrame, buckets: int | None) -> DataFrame:
-    """Attach bucket id ``b`` (higher score -> higher b)."""
+def _sized(counts: DataFrame, df: DataFrame, buckets: int | None) -> tuple[DataFrame, int]:
+    """The grouped scores and their buckets; without known input bytes they are written and counted."""
+    buckets = buckets or bucket_count(df)
     if buckets is None:
-        buckets = bucket_count(counts)
+        checkpoint_dir(counts.sparkSession)
+        counts = counts.checkpoint(eager=True)
+        buckets = min(MAX_BUCKETS, max(1, math.ceil(counts.count() / ROWS_PER_BUCKET)))
+    return counts, buckets
+
+
+def _bucketed(counts: DataFrame, buckets: int) -> DataFrame:
+    """Attach bucket id ``b`` (higher score -> higher b)."""
     if buckets <= 1:
         return counts.withColumn("b", F.lit(0))
     probs = [i / buckets for i in range(1, buckets)]
@@ -63,8 +80,7 @@ def running_counts(counts: DataFrame, buckets: int | None = None) -> DataFrame:
     More buckets: the grouped table is written once to the checkpoint
     folder (read by the quantile job, the bucket totals and the windows),
     then the two-level scheme described in the module docstring."""
-    if buckets is None:
-        buckets = bucket_count(counts)
+    counts, buckets = _sized(counts, counts, buckets)
     every = Window.partitionBy()
     if buckets <= 1:
         w = Window.orderBy(F.desc("score"))
@@ -111,10 +127,11 @@ def running_counts(counts: DataFrame, buckets: int | None = None) -> DataFrame:
     return j.drop("next_tps0", "next_fps0")
 
 
-def auc(df: DataFrame, y: str = "y", score: str = "score", buckets: int | None = None) -> DataFrame:
+def auc(df: DataFrame, y: str = "y", score: str = "score", buckets: int | None = None,
+        n: str | None = None) -> DataFrame:
     """Exact ROC AUC with ties counted half; NULL when one class is
     absent.  One row: auc, n_pos, n_neg."""
-    r = running_counts(score_counts(df, y, score), buckets or bucket_count(df))
+    r = running_counts(*_sized(score_counts(df, y, score, n), df, buckets))
     dec = "decimal(38,0)"
     num = F.col("neg").cast(dec) * (2 * F.col("tps") - F.col("pos")).cast(dec)
     agg = r.agg(F.sum(num).alias("num2"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
@@ -130,7 +147,7 @@ def score_summary(df: DataFrame, y: str = "y", score: str = "score", threshold:
     """AUC and the confusion counts at ``threshold`` from one grouped pass:
     auc, n_pos, n_neg, tn, fp, fn, tp (rows without a finite score are
     left out of both)."""
-    r = running_counts(score_counts(df, y, score), buckets or bucket_count(df))
+    r = running_counts(*_sized(score_counts(df, y, score), df, buckets))
     dec = "decimal(38,0)"
     num = F.col("neg").cast(dec) * (2 * F.col("tps") - F.col("pos")).cast(dec)
     above = F.col("score") >= F.lit(threshold)
@@ -147,7 +164,7 @@ def score_summary(df: DataFrame, y: str = "y", score: str = "score", threshold:
 
 
 def roc_curve(df: DataFrame, y: str = "y", score: str = "score", drop_intermediate: bool = True,
-              buckets: int | None = None) -> DataFrame:
+              buckets: int | None = None, n: str | None = None) -> DataFrame:
     """A10: ROC points (idx, threshold, fpr, tpr, fps, tps).
 
     Distinct scores in descending order; with ``drop_intermediate`` a
@@ -155,8 +172,8 @@ def roc_curve(df: DataFrame, y: str = "y", score: str = "score", drop_intermedia
     (both ends always kept, and only when there are more than two
     points); then a leading (0, 0) point with NULL threshold is added.
     """
-    nb = buckets or bucket_count(df)
-    r = running_counts(score_counts(df, y, score), nb)
+    counts, nb = _sized(score_counts(df, y, score, n), df, buckets)
+    r = running_counts(counts, nb)
     last = F.col("n_points") - 1
     if drop_intermediate:
         curv = ((F.col("prev_fps") - 2 * F.col("fps") + F.col("next_fps")) != 0) | (

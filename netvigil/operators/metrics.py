@@ -28,7 +28,11 @@ def confusion_counts(df: DataFrame, y: str = "y", pred: str = "pred") -> DataFra
 
 def confusion(df: DataFrame, y: str = "y", pred: str = "pred") -> DataFrame:
     """A5 as a long table: actual, predicted, n (always four rows)."""
-    c = confusion_counts(df, y, pred)
+    return confusion_rows(confusion_counts(df, y, pred))
+
+
+def confusion_rows(c: DataFrame) -> DataFrame:
+    """A (tn, fp, fn, tp) row as the long table of ``confusion``."""
     return c.select(F.explode(F.array(
         F.struct(F.lit(0).alias("actual"), F.lit(0).alias("predicted"), F.col("tn").alias("n")),
         F.struct(F.lit(0).alias("actual"), F.lit(1).alias("predicted"), F.col("fp").alias("n")),

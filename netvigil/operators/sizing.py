@@ -8,15 +8,22 @@ CACHE_MAX_BYTES = 512 << 30  # of input files
 
 
 def input_bytes(df: DataFrame) -> int | None:
-    """Bytes of the files and tables below ``df``, as the planner knows them (no job).
+    """Bytes of the files and literal rows below ``df``, as the planner knows them (no job).
 
-    Counted at the leaves of the logical plan, so a join does not change it; None without
-    access to the plan (e.g. a remote session)."""
+    Counted at the leaves of the logical plan, so a join does not change it.  None where a leaf has no
+    statistics of its own (rows from Python, an RDD, a checkpoint: the planner then assumes
+    the largest size there is) or the plan cannot be seen (a remote session)."""
     try:
         leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     except AttributeError:
         return None
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    total = 0
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() not in ("LogicalRelation", "LocalRelation", "Range", "OneRowRelation"):
+            return None
+        total += int(str(leaf.stats().sizeInBytes()))
+    return total
 
 
 def small_input(df: DataFrame) -> bool:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from netvigil.functions import vocab
 from netvigil.functions.numeric import safe_ratio
+from netvigil.operators.curves import class_counts
 
 
 def candidate_thresholds() -> list[float]:
@@ -37,14 +38,14 @@ def candidate_index(score: Column, cands: list[float]) -> Column:
     return a + le(a + 1) + le(a + 2)
 
 
-def sweep(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
+def sweep(df: DataFrame, y: str = "y", score: str = "score", n: str | None = None) -> DataFrame:
     """Confusion counts and measures for every candidate threshold:
-    threshold, tp, fp, fn, tn, precision, recall_tpr, f1, fpr, youden."""
+    threshold, tp, fp, fn, tn, precision, recall_tpr, f1, fpr, youden.
+    With ``n`` every row of ``df`` stands for ``n`` rows."""
     cands = candidate_thresholds()
     s = F.col(score).cast("double")
     base = df.filter(F.col(y).isin(0, 1) & s.isNotNull() & ~F.isnan(s))
-    bins = (base.groupBy(candidate_index(s, cands).alias("k"))
-            .agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg")))
+    bins = base.groupBy(candidate_index(s, cands).alias("k")).agg(*class_counts(y, n))
     spark = df.sparkSession
     grid = spark.createDataFrame([(0, None)] + [(i + 1, c) for i, c in enumerate(cands)],
                                  "k int, threshold double")
@@ -67,13 +68,13 @@ def sweep(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
 
 
 def best_threshold(df: DataFrame, y: str = "y", score: str = "score",
-                   objective: str = "f1") -> DataFrame:
+                   objective: str = "f1", n: str | None = None) -> DataFrame:
     """The first candidate (ascending) with the highest F1 or Youden
     index.  One row: metric, threshold, precision, recall_tpr, f1, fpr.
     When no candidate beats -1 the default threshold 0.5 is returned."""
     if objective not in ("f1", "youden"):
         objective = "f1"
-    sw = sweep(df, y, score)
+    sw = sweep(df, y, score, n)
     w = Window.orderBy(F.col(objective).desc(), F.col("threshold").asc())
     # 99 rows: bounded single-partition window
     best = sw.filter(F.col(objective) > -1).withColumn("_r", F.row_number().over(w)).filter("_r = 1")
@@ -90,8 +91,9 @@ def auto_summary(df: DataFrame, y: str = "y", score: str = "score",
     Every row falls in a candidate bin (rows without a finite score in
     bin -1); the labelled counts pick the best candidate (as
     ``best_threshold``, default 0.5 when none beats -1) and the all-row
-    counts of the same bins give the totals at that threshold.  One row:
-    total_records, anomalies_detected, normal_records, threshold."""
+    counts of the same bins give the totals at that threshold; a row without
+    a score is normal.  One row: total_records, anomalies_detected,
+    normal_records, threshold."""
     if objective not in ("f1", "youden"):
         objective = "f1"
     cands = candidate_thresholds()
@@ -114,7 +116,6 @@ def auto_summary(df: DataFrame, y: str = "y", score: str = "score",
            .withColumn("above", F.sum(F.when(scored_k, F.col("n_all")).otherwise(0)).over(suffix))
            .withColumn("P", F.sum("pos").over(every)).withColumn("N", F.sum("neg").over(every))
            .withColumn("total", F.sum("n_all").over(every))
-           .withColumn("scored", F.sum(F.when(scored_k, F.col("n_all")).otherwise(0)).over(every))
            .filter(F.col("k") >= 1))
     tp, fp = F.col("tp"), F.col("fp")
     fn, tn = F.col("P") - tp, F.col("N") - fp
@@ -128,7 +129,7 @@ def auto_summary(df: DataFrame, y: str = "y", score: str = "score",
     pick = ranked.filter((F.col("_ok") & (F.col("_r") == 1)) | (~F.col("_ok") & default))
     return pick.select(F.col("total").alias("total_records"),
                        F.col("above").alias("anomalies_detected"),
-                       (F.col("scored") - F.col("above")).alias("normal_records"), "threshold")
+                       (F.col("total") - F.col("above")).alias("normal_records"), "threshold")
 
 
 def best_threshold_value(df: DataFrame, y: str = "y", score: str = "score",

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from netvigil.functions import vocab
 from netvigil.functions.labels import normalize_label, pick_label
-from netvigil.operators import sampling
-from netvigil.operators.combine import hash_shuffled
+from netvigil.operators import fill, sampling
+from netvigil.operators.combine import write_shuffled
 from netvigil.sinks import reports as sinks
 from netvigil.sources import csv_parts
 
@@ -19,36 +19,33 @@ def balanced_test_file(spark: SparkSession, parts_path: str, names, out_path: st
                        rows: int = 100_000, pos_frac: float = 0.5, label_col: str = "attack",
                        glob: str = "data_*.csv", key_cols=None, seed: int = vocab.SEED) -> DataFrame:
     """B8 + K1: ``rows`` rows with a share ``pos_frac`` of attacks (quota
-    rounded half-even, shortfall warned), written as one shuffled CSV with
-    header.  The label column is the first present of ``label_col`` and the
+    rounded half-even, filled file by file, shortfall warned), written as shuffled CSV
+    files with header.  The label column is the first present of ``label_col`` and the
     usual candidates; labels use the map that also knows 'botnet'."""
-    parts = csv_parts.read_parts(spark, parts_path, names, glob=glob)
+    parts = csv_parts.read_parts(spark, parts_path, names, glob=glob, positions=True)
     label = pick_label(parts.columns, [label_col, *vocab.LABEL_CANDIDATES_TESTSET])
     keys = list(key_cols or [c for c in names if c != label])
     lab = parts.withColumn("_y", normalize_label(label, "botnet")).filter(F.col("_y").isin(0, 1))
-    out = sampling.ratio_sample(lab, "_y", rows, pos_frac, keys, seed=seed)
-    sinks.write_table(hash_shuffled(out.drop("_y"), keys, seed).coalesce(1), out_path, "csv")
-    return out.drop("_y")
+    out = fill.ratio_sample_by_file(lab, "_y", rows, pos_frac, keys, seed=seed).drop("_y", "_file_no", "_pos")
+    write_shuffled(out, out_path, keys, seed)
+    return out
 
 
 def first_n_sample_file(spark: SparkSession, parts_path: str, names, out_path: str,
-                        per_class: int = 5000, order_cols=("pkSeqID",), glob: str = "data_*.csv",
+                        per_class: int = 5000, glob: str = "data_*.csv", max_files: int | None = None,
                         allow_partial: bool = True, seed: int = vocab.SEED) -> DataFrame:
-    """B1 + P4 + K1: the first ``per_class`` rows of each class in
-    ``order_cols`` order (labels: lower-case map, unknown counts as attack),
+    """B1 + P4 + K1: the first ``per_class`` rows of each class as they stand in the
+    files (the first ``max_files`` by name, if given; labels: lower-case map, unknown counts as attack),
     canonical ``label`` column with the stale label columns dropped, written
-    as a shuffled CSV with header."""
-    parts = csv_parts.read_parts(spark, parts_path, names, glob=glob)
+    as shuffled CSV files with header."""
+    parts = csv_parts.read_parts(spark, parts_path, names, glob=glob, max_files=max_files, positions=True)
     label = pick_label(parts.columns, vocab.LABEL_CANDIDATES_SAMPLE)
     lab = parts.withColumn("__y__", normalize_label(label, "closed"))
-    order = [c for c in order_cols if c in lab.columns]
-    ranked = lab.withColumn("_ord", F.col(order[0]).try_cast("double"))
-    picked = sampling.first_n_per_class(ranked, "__y__", per_class, ["_ord", *order[1:]],
-                                        allow_partial=allow_partial).drop("_ord")
+    picked = sampling.first_n_per_class(lab, "__y__", per_class, ["_pos"],
+                                        allow_partial=allow_partial).drop("_pos", "_file_no")
     out = picked.withColumn("label", F.col("__y__").cast("int"))
     out = out.drop(*[c for c in vocab.STALE_LABEL_COLUMNS if c in out.columns and c != "label"])
-    sinks.write_table(hash_shuffled(out, [c for c in names if c in out.columns], seed).coalesce(1),
-                      out_path, "csv")
+    write_shuffled(out, out_path, [c for c in names if c in out.columns], seed)
     return out
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from netvigil.plans.sample_oracles import EV, _md5
-from netvigil.plans.score_oracles import FLOWS, GROUPED, AUC, LABELLED, ORACLES as SCORES, SWEEP, _best, _roc
+from netvigil.plans.score_oracles import FLOWS, GROUPED, AUC, LABELLED, ORACLES as SCORES, SWEEP, _best, _ratio, _roc
 from netvigil.sources import fixtures
 
 # --- fixed values: what each profile makes of each text -----------------------------------------
@@ -42,6 +42,22 @@ SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY label ORDE
 WHERE rn <= (SELECT t FROM t)"""
 
 
+# labelled rows, some scores changed (edge); those with a score (s); the tuned threshold; all cells at it
+TUNED = f"""{LABELLED.replace(chr(10) + 's AS (', chr(10) + 's0 AS (')},
+{EDGE.replace('FROM s)', 'FROM s0)')},
+s AS (SELECT * FROM edge WHERE NOT isnan(score)),
+{SWEEP},
+best AS ({_best('youden')}),
+hit AS (SELECT y, coalesce(NOT isnan(score) AND score >= (SELECT threshold FROM best), false) AS p FROM edge),
+c AS (SELECT count(*) AS total, count(*) FILTER (WHERE p) AS hits, count(*) FILTER (WHERE y = 0 AND NOT p) AS tn,
+  count(*) FILTER (WHERE y = 0 AND p) AS fp, count(*) FILTER (WHERE y = 1 AND NOT p) AS fn, count(*) FILTER (WHERE y = 1 AND p) AS tp
+  FROM hit)"""
+
+
+def _share(a: str, b: str) -> str:
+    return f"round_even(CAST({a} AS DOUBLE) / CASE WHEN {a} + {b} = 0 THEN 1 ELSE {a} + {b} END, 4)"
+
+
 def _side(address: str) -> str:
     return (f"SELECT {address} AS dev, pred, pkts, bytes, pkSeqID % 5000 AS seen FROM s")
 
@@ -67,6 +83,18 @@ s AS (SELECT * FROM edge WHERE NOT isnan(score)),
 n AS (SELECT count(*) AS total, count(*) FILTER (WHERE score >= 0.5 AND NOT isnan(score)) AS hits FROM edge)
 SELECT total AS total_records, hits AS anomalies_detected, total - hits AS normal_records,
        CAST(0.5 AS DOUBLE) AS threshold, true AS has_proba FROM n""",
+    "predict_full": f"""WITH {TUNED},\n{GROUPED},\n{AUC},\n{_roc(True)}
+SELECT total AS total_records, hits AS anomalies_detected, total - hits AS normal_records, (SELECT threshold FROM best) AS threshold,
+  true AS has_proba, tn, fp, fn, tp,
+  {_ratio('tp + tn', 'tn + fp + fn + tp')} AS accuracy, {_ratio('tp', 'tp + fp')} AS precision, {_ratio('tp', 'tp + fn')} AS recall_tpr,
+  {_ratio('2 * tp', '2 * tp + fp + fn')} AS f1, {_ratio('fp', 'fp + tn')} AS fpr, {_ratio('tn', 'tn + fp')} AS tnr_specificity,
+  {_ratio('fp + fn', 'tn + fp + fn + tp')} AS mse, tn + fp AS support_0, fn + tp AS support_1,
+  {_share('tn', 'fp')} AS tn_share, {_share('fp', 'tn')} AS fp_share, {_share('fn', 'tp')} AS fn_share, {_share('tp', 'fn')} AS tp_share,
+  (SELECT auc FROM auc_t) AS auc, (SELECT count(*) FROM roc) AS roc_points
+FROM c""",
+    "predict_summary_edge": f"""WITH {TUNED}
+SELECT total AS total_records, hits AS anomalies_detected, total - hits AS normal_records, (SELECT threshold FROM best) AS threshold
+FROM c""",
     "device_rollup_text": f"""WITH {LABELLED},
 long AS ({_side("CASE pkSeqID % 97 WHEN 0 THEN '  ' WHEN 1 THEN 'nan' ELSE saddr END")}
          UNION ALL {_side('daddr')})

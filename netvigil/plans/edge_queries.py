@@ -75,6 +75,16 @@ def predict_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.predict_report(edge_scores(spark, sf_dir), None, "score")
 
 
+def predict_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M9 in one row with a tuned threshold, scores missing among the rows."""
+    return reports.predict_full(edge_scores(spark, sf_dir), "y", "score", auto_metric="youden")
+
+
+def predict_summary_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4 in one pass: the same totals as ``predict_full``, rows without a score are normal."""
+    return threshold.auto_summary(edge_scores(spark, sf_dir), "y", "score", "youden")
+
+
 def device_rollup_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A12 over flows whose columns are all text, as read from CSV; P13 drops blank and 'nan'."""
     f = labelled_flows(spark, sf_dir)
@@ -138,6 +148,8 @@ QUERIES = {
     "threshold_edge": threshold_edge,
     "threshold_one_class": threshold_one_class,
     "predict_edge": predict_edge,
+    "predict_full": predict_full,
+    "predict_summary_edge": predict_summary_edge,
     "device_rollup_text": device_rollup_text,
     "roc_report": roc_report,
     "metrics_roundtrip": metrics_roundtrip,

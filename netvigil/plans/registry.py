@@ -10,6 +10,7 @@ _MODULES = [
     ("netvigil.plans.sample_queries", "netvigil.plans.sample_oracles"),
     ("netvigil.plans.feature_queries", "netvigil.plans.feature_oracles"),
     ("netvigil.plans.source_queries", "netvigil.plans.source_oracles"),
+    ("netvigil.plans.file_queries", "netvigil.plans.file_oracles"),
     ("netvigil.plans.edge_queries", "netvigil.plans.edge_oracles"),
     ("netvigil.plans.model_queries", "netvigil.plans.model_oracles"),
 ]

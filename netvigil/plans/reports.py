@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netvigil.functions import vocab
+from netvigil.functions.numeric import round_half_even
 from netvigil.operators import curves, devices, metrics, threshold
+from netvigil.session import scratch_path
 from netvigil.sinks import reports as sinks
 
 
@@ -47,29 +49,87 @@ def predict_report(scored: DataFrame, y: str | None = "y", score: str = "score",
     return _one_row_join(summary, m)
 
 
+def score_table(scored: DataFrame, y: str | None, score: str) -> DataFrame:
+    """``y, score, n``: rows per label (0, 1, else NULL) and score (NaN as NULL), written once.
+
+    Whatever computes the score (a model, usually) runs for this table only; every section of a
+    report is derived from it.
+    """
+    label = F.when(F.col(y).isin(0, 1), F.col(y).cast("int")) if y else F.lit(None).cast("int")
+    s = F.col(score).cast("double")
+    counts = (scored.groupBy(label.alias("y"), F.when(~F.isnan(s), s).alias("score"))
+              .agg(F.count(F.lit(1)).alias("n")))
+    path = scratch_path(scored.sparkSession, "scores")
+    counts.write.parquet(path)
+    return scored.sparkSession.read.parquet(path)
+
+
+def _totals(counts: DataFrame, t: float) -> DataFrame:
+    """One row: totals of all rows and the confusion counts of the labelled ones, all by ``predicted``."""
+    hit = predicted(F.col("score"), t)
+
+    def rows(cond):
+        return F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0)).cast("long")
+
+    cells = {name: rows((F.col("y") == a) & (hit == p))
+             for name, a, p in (("tn", 0, 0), ("fp", 0, 1), ("fn", 1, 0), ("tp", 1, 1))}
+    return counts.agg(rows(F.lit(True)).alias("total_records"), rows(hit == 1).alias("anomalies_detected"),
+                      rows(hit == 0).alias("normal_records"), *[v.alias(k) for k, v in cells.items()]).select(
+        "*", F.lit(t).cast("double").alias("threshold"), F.lit(True).alias("has_proba"))
+
+
+SUMMARY = ["total_records", "anomalies_detected", "normal_records", "threshold", "has_proba"]
+
+
+def _tuned(counts: DataFrame, labelled: bool, t: float, auto_metric: str | None):
+    """The threshold and, when it was tuned, the row that tells how."""
+    if not auto_metric or not labelled:
+        return t, None
+    best = threshold.best_threshold(counts, "y", "score", auto_metric, n="n")
+    return float(best.first()["threshold"]), best
+
+
+def predict_full(scored: DataFrame, y: str | None = "y", score: str = "score",
+                 threshold_value: float = vocab.THRESHOLD_DEFAULT, auto_metric: str | None = None) -> DataFrame:
+    """M9 in one row, from one scored table: totals, threshold, confusion counts and their shares of each true
+    class (4 digits), metrics, AUC and the number of ROC points.
+
+    One rule throughout: a row is an anomaly when its score reaches the threshold, and normal
+    otherwise, also without a score.  AUC and ROC rank the rows that have one.
+    """
+    counts = score_table(scored, y, score)
+    t, _ = _tuned(counts, y is not None, threshold_value, auto_metric)
+    totals = _totals(counts, t)
+    if y is None:
+        return totals.select(*SUMMARY)
+    row = metrics.metrics_from_counts(totals, *SUMMARY, "tn", "fp", "fn", "tp")
+    for name, part, a, b in (("tn", "tn", "tn", "fp"), ("fp", "fp", "tn", "fp"), ("fn", "fn", "fn", "tp"), ("tp", "tp", "fn", "tp")):
+        of = F.col(a) + F.col(b)
+        row = row.withColumn(f"{name}_share", round_half_even(F.col(part) / F.when(of == 0, 1).otherwise(of), 4))
+    ranked = curves.auc(counts, "y", "score", n="n").select("auc")
+    points = curves.roc_curve(counts, "y", "score", n="n").agg(F.count(F.lit(1)).alias("roc_points"))
+    return _one_row_join(_one_row_join(row, ranked), points)
+
+
 def predict_outputs(scored: DataFrame, y: str | None = "y", score: str = "score",
                     order_cols=None, threshold_value: float = vocab.THRESHOLD_DEFAULT,
                     auto_metric: str | None = None) -> dict:
     """Every section of the prediction report: summary, auto_threshold,
     metrics, confusion (matrix and share of each true row), roc (all
-    points + auc) and preview (first 20 predictions and scores)."""
+    points + auc) and preview (first 20 predictions and scores).  All but the preview
+    come from one table of score counts (``score_table``), by the rule of ``predict_full``."""
     out = {}
-    t = threshold_value
-    labelled = scored.filter(F.col(y).isin(0, 1)) if y else None
-    if auto_metric and labelled is not None:
-        best = threshold.best_threshold(labelled, y, score, auto_metric)
-        row = best.first()  # one row
-        if row is not None:
-            t = float(row["threshold"])
+    counts = score_table(scored, y, score)
+    t, best = _tuned(counts, y is not None, threshold_value, auto_metric)
+    if best is not None:
         out["auto_threshold"] = best
-    out["summary"] = predict_report(scored, None, score, t)
-    pred = predicted(F.col(score), t)
-    if labelled is not None:
-        lab = labelled.withColumn("_pred", pred)
-        out["metrics"] = metrics.metrics_from_counts(curves.score_summary(labelled, y, score, t), "auc")
-        out["confusion"] = sinks.confusion_report(metrics.confusion(lab, y, "_pred"), normalize="true")
-        out["roc"] = sinks.roc_report(curves.roc_curve(labelled, y, score),
-                                      curves.auc(labelled, y, score))
+    totals = _totals(counts, t)
+    out["summary"] = totals.select(*SUMMARY)
+    if y is not None:
+        rank = curves.auc(counts, "y", "score", n="n")
+        out["metrics"] = _one_row_join(metrics.metrics_from_counts(totals), rank.select("auc"))
+        out["confusion"] = sinks.confusion_report(metrics.confusion_rows(totals), normalize="true")
+        out["roc"] = sinks.roc_report(curves.roc_curve(counts, "y", "score", n="n"), rank)
     out["preview"] = preview(scored, score, t, order_cols)
     return out
 
@@ -108,19 +168,19 @@ def evaluate_holdout(spark, parts_path: str, names, model_path: str, out_path: s
                      glob: str = "data_*.csv", key_cols=None) -> dict:
     """Holdout evaluation: parts after the first ``skip_files`` (all when
     none are left), labels from the nine-key map, ``rows`` rows with a
-    truncated positive quota, scored with a saved model; writes metrics
+    truncated positive quota filled file by file, scored with a saved model; writes metrics
     (JSON and CSV), the confusion matrix with shares of the total and the
     ROC report under ``out_path``.  Returns the report sections."""
     from netvigil.functions.labels import normalize_label
-    from netvigil.operators import features, models, sampling
+    from netvigil.operators import features, fill, models
     from netvigil.sources import csv_parts
 
     model, meta = models.load_model(model_path)
     label_col = meta.get("label_col", "attack")
-    parts = csv_parts.read_parts(spark, parts_path, names, glob=glob, skip_files=skip_files)
+    parts = csv_parts.read_parts(spark, parts_path, names, glob=glob, skip_files=skip_files, positions=True)
     labelled = parts.withColumn("y", normalize_label(label_col, "small")).filter(F.col("y").isNotNull())
     keys = list(key_cols or [c for c in names if c != label_col])
-    hold = sampling.ratio_sample(labelled, "y", rows, pos_frac, keys, rounding="floor")
+    hold = fill.ratio_sample_by_file(labelled, "y", rows, pos_frac, keys, rounding="floor").drop("_file_no", "_pos")
     other = [c for c in hold.columns if c not in meta["numeric_cols"]]
     x = features.align_features(hold, meta["numeric_cols"], strict_numeric=True, keep=other)
     scored = models.with_score(model, x)

@@ -14,62 +14,81 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from netvigil.functions.mac import strip as strip_ws
+from netvigil.sources.file_order import with_positions
 
 EXTRA = "_extra_field"
-_TEXT_OPTS = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+TEXT_OPTS = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
 def load_columns(spark: SparkSession, names_path: str, strip: bool = True) -> list[str]:
     """Ordered column names from the first row of the names file."""
-    row = spark.read.options(**_TEXT_OPTS).csv(names_path, header=False).first()
+    row = spark.read.options(**TEXT_OPTS).csv(names_path, header=False).first()
     if row is None:
         raise ValueError(f"empty names file {names_path}")
     names = [c if c is not None else "" for c in row]
     return [c.strip() for c in names] if strip else names
 
 
+def _names(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path")
+
+
 def list_parts(spark: SparkSession, path: str, glob: str = "data_*.csv") -> list[str]:
     """S3: part files in name order (file listing only; contents not read)."""
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-             .select("path").collect())
-    return sorted((r[0] for r in files), key=lambda p: p.rsplit("/", 1)[-1])
+    return sorted((r[0] for r in _names(spark, path, glob).collect()), key=lambda p: p.rsplit("/", 1)[-1])
 
 
-def header_row(names) -> F.Column:
-    """The row repeats the header (trimmed, lower-case) in every field."""
+def header_row(names, header=None) -> F.Column:
+    """The row repeats the header (trimmed, lower-case) in every field; ``header`` where its texts are not the names."""
     cond = None
-    for n in names:
-        c = F.lower(strip_ws(F.col(f"`{n}`"))) == F.lit(n.strip().lower())
+    for n, h in zip(names, header or names):
+        c = F.lower(strip_ws(F.coalesce(F.col(f"`{n}`"), F.lit("")))) == F.lit(h.strip().lower())
         cond = c if cond is None else cond & c
     return F.coalesce(cond, F.lit(False))
 
 
-def read_parts(spark: SparkSession, path, names, glob: str = "data_*.csv",
-               max_files: int | None = None, skip_files: int = 0, tolerant: bool = True,
-               drop_header_rows: bool = True, with_file: bool = False) -> DataFrame:
-    """Read CSV parts under ``path`` (or an explicit list of files)
-    as strings with the given column names."""
+def _selected(spark: SparkSession, path, glob: str, max_files: int | None, skip_files: int):
+    """Paths to scan and the glob to scan them with; file names come to the driver only to skip some."""
     if isinstance(path, (list, tuple)):
         files = list(path)
+    elif not skip_files and max_files is None:
+        if _names(spark, path, glob).isEmpty():
+            raise FileNotFoundError(f"no parts matching {glob} under {path}")
+        return [path], glob
     else:
         files = list_parts(spark, path, glob)
-        if skip_files:
-            files = files[skip_files:] or files
+        files = files[skip_files:] or files
         if max_files is not None:
             files = files[:max_files]
     if not files:
         raise FileNotFoundError(f"no parts matching {glob} under {path}")
+    return files, None
+
+
+def read_parts(spark: SparkSession, path, names, glob: str = "data_*.csv",
+               max_files: int | None = None, skip_files: int = 0, tolerant: bool = True,
+               drop_header_rows: bool = True, with_file: bool = False, positions: bool = False,
+               header=None) -> DataFrame:
+    """Read CSV parts under ``path`` (or an explicit list of files)
+    as strings with the given column names.
+
+    ``positions`` adds ``_file_no`` and ``_pos`` (see ``file_order``): rows are numbered before headers and
+    surplus rows go, so numbers follow the lines."""
+    files, pattern = _selected(spark, path, glob, max_files, skip_files)
     fields = [T.StructField(n, T.StringType()) for n in names]
     if tolerant:
         fields.append(T.StructField(EXTRA, T.StringType()))
-    df = (spark.read.schema(T.StructType(fields)).options(**_TEXT_OPTS)
-          .option("header", False).option("mode", "PERMISSIVE").csv(files))
+    reader = (spark.read.schema(T.StructType(fields)).options(**TEXT_OPTS)
+              .option("header", False).option("mode", "PERMISSIVE"))
+    df = (reader.option("pathGlobFilter", pattern) if pattern else reader).csv(files)
     if with_file:
         df = df.withColumn("_file", F.col("_metadata.file_name"))
+    if positions:
+        df = with_positions(df)
     if tolerant:
         df = df.filter(F.col(EXTRA).isNull()).drop(EXTRA)
     if drop_header_rows:
-        df = df.filter(~header_row(names))
+        df = df.filter(~header_row(names, header))
     return df
 
 
@@ -78,7 +97,7 @@ def read_csv_with_header(spark: SparkSession, path: str, columns=None) -> DataFr
     if any, is dropped), else the file's own header names the columns."""
     if columns is not None:
         return read_parts(spark, [path], columns)
-    return spark.read.options(**_TEXT_OPTS).option("header", True).csv(path)
+    return spark.read.options(**TEXT_OPTS).option("header", True).csv(path)
 
 
 def head_per_file(df: DataFrame, n: int) -> DataFrame:
@@ -99,5 +118,5 @@ def head_per_file(df: DataFrame, n: int) -> DataFrame:
 
 def write_parts(df: DataFrame, path: str, parts: int, header: bool = False) -> None:
     """Write ``df`` as ``parts`` CSV files (blanks preserved)."""
-    (df.repartition(parts).write.mode("overwrite").options(**_TEXT_OPTS)
+    (df.repartition(parts).write.mode("overwrite").options(**TEXT_OPTS)
      .option("header", header).csv(path))
