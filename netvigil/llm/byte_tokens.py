@@ -18,7 +18,7 @@ from netvigil.llm.textvec import SPACES, Texts, distinct, ragged
 from netvigil.llm.tokens import _byte_letters
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
-MAX_CACHED_SEGMENTS = 2_000_000  # some 40 bytes each; a worker's cache restarts when full
+MAX_CACHED_SEGMENTS = 1_000_000  # some 40 bytes each; a worker's cache restarts when full
 #: first bytes of the two- and three-byte characters among which there is white space
 _SPACE_LEADS = np.zeros(256, bool)
 _SPACE_LEADS[[0xC2, 0xE1, 0xE2, 0xE3]] = True
