@@ -32,17 +32,22 @@ def balanced_test_file(spark: SparkSession, parts_path: str, names, out_path: st
 
 
 def first_n_sample_file(spark: SparkSession, parts_path: str, names, out_path: str,
-                        per_class: int = 5000, glob: str = "data_*.csv", max_files: int | None = None,
-                        allow_partial: bool = True, seed: int = vocab.SEED) -> DataFrame:
+                        per_class: int = 5000, order_cols=None, glob: str = "data_*.csv",
+                        max_files: int | None = None, allow_partial: bool = True, seed: int = vocab.SEED) -> DataFrame:
     """B1 + P4 + K1: the first ``per_class`` rows of each class as they stand in the
-    files (the first ``max_files`` by name, if given; labels: lower-case map, unknown counts as attack),
+    files (the first ``max_files`` by name, if given), or in ``order_cols`` order, the first of
+    them numeric (labels: lower-case map, unknown counts as attack),
     canonical ``label`` column with the stale label columns dropped, written
     as shuffled CSV files with header."""
     parts = csv_parts.read_parts(spark, parts_path, names, glob=glob, max_files=max_files, positions=True)
     label = pick_label(parts.columns, vocab.LABEL_CANDIDATES_SAMPLE)
     lab = parts.withColumn("__y__", normalize_label(label, "closed"))
-    picked = sampling.first_n_per_class(lab, "__y__", per_class, ["_pos"],
-                                        allow_partial=allow_partial).drop("_pos", "_file_no")
+    order = ["_pos"]
+    if order_cols:
+        known = [c for c in order_cols if c in lab.columns]
+        lab, order = lab.withColumn("_ord", F.col(known[0]).try_cast("double")), ["_ord", *known[1:]]
+    picked = sampling.first_n_per_class(lab, "__y__", per_class, order,
+                                        allow_partial=allow_partial).drop("_pos", "_file_no", "_ord")
     out = picked.withColumn("label", F.col("__y__").cast("int"))
     out = out.drop(*[c for c in vocab.STALE_LABEL_COLUMNS if c in out.columns and c != "label"])
     write_shuffled(out, out_path, [c for c in names if c in out.columns], seed)
