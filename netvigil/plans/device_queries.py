@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from netvigil.functions.mac import mac_prefix
 from netvigil.operators import devices as dv
 from netvigil.plans import reports
+from netvigil.session import scratch_path
 from netvigil.sources import fixtures, lookups
 
 THRESHOLD = 0.5
@@ -62,6 +63,26 @@ def device_page(spark: SparkSession, sf_dir: str) -> DataFrame:
         "row_no", "device", "anomalies", "bytes", "status")
 
 
+def device_page_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O2: a page number far past the end gives the last page, its key range found by histograms."""
+    table = dv.device_rollup(dv.explode_roles(scored_flows(spark, sf_dir), "both"))
+    return dv.device_page(table, sort="anomaly_rate_desc", page=1_000_000, size=10, max_sorted=20).select(
+        "row_no", "device", "anomalies", "anomaly_rate")
+
+
+def device_stats_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3 from sketches stored per part and united later: whether each count is within 2 % of the exact one."""
+    flows = fixtures.flows(spark, sf_dir).select("saddr", "daddr", (F.col("pkSeqID") % 13).alias("part"))
+    path = scratch_path(spark, "sketches")
+    dv.address_sketches(flows, ["part"]).write.parquet(path)
+    near = dv.device_stats_approx(spark.read.parquet(path)).withColumn("_one", F.lit(1))
+    exact = dv.device_stats(flows).select(F.lit(1).alias("_one"), *[
+        F.col(c).alias(f"_{c}") for c in ("unique_saddr", "unique_daddr", "unique_union")])
+    return near.join(exact, "_one").select(*[
+        (F.abs(F.col(c) - F.col(f"_{c}")) <= 0.02 * F.col(f"_{c}")).alias(f"{c}_near")
+        for c in ("unique_saddr", "unique_daddr", "unique_union")])
+
+
 def device_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = dv.explode_roles(scored_flows(spark, sf_dir), "both")
     table = dv.device_rollup(long).withColumn("name", F.lit(None).cast("string"))
@@ -85,6 +106,8 @@ QUERIES = {
     "device_stats": device_stats,
     "device_report": device_report,
     "device_page": device_page,
+    "device_page_last": device_page_last,
+    "device_stats_approx": device_stats_approx,
     "device_search": device_search,
     "mac_prefix": mac_prefixes,
 }

@@ -105,10 +105,16 @@ FROM long WHERE trim(dev) NOT IN ('', 'nan') GROUP BY dev""",
     "roc_report": f"""WITH {LABELLED},\n{GROUPED},\n{AUC},\n{_roc(True)}
 SELECT idx, threshold, fpr, tpr, (SELECT auc FROM auc_t) AS auc FROM roc""",
     "metrics_roundtrip": f"""SELECT fmt, m.* FROM ({SCORES['metrics']}) m, (VALUES ('json'), ('csv')) AS f(fmt)""",
+    "json_safe": f"""WITH {LABELLED},
+none AS (SELECT CAST(NULL AS DOUBLE) AS z),
+p AS (SELECT proto, max(score) AS hi, min(score) AS lo, count(*) AS n, CAST(CAST(max(bytes) AS FLOAT) AS DOUBLE) AS f FROM s GROUP BY proto)
+SELECT proto, hi AS top, z AS gap, z AS low, n, hi AS a0, z AS a1, z AS a2, lo AS a3, 4 AS a_size, hi AS x0, z AS x1,
+  hi AS m_top, z AS m_gap, f FROM p, none""",
     "union_labelled": f"""WITH {FLOWS}
 SELECT flow_id, CAST(NULL AS BIGINT) AS event_id, attack AS label_raw FROM flows
 UNION ALL SELECT NULL, event_id, CAST(label AS VARCHAR) FROM ({fixtures.LABELLED_EVENTS_SQL}) e""",
-    "csv_tolerant": """SELECT doc_id, CASE WHEN doc_id % 5 = 0 AND doc_id % 7 <> 0 THEN 'a,' || lang ELSE lang END AS lang,
+    "csv_tolerant": """SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN lang WHEN doc_id % 17 = 0 THEN 'say "' || lang || '", ok'
+         WHEN doc_id % 5 = 0 THEN 'a,' || lang ELSE lang END AS lang,
        CASE WHEN doc_id % 7 <> 0 THEN source END AS source
-FROM documents WHERE doc_id % 7 = 0 OR doc_id % 11 <> 0""",
+FROM documents WHERE doc_id % 7 = 0 OR (doc_id % 11 <> 0 AND doc_id % 13 <> 0)""",
 }

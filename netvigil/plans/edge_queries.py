@@ -118,6 +118,25 @@ def metrics_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return json.unionByName(csv)
 
 
+def json_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K9: a nested report with NaN and infinite numbers at every depth, written as JSON and read back."""
+    f = labelled_flows(spark, sf_dir)
+    nan, inf = F.lit(float("nan")), F.lit(float("inf"))
+    top = F.max("score")
+    report = f.groupBy("proto").agg(
+        F.struct(top.alias("top"), nan.alias("gap"), F.struct((-inf).alias("low"), F.count("*").alias("n")).alias("inner")).alias("s"),
+        F.array(top, inf, nan, F.min("score")).alias("a"),
+        F.array(F.struct(top.alias("x")), F.struct(nan.alias("x"))).alias("rows"),
+        F.create_map(F.lit("top"), top, F.lit("gap"), nan).alias("m"), F.max("bytes").cast("float").alias("f"))
+    path = scratch_path(spark, "nested")
+    sinks.write_table(report, path, "json")
+    back = spark.read.schema(report.schema).json(path)
+    return back.select("proto", "s.top", "s.gap", "s.inner.low", F.col("s.inner.n").alias("n"), F.col("a")[0].alias("a0"),
+                       F.col("a")[1].alias("a1"), F.col("a")[2].alias("a2"), F.col("a")[3].alias("a3"), F.size("a").alias("a_size"),
+                       F.col("rows")[0].x.alias("x0"), F.col("rows")[1].x.alias("x1"), F.try_element_at("m", F.lit("top")).alias("m_top"),
+                       F.try_element_at("m", F.lit("gap")).alias("m_gap"), F.col("f").cast("double").alias("f"))
+
+
 def union_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources with different label columns; one without any is left out."""
     sources = [fixtures.flows(spark, sf_dir).select("flow_id", "attack"),
@@ -127,11 +146,14 @@ def union_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def csv_tolerant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Short rows are padded, rows with too many fields dropped, quoted commas kept."""
+    """Short rows are padded, rows with too many fields dropped (the last may be empty), quoted commas and
+    doubled quotes kept."""
     d = fixtures.table(spark, sf_dir, "documents", key="doc_id").select("doc_id", "lang", "source")
     k = F.col("doc_id")
     line = (F.when(k % 7 == 0, F.concat_ws(",", "doc_id", "lang"))
             .when(k % 11 == 0, F.concat_ws(",", "doc_id", "lang", "source", F.lit("more")))
+            .when(k % 13 == 0, F.concat_ws(",", "doc_id", "lang", "source", F.lit("")))
+            .when(k % 17 == 0, F.concat(k.cast("string"), F.lit(',"say ""'), F.col("lang"), F.lit('"", ok",'), F.col("source")))
             .when(k % 5 == 0, F.concat(k.cast("string"), F.lit(',"a,'), F.col("lang"), F.lit('",'), F.col("source")))
             .otherwise(F.concat_ws(",", "doc_id", "lang", "source")))
     path = scratch_path(spark, "ragged")
@@ -153,6 +175,7 @@ QUERIES = {
     "device_rollup_text": device_rollup_text,
     "roc_report": roc_report,
     "metrics_roundtrip": metrics_roundtrip,
+    "json_safe": json_safe,
     "union_labelled": union_labelled,
     "csv_tolerant": csv_tolerant,
 }

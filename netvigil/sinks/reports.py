@@ -7,22 +7,41 @@ curve is written as a long table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from netvigil.functions.numeric import finite_or_null, round_half_even
 
 
+def _has_floats(t: T.DataType) -> bool:
+    if isinstance(t, T.StructType):
+        return any(_has_floats(f.dataType) for f in t.fields)
+    if isinstance(t, T.ArrayType):
+        return _has_floats(t.elementType)
+    if isinstance(t, T.MapType):
+        return _has_floats(t.valueType)
+    return isinstance(t, (T.DoubleType, T.FloatType))
+
+
+def _finite(col: Column, t: T.DataType) -> Column:
+    """``col`` with every NaN and infinity below it NULL; parts without floats are passed through."""
+    if not _has_floats(t):
+        return col
+    if isinstance(t, T.StructType):
+        fields = [_finite(col.getField(f.name), f.dataType).alias(f.name) for f in t.fields]
+        return F.when(col.isNotNull(), F.struct(*fields))
+    if isinstance(t, T.ArrayType):
+        return F.transform(col, lambda x: _finite(x, t.elementType))
+    if isinstance(t, T.MapType):
+        return F.transform_values(col, lambda _, v: _finite(v, t.valueType))
+    return finite_or_null(col)
+
+
 def null_nonfinite(df: DataFrame) -> DataFrame:
-    """K9: NaN / +-Infinity -> NULL in every float or double column."""
-    out = []
-    for f in df.schema.fields:
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            out.append(finite_or_null(F.col(f"`{f.name}`")).alias(f.name))
-        else:
-            out.append(F.col(f"`{f.name}`"))
-    return df.select(*out)
+    """K9: NaN / +-Infinity -> NULL in every float or double, also inside structs, arrays and map values
+    (a map's keys stay: they cannot be NULL)."""
+    return df.select(*[_finite(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", header: bool = True,

@@ -4,7 +4,7 @@ Parts are read as one distributed scan with an explicit all-string
 schema taken from a names file; header rows are dropped wherever they
 occur (a row whose every field equals its column name, ignoring case
 and surrounding blanks); rows with too many fields are dropped while
-short rows are kept NULL-padded.
+short rows are kept NULL-padded.  A quote inside a quoted field is doubled.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from pyspark.sql import types as T
 from netvigil.functions.mac import strip as strip_ws
 from netvigil.sources.file_order import with_positions
 
-EXTRA = "_extra_field"
-TEXT_OPTS = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+RAGGED = "_ragged_line"  # the raw line of a row with too few or too many fields
+TEXT_OPTS = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "escape": '"'}
 
 
 def load_columns(spark: SparkSession, names_path: str, strip: bool = True) -> list[str]:
@@ -47,6 +47,15 @@ def header_row(names, header=None) -> F.Column:
     return F.coalesce(cond, F.lit(False))
 
 
+def not_surplus(names) -> F.Column:
+    """The row has at most as many fields as there are names.  Only the lines of ragged rows are looked at: commas
+    outside quotes are counted, so an empty last field is a field too."""
+    bare = F.regexp_replace(RAGGED, '"[^"]*("|$)', "")
+    commas = F.length(bare) - F.length(F.translate(bare, ",", ""))
+    some = F.coalesce(F.col(f"`{names[0]}`"), F.lit("")) != F.lit("\0")  # Spark wants a field read beside the line
+    return (F.col(RAGGED).isNull() | (commas < len(names))) & some
+
+
 def _selected(spark: SparkSession, path, glob: str, max_files: int | None, skip_files: int):
     """Paths to scan and the glob to scan them with; file names come to the driver only to skip some."""
     if isinstance(path, (list, tuple)):
@@ -77,16 +86,18 @@ def read_parts(spark: SparkSession, path, names, glob: str = "data_*.csv",
     files, pattern = _selected(spark, path, glob, max_files, skip_files)
     fields = [T.StructField(n, T.StringType()) for n in names]
     if tolerant:
-        fields.append(T.StructField(EXTRA, T.StringType()))
-    reader = (spark.read.schema(T.StructType(fields)).options(**TEXT_OPTS)
-              .option("header", False).option("mode", "PERMISSIVE"))
+        fields.append(T.StructField(RAGGED, T.StringType()))
+    # all fields are parsed, or a row's number of fields would not be known
+    reader = (spark.read.schema(T.StructType(fields)).options(**TEXT_OPTS).option("header", False)
+              .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", RAGGED)
+              .option("columnPruning", not tolerant))
     df = (reader.option("pathGlobFilter", pattern) if pattern else reader).csv(files)
     if with_file:
         df = df.withColumn("_file", F.col("_metadata.file_name"))
     if positions:
         df = with_positions(df)
     if tolerant:
-        df = df.filter(F.col(EXTRA).isNull()).drop(EXTRA)
+        df = df.filter(not_surplus(names)).drop(RAGGED)
     if drop_header_rows:
         df = df.filter(~header_row(names, header))
     return df
