@@ -11,7 +11,7 @@ import json
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (LogisticRegression, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,11 +28,23 @@ def _depth(max_depth: int) -> int:
     return max_depth
 
 
-def feature_stages(num_cols, cat_cols, scale: bool = False):
+def numeric_scaler(train: DataFrame, num_cols) -> SQLTransformer:
+    """M3 as a stage: ``(x - mean) / population std`` of each numeric column into ``<column>__std``; no variance gives 0.
+
+    Fitted by one aggregate over ``train``; the numbers are literals in the stage, so they are saved with it.
+    """
+    row = train.agg(*[f(F.col(f"`{c}`").cast("double")).alias(f"{k}{i}") for i, c in enumerate(num_cols)
+                      for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    scaled = [f"(CAST(`{c}` AS DOUBLE) - {row[f'm{i}'] or 0.0!r}D) / {row[f's{i}'] or 1.0!r}D AS `{c}__std`"
+              for i, c in enumerate(num_cols)]
+    return SQLTransformer(statement=f"SELECT *, {', '.join(scaled)} FROM __THIS__")
+
+
+def feature_stages(num_cols, cat_cols, scaler: SQLTransformer | None = None):
     """M1/M4 (+M3): index and one-hot the categoricals (an unseen value maps
     to the dropped last slot, i.e. the all-zero vector), assemble with the
-    numeric columns, optionally standardise."""
-    stages = []
+    numeric columns, as they are or as the fitted ``scaler`` makes them."""
+    stages = [scaler] if scaler is not None else []
     ohe_out = []
     if cat_cols:
         idx = [f"{c}__idx" for c in cat_cols]
@@ -40,12 +52,9 @@ def feature_stages(num_cols, cat_cols, scale: bool = False):
         stages.append(StringIndexer(inputCols=list(cat_cols), outputCols=idx, handleInvalid="keep"))
         stages.append(OneHotEncoder(inputCols=idx, outputCols=ohe_out, dropLast=True,
                                     handleInvalid="keep"))
-    target = "features_raw" if scale else "features"
-    stages.append(VectorAssembler(inputCols=[*num_cols, *ohe_out], outputCol=target,
+    numbers = [f"{c}__std" for c in num_cols] if scaler is not None else list(num_cols)
+    stages.append(VectorAssembler(inputCols=[*numbers, *ohe_out], outputCol="features",
                                   handleInvalid="keep"))
-    if scale:
-        stages.append(StandardScaler(inputCol="features_raw", outputCol="features",
-                                     withMean=True, withStd=True))
     return stages
 
 
@@ -85,11 +94,11 @@ def fit_pipeline(train: DataFrame, num_cols, cat_cols, algorithm: str = "rf",
     """Fit encoder + classifier.  For the perceptron the input width is
     taken from the fitted feature stages.  With ``encode_on`` the encoders
     are fitted on that frame (e.g. the whole table before the split) and
-    the classifier on ``train``.  Logistic regression defaults to the L2
-    penalty with C = 1 (``l2_reg_param``)."""
+    the classifier on ``train``.  ``scale`` standardises the numeric columns by
+    ``train``.  Logistic regression defaults to the L2 penalty with C = 1 (``l2_reg_param``)."""
     if algorithm == "lr" and "reg_param" not in params:
         params["reg_param"] = l2_reg_param(train, weight_col, params.pop("c", 1.0))
-    stages = feature_stages(num_cols, cat_cols, scale)
+    stages = feature_stages(num_cols, cat_cols, numeric_scaler(train, num_cols) if scale and num_cols else None)
     if encode_on is not None:
         feat_model = Pipeline(stages=stages).fit(encode_on)
         if algorithm == "mlp":

@@ -9,9 +9,9 @@ from netvigil.functions import vocab
 from netvigil.functions.labels import normalize_label
 from netvigil.operators import features as ft
 from netvigil.operators import models, sampling
-from netvigil.plans import reports
+from netvigil.plans import file_queries, reports, training
 from netvigil.session import scratch_path
-from netvigil.sources import fixtures, lookups
+from netvigil.sources import csv_parts, fixtures, lookups
 
 SEED = 42
 TRAIN_CAP = 300_000  # rows per class used for training
@@ -29,9 +29,8 @@ def fitted(spark: SparkSession, sf_dir: str, algorithm: str = "rf"):
     data, nums, cats = _prepared(spark, sf_dir)
     train = data.filter(F.col("split") == "train")
     train = sampling.balance_min(train, "label", ["flow_id"], cap=TRAIN_CAP, seed=SEED)
-    params = {"rf": dict(num_trees=30, max_depth=10),
-              "lr": dict(max_iter=100),
-              "mlp": dict(max_iter=50, hidden=[128, 64])}[algorithm]
+    # library defaults; the perceptron's 100 steps are MLlib's own default (its solver has no epochs)
+    params = {"rf": {}, "lr": {}, "mlp": dict(max_iter=100, hidden=[128, 64])}[algorithm]
     weight = None
     if algorithm == "lr":
         train = ft.with_class_weight(train, "label")
@@ -133,14 +132,68 @@ def connlog_class_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     bal = sampling.balance_to_class(clean, "attack", ["uid"], keep_class=1, sample_class=0, seed=SEED)
     split = sampling.stratified_split(bal, "attack", 0.3, ["uid"], seed=SEED, exact=True)
     feats = ["id_orig_p", "duration", "conn_state", "orig_bytes"]
-    model = models.fit_pipeline(split.filter(F.col("split") == "train"), feats, [], "rf", "attack",
-                                num_trees=30, max_depth=10)
+    model = models.fit_pipeline(split.filter(F.col("split") == "train"), feats, [], "rf", "attack")
     scored = models.with_score(model, split.filter(F.col("split") == "test"))
     pred = scored.withColumn("pred", reports.predicted(F.col("score"), 0.5))
     return metrics.class_report(pred, "attack", "pred", digits=4)
 
 
+def _in_unit(*columns):
+    cond = F.lit(True)
+    for c in columns:
+        cond = cond & F.coalesce(F.col(c).between(0, 1), F.lit(False))
+    return cond
+
+
+MEASURES = ["accuracy", "precision", "recall_tpr", "f1", "fpr", "auc"]
+
+
+def model_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A16, M5-M7, M9 as far as SQL can say: per model the held-out rows of each class, whether every measure of its
+    report lies in [0, 1], ranks better than chance, and tells one total from its parts at a threshold of the grid."""
+    from netvigil.operators.threshold import candidate_thresholds
+    data, _, _ = _prepared(spark, sf_dir)
+    test = data.filter(F.col("split") == "test")
+    rows = None
+    for algo in ("rf", "lr", "mlp"):
+        scored = models.with_score(fitted(spark, sf_dir, algo)[0], test).select("label", "score")
+        one = reports.predict_full(scored, "label", "score", auto_metric="youden")
+        cells = F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")
+        one = one.select(F.lit(algo).alias("model"), "total_records", "support_0", "support_1",
+                         _in_unit(*MEASURES, "mse", "tnr_specificity").alias("in_unit"), (F.col("auc") > 0.5).alias("ranks"),
+                         ((cells == F.col("total_records"))
+                          & (F.col("anomalies_detected") == F.col("fp") + F.col("tp"))).alias("adds_up"),
+                         F.col("threshold").isin(candidate_thresholds()).alias("on_grid"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+def connlog_supports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A7 on a model: the supports of the per-class report, and whether its measures lie in [0, 1]."""
+    measures = F.coalesce(F.col("f1_score").between(0, 1), F.lit(False)) & F.coalesce(F.col("precision"), F.lit(0)).between(0, 1)
+    return connlog_class_report(spark, sf_dir).select("class", "support", measures.alias("in_unit"))
+
+
+def weighted_trainer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weighted 75/25 trainer on all labelled flows: held-out rows per class, measures in [0, 1]."""
+    f = fixtures.flows(spark, sf_dir).select("flow_id", "proto", "state", "pkts", "bytes", "score", "saddr", "attack")
+    _, row, _ = training.train_weighted(f, "attack", ["flow_id"])
+    return row.select("support_0", "support_1", _in_unit(*MEASURES).alias("in_unit"))
+
+
+def scaled_forest_trainer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample-and-scale trainer on part files: the first 1,000 rows per class, three tenths held out."""
+    names = ["flow_id", "proto", "pkts", "bytes", "score", "attack"]
+    parts = csv_parts.read_parts(spark, file_queries.written_parts(spark, sf_dir, names), names, glob="part-*.csv", positions=True)
+    _, row, _ = training.train_scaled_forest(parts, "attack", ["flow_id"], per_class=1_000)
+    return row.select("support_0", "support_1", _in_unit(*MEASURES).alias("in_unit"))
+
+
 QUERIES = {
+    "model_checks": model_checks,
+    "connlog_supports": connlog_supports,
+    "weighted_trainer": weighted_trainer,
+    "scaled_forest_trainer": scaled_forest_trainer,
     "rf_score": score_query("rf"),
     "lr_score": score_query("lr"),
     "mlp_score": score_query("mlp"),

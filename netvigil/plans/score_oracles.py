@@ -107,6 +107,10 @@ def _label_query(profile: str) -> str:
 _KEYWORD = " OR ".join(f"contains(lower(tunnel_parents), '{w}')" for w in vocab.KEYWORD_MALICIOUS)
 _BENIGN = " OR ".join(f"contains(lower(tunnel_parents), '{w}')" for w in vocab.KEYWORD_BENIGN)
 
+#: conn-log rows (cl) with their keyword label
+CONNLOG_LABEL = f"""SELECT uid, CASE WHEN tunnel_parents IS NULL THEN 0 WHEN {_BENIGN} THEN 0
+                 WHEN {_KEYWORD} THEN 1 ELSE 0 END AS attack FROM cl"""
+
 ORACLES = {
     "label_open": _label_query("open"),
     "label_named": _label_query("named"),
@@ -115,8 +119,7 @@ ORACLES = {
     "label_botnet": _label_query("botnet"),
     "label_strict": _label_query("strict"),
     "label_keyword": f"""WITH cl AS ({fixtures.CONNLOG_SQL})
-SELECT uid, CASE WHEN tunnel_parents IS NULL THEN 0 WHEN {_BENIGN} THEN 0
-                 WHEN {_KEYWORD} THEN 1 ELSE 0 END AS attack FROM cl""",
+{CONNLOG_LABEL}""",
     "clean_numeric": f"""WITH {FLOWS}
 SELECT flow_id, {_num('attack')} AS attack_num,
        coalesce(CASE WHEN NOT isnan({_num('attack')}) AND NOT isinf({_num('attack')}) THEN {_num('attack')} END, 0.0)

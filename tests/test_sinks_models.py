@@ -106,3 +106,22 @@ def test_train_target_balanced(spark, sf_dir):
     assert 0.0 <= row["accuracy"] <= 1.0 and row["support_0"] > 0 and row["support_1"] > 0
     assert set(meta["categorical_cols"]) == {"proto", "state", "category"}
     assert "pkSeqID" not in meta["feature_cols"] and "saddr" not in meta["feature_cols"]
+
+
+def test_numeric_scaler_is_the_population_one(spark, tmp_path):
+    """Mean 0 and population deviation 1 on the training rows, no variance gives 0; kept by a saved model."""
+    import numpy as np
+
+    from netvigil.operators import models
+
+    rows = [(float(i), 5.0, i % 3, i % 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "`id.p` double, flat double, cat int, label int").withColumnRenamed("id.p", "id_p")
+    stage = models.numeric_scaler(df, ["id_p", "flat"])
+    out = stage.transform(df).toPandas()
+    x = np.arange(40.0)
+    assert np.allclose(out["id_p__std"], (x - x.mean()) / x.std()) and (out["flat__std"] == 0).all()
+    model = models.fit_pipeline(df, ["id_p", "flat"], ["cat"], "lr", scale=True, max_iter=5)
+    models.save_model(model, {}, str(tmp_path / "m"))
+    again, _ = models.load_model(str(tmp_path / "m"))
+    one, two = (models.with_score(m, df).select("score").toPandas() for m in (model, again))
+    assert (one == two).all().all()
