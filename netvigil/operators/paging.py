@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BUCKETS = 1024
 MAX_SORTED = 20_000  # rows beyond which a bucket is cut further
@@ -27,11 +28,13 @@ def text_levels(column: str, chunks: int = 8) -> list[Column]:
 
 
 @dataclass
-class _Bound:
+class Bound:
     """Rows before it come earlier: the values of the first levels, then a least value of the next one."""
 
     fixed: list = field(default_factory=list)
     least: object = None
+    most: object = None  # greatest value of that level in the bucket that starts at the bound
+    rows: int = 0  # rows of that bucket
     before: int = 0  # rows ahead of the bound
     past: bool = False  # the place is after the last row
     rounds: int = 0
@@ -43,10 +46,29 @@ class _Bound:
             cond = (F.col(name) > F.lit(value)) | ((F.col(name) == F.lit(value)) & cond)
         return cond
 
+    def bucket(self, levels: list[str]) -> Column:
+        """Whether a row is in the bucket that starts at the bound."""
+        cond = F.lit(True) if self.least is None else F.col(levels[len(self.fixed)]).between(F.lit(self.least), F.lit(self.most))
+        for name, value in zip(levels, self.fixed):
+            cond = cond & (F.col(name) == F.lit(value))
+        return cond
+
+
+def order_levels(df: DataFrame, columns) -> list[Column]:
+    """Levels that rise with ``columns`` ascending, NULLs last."""
+    out = []
+    for c in columns:
+        out.append(F.col(c).isNull().cast("int"))
+        if isinstance(df.schema[c].dataType, T.NumericType):
+            out.append(F.coalesce(F.col(c), F.lit(0)))
+        else:
+            out += text_levels(c)
+    return out
+
 
-def _locate(df: DataFrame, levels: list[str], place: int, max_rows: int) -> _Bound:
+def locate(df: DataFrame, levels: list[str], place: int, max_rows: int) -> Bound:
     """The last bound with at most ``place`` rows ahead of it that has few rows up to that place."""
-    b = _Bound()
+    b = Bound()
     low = high = None  # range of the level that is searched
     while b.rounds < MAX_ROUNDS and len(b.fixed) < len(levels):
         level = levels[len(b.fixed)]
@@ -71,7 +93,7 @@ def _locate(df: DataFrame, levels: list[str], place: int, max_rows: int) -> _Bou
         b.least = low
         for h in hist:
             if b.before + h.n > place:
-                b.least = h.lo
+                b.least, b.most, b.rows = h.lo, h.hi, h.n
                 break
             b.before += h.n
         else:
@@ -81,7 +103,7 @@ def _locate(df: DataFrame, levels: list[str], place: int, max_rows: int) -> _Bou
             return b
         if h.lo == h.hi:
             b.fixed.append(h.lo)
-            b.least = low = high = None
+            b.least = b.most = low = high = None
         else:
             low, high = h.lo, h.hi
     return b
@@ -98,7 +120,7 @@ def page_rows(df: DataFrame, levels: list[Column], order: list[Column], start: i
     if total > max_sorted:
         names = [f"_level{i}" for i in range(len(levels))]
         rows = df.select("*", *[c.alias(n) for c, n in zip(levels, names)])
-        first, end = (_locate(rows, names, at, max_sorted) for at in (start, start + size))
+        first, end = (locate(rows, names, at, max_sorted) for at in (start, start + size))
         if first.past:
             return df.limit(0).withColumn(number, F.lit(0).cast("long"))
         near, before = rows.filter(first.reached(names)), first.before

@@ -11,7 +11,9 @@ that order" is done without ranking the whole class:
    (map-side combined; at most ``BUCKETS`` rows per class reach the driver);
 3. every row below the bucket that holds the k-th row is in; that
    boundary bucket is refined the same way until it holds at most
-   ``MAX_BOUNDARY`` rows (or holds one order value), and only those rows are ranked with a window.
+   ``MAX_BOUNDARY`` rows, and only those rows are ranked with a window;
+4. where more rows than that share one value of ``v``, the search goes on inside them by the next order
+   columns and last by a hash of the row; rows equal in every column need no ranking.
 
 The result is exact (equal to a full ``row_number`` ranking) and no task
 ever sorts a whole class, however large or skewed.
@@ -28,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netvigil.functions import vocab
+from netvigil.operators.paging import locate, order_levels
 from netvigil.operators.sizing import small_input
 from netvigil.session import checkpoint_dir
 
@@ -53,6 +56,7 @@ class _Cut:
     lo: float            # rows with v < lo are all selected
     hi: float | None     # boundary rows: lo <= v < hi (None: no boundary)
     r: int               # how many boundary rows to take
+    tied: bool = False   # too many boundary rows to rank, all with one value
 
 
 def _resolve(df: DataFrame, cls: str, v: str, need, hi0: dict | None,
@@ -120,7 +124,7 @@ def _resolve(df: DataFrame, cls: str, v: str, need, hi0: dict | None,
                         cuts[c] = _Cut(lo=nxt if nxt is not None else math.inf, hi=None, r=0)
                     elif n <= max_boundary or vmin == vmax:
                         # few enough to rank, or rows that only the order columns tell apart
-                        cuts[c] = _Cut(lo=vmin, hi=nxt, r=k - cum)
+                        cuts[c] = _Cut(lo=vmin, hi=nxt, r=k - cum, tied=n > max_boundary)
                     else:
                         st["lo"], st["base"] = vmin, cum
                         st["hi"] = nxt if nxt is not None else math.nextafter(vmax, math.inf)
@@ -141,35 +145,73 @@ def select_smallest(df: DataFrame, cls: str, v: str, order_cols, need,
     ``need`` may be a function of the class counts (see ``_resolve``).
     With ``flag`` every row is returned and the column ``flag`` tells
     whether it was selected (used for splits)."""
+    columns = df.columns
+    whole = F.xxhash64(*[F.col(f"`{x}`") for x in columns])
     cuts, _ = _resolve(df, cls, v, need, start_fraction, classes, max_boundary)
-    below, edges = F.lit(False), {}
+    levels: list[str] = []
+    if any(cut.tied for cut in cuts.values()):
+        made = [*order_levels(df, order_cols), whole]
+        levels = [f"_order{i}" for i in range(len(made))]
+        df = df.select("*", *[c.alias(n) for c, n in zip(made, levels)])
+    below, edges, equal = F.lit(False), [], []
     for c, cut in cuts.items():
         is_c = F.col(cls) == F.lit(c)
         if cut.lo == math.inf:
             below = below | is_c
         elif cut.lo != -math.inf:
             below = below | (is_c & (F.col(v) < F.lit(cut.lo)))
-            if cut.r > 0:
-                edge = is_c & (F.col(v) >= F.lit(cut.lo))
-                edges[c] = (edge if cut.hi is None else edge & (F.col(v) < F.lit(cut.hi)), cut.r)
-    # Boundary rows are ranked class by class in the whole order.  The literal limit lets every
-    # task drop all but its first r rows before the shuffle.
+            if cut.r <= 0:
+                continue
+            edge, r = is_c & (F.col(v) >= F.lit(cut.lo)), cut.r
+            if cut.hi is not None:
+                edge = edge & (F.col(v) < F.lit(cut.hi))
+            if cut.tied:
+                at = locate(df.filter(edge), levels, r, max_boundary or MAX_BOUNDARY)
+                if at.past:  # all of them
+                    below = below | edge
+                    continue
+                below = below | (edge & ~at.reached(levels))
+                edge, r = edge & at.bucket(levels), r - at.before
+                if r <= 0:
+                    continue
+                if at.least is None:  # equal in every column
+                    equal.append((edge, r, at.rows))
+                    continue
+            edges.append((edge, r))
+    # Boundary rows are ranked class by class in the whole order: few, whatever the input.
     # Rows equal in all order columns are told apart by a hash, equal rows need not be.
-    w = Window.partitionBy(cls).orderBy(F.col(v), *[F.col(o).asc_nulls_last() for o in order_cols],
-                                        F.xxhash64(*[F.col(f"`{x}`") for x in df.columns]))
+    w = Window.partitionBy(cls).orderBy(F.col(v), *[F.col(o).asc_nulls_last() for o in order_cols], whole)
     rank = lambda edge: df.filter(edge).withColumn("_rk", F.row_number().over(w))
-    boundary = F.lit(False)
-    for edge, _ in edges.values():
-        boundary = boundary | edge
     if flag:
+        boundary = F.lit(False)
+        for edge, *_ in [*edges, *equal]:
+            boundary = boundary | edge
         out = df.filter(~F.coalesce(boundary, F.lit(False))).withColumn(flag, below)
-        for edge, r in edges.values():
+        for edge, r in edges:
             out = out.unionByName(rank(edge).withColumn(flag, F.col("_rk") <= r).drop("_rk"))
-        return out
-    out = df.filter(below)
-    for edge, r in edges.values():
-        out = out.unionByName(rank(edge).filter(F.col("_rk") <= r).drop("_rk"))
-    return out
+        for edge, r, n in equal:
+            out = out.unionByName(_copies(df.filter(edge).limit(1), n).withColumn(flag, F.col("_copy") < r).drop("_copy"))
+    else:
+        out = df.filter(below)
+        for edge, r in edges:
+            out = out.unionByName(rank(edge).filter(F.col("_rk") <= r).drop("_rk"))
+        for edge, r, _ in equal:
+            out = out.unionByName(_copies(df.filter(edge).limit(1), r).drop("_copy"))
+    return out.drop(*levels)
+
+
+COPIES_A_ROW = 1 << 16
+
+
+def _copies(row: DataFrame, n: int) -> DataFrame:
+    """``n`` copies of the only row, numbered from 0 in ``_copy``, made by many tasks."""
+    chunks = -(-n // COPIES_A_ROW)
+    many = row.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)).cast("array<bigint>")))
+    if chunks > 1:
+        many = many.repartition(min(chunks, 1024), "_chunk")
+    first = F.col("_chunk") * COPIES_A_ROW
+    last = F.least(first + COPIES_A_ROW, F.lit(n).cast("long")) - 1
+    return many.withColumn("_copy", F.explode(F.sequence(first, last))).drop("_chunk")
 
 
 def class_counts(df: DataFrame, y: str) -> dict:
@@ -212,6 +254,8 @@ def exact_k(df: DataFrame, y: str, need, key_cols, seed: int = vocab.SEED,
         out = select_smallest(ranked, y, "_v", ["_h", *key_cols], need, start, flag, classes=keep)
         if flag is None:
             out = out.filter(F.col(y).isin(keep)) if keep else out.limit(0)
+        if flag:  # every row comes back: nothing is copied, the flag is an expression but for the boundary
+            return out.drop("_h", "_v")
         # materialise the result in the reliable checkpoint folder (cuts lineage
         # for the training that usually follows) before the cache is released
         checkpoint_dir(df.sparkSession)

@@ -46,10 +46,10 @@ def test_page_sorts_little(spark):
     df = spark.range(20_000).select((F.col("id") % 2 * 0).alias("v"), F.format_string("%08d", "id").alias("t")).cache()
     rows = df.select("*", F.col("v").alias("_l0"), *[c.alias(f"_l{i + 1}") for i, c in enumerate(paging.text_levels("t"))])
     names = [c for c in rows.columns if c.startswith("_l")]
-    first = paging._locate(rows, names, 19_990, 100)
+    first = paging.locate(rows, names, 19_990, 100)
     assert first.fixed[0] == 0 and first.before <= 19_990
     assert rows.filter(first.reached(names)).count() == 20_000 - first.before <= 110
-    assert paging._locate(rows, names, 20_000, 100).past
+    assert paging.locate(rows, names, 20_000, 100).past
     df.unpersist()
 
 

@@ -164,3 +164,47 @@ def test_first_n_of_equal_rows_ends(spark, monkeypatch):
     assert sampling.first_n_per_class(df, "label", 20, ["ts"], max_boundary=10).count() == 40
     nulls = spark.createDataFrame([(c, None) for c in (0, 1) for _ in range(9)], "label int, ts long")
     assert sampling.first_n_per_class(nulls, "label", 4, ["ts"]).count() == 8
+
+
+@pytest.mark.parametrize("order", [["a", "s"], ["a", "s", "k"], ["a"]])
+def test_tied_boundaries_are_refined(spark, order):
+    """Three order values, far more rows each than are ranked at once: next columns decide, then the row."""
+    import random
+
+    rng = random.Random(6)
+    rows = [(rng.randint(0, 1), rng.choice([1, 2, 2, 2, None]), rng.choice(["x", "y", "ü", None]), i) for i in range(4000)]
+    df = spark.createDataFrame(rows, "y int, a int, s string, k int").repartition(5)
+    got = sampling.first_n_per_class(df, "y", 900, order, max_boundary=40).collect()
+    last = lambda v: (v is None, v.encode() if isinstance(v, str) else v or 0)
+    at = {"a": 1, "s": 2, "k": 3}
+    key = lambda r: tuple(last(r[at[c]]) for c in order)
+    for c in (0, 1):
+        want = sorted((r for r in rows if r[0] == c), key=key)[:900]
+        own = [tuple(r) for r in got if r.y == c]
+        assert len(set(own)) == 900
+        assert sorted(map(key, own)) == [key(r) for r in want]
+    again = sampling.first_n_per_class(df.repartition(3), "y", 900, order, max_boundary=40).collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, got))
+
+
+def test_equal_rows_need_no_ranking(spark, monkeypatch):
+    """A third of all rows are one row: exact counts in the sample and in the split, no window over them."""
+    monkeypatch.setattr(sampling, "MAX_BOUNDARY", 50)
+    monkeypatch.setattr(sampling, "COPIES_A_ROW", 64)
+    rows = [(0, "hot")] * 1000 + [(0, f"k{i}") for i in range(1500)] + [(1, f"k{i}") for i in range(500)]
+    df = spark.createDataFrame(rows, "label int, k string").repartition(6)
+    take = sampling.exact_k(df, "label", {0: 1600, 1: 10}, ["k"]).collect()
+    order = sorted((hashlib.md5(f"42:{k}".encode()).hexdigest(), k) for c, k in rows if c == 0)[:1600]
+    assert sorted(r.k for r in take if r.label == 0) == sorted(k for _, k in order)
+    split = sampling.stratified_split(df, "label", 0.5, ["k"], exact=True)
+    assert "_order" not in " ".join(split.columns)
+    got = split.groupBy("label", "split").count().collect()
+    assert {(r.label, r.split): r["count"] for r in got} == {(0, "test"): 1250, (0, "train"): 1250, (1, "test"): 250, (1, "train"): 250}
+    assert split.filter("k = 'hot'").count() == 1000
+
+
+def test_split_makes_no_copy(spark, sf_dir):
+    """The split flag is planned over the input itself: no checkpoint, no cache."""
+    split = sampling.stratified_split(_events(spark, sf_dir), "label", 0.3, ["event_id"], exact=True)
+    plan = split._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" in plan and "InMemoryRelation" not in plan and "ExistingRDD" not in plan
