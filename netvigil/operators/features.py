@@ -114,6 +114,13 @@ def downcast(df: DataFrame, cols=None, keep=()) -> DataFrame:
     return df.select(*out)
 
 
+def numeric_and_categorical(df: DataFrame, keep=()) -> tuple[list, list]:
+    """Feature columns by type: numbers, and everything else as categories."""
+    feats = [f for f in df.schema.fields if f.name not in keep]
+    nums = [f.name for f in feats if isinstance(f.dataType, T.NumericType)]
+    return nums, [f.name for f in feats if f.name not in nums]
+
+
 def align_features(df: DataFrame, features, strict_numeric: bool = False, keep=()) -> DataFrame:
     """Exactly ``features`` in order; a missing feature is 0.  With
     ``strict_numeric`` every feature is coerced and NULL/bad/non-finite -> 0."""

@@ -50,8 +50,8 @@ def feature_stages(num_cols, cat_cols, scaler: SQLTransformer | None = None):
         idx = [f"{c}__idx" for c in cat_cols]
         ohe_out = [f"{c}__ohe" for c in cat_cols]
         stages.append(StringIndexer(inputCols=list(cat_cols), outputCols=idx, handleInvalid="keep"))
-        stages.append(OneHotEncoder(inputCols=idx, outputCols=ohe_out, dropLast=True,
-                                    handleInvalid="keep"))
+        # the indexer's extra value is the last one, which the encoder drops; its own "keep" would add another
+        stages.append(OneHotEncoder(inputCols=idx, outputCols=ohe_out, dropLast=True))
     numbers = [f"{c}__std" for c in num_cols] if scaler is not None else list(num_cols)
     stages.append(VectorAssembler(inputCols=[*numbers, *ohe_out], outputCol="features",
                                   handleInvalid="keep"))

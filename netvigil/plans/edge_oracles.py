@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from netvigil.plans.file_oracles import _fill, _rows
 from netvigil.plans.sample_oracles import EV, _md5
-from netvigil.plans.score_oracles import FLOWS, GROUPED, AUC, LABELLED, ORACLES as SCORES, SWEEP, _best, _ratio, _roc
+from netvigil.plans.score_oracles import COUNTS, FLOWS, GROUPED, AUC, LABELLED, ORACLES as SCORES, SWEEP, _best, _ratio, _roc
 from netvigil.sources import fixtures
 
 # --- fixed values: what each profile makes of each text -----------------------------------------
@@ -110,6 +111,26 @@ none AS (SELECT CAST(NULL AS DOUBLE) AS z),
 p AS (SELECT proto, max(score) AS hi, min(score) AS lo, count(*) AS n, CAST(CAST(max(bytes) AS FLOAT) AS DOUBLE) AS f FROM s GROUP BY proto)
 SELECT proto, hi AS top, z AS gap, z AS low, n, hi AS a0, z AS a1, z AS a2, lo AS a3, 4 AS a_size, hi AS x0, z AS x1,
   hi AS m_top, z AS m_gap, f FROM p, none""",
+    "confusion_report": f"""WITH {LABELLED},\n{COUNTS}
+SELECT '0,1' AS labels, tn AS n00, fp AS n01, fn AS n10, tp AS n11, {', '.join(
+    f"round_even(CAST({c} AS DOUBLE) / greatest(tn + fp + fn + tp, 1), 4) AS {p}"
+    for c, p in (('tn', 'p00'), ('fp', 'p01'), ('fn', 'p10'), ('tp', 'p11')))} FROM c""",
+    "align_loose": f"""WITH {FLOWS}
+SELECT flow_id, score, proto, CAST(0 AS INTEGER) AS spkts, category, pkts FROM flows""",
+    "typed_features": f"""WITH {FLOWS}
+SELECT count(*) AS n, CAST(sum(pkts) AS BIGINT) AS pkts, count(*) FILTER (WHERE pkts > 25) AS some,
+  'pkts:int,score:float,some:int,ratio:float' AS numeric, 'proto,category' AS categorical FROM flows""",
+    "encode_whole_table": f"""WITH {FLOWS}
+SELECT 1 + count(DISTINCT proto) AS whole_width, CAST(0 AS BIGINT) AS whole_unmarked,
+  1 + count(DISTINCT proto) FILTER (WHERE proto <> 'arp') AS train_width, count(*) FILTER (WHERE proto = 'arp') AS train_unmarked FROM flows""",
+    "first_n_file": f"""WITH {_rows('closed')},
+t AS (SELECT least(400, min(c)) AS n FROM (SELECT count(*) AS c FROM rows GROUP BY label))
+SELECT flow_id, pkts, label, 'flow_id,pkts,label' AS columns FROM (
+  SELECT r.flow_id, r.label, w.pkts, row_number() OVER (PARTITION BY r.label ORDER BY f, line) AS rn
+  FROM rows r JOIN flows w ON r.flow_id = w.flow_id) WHERE rn <= (SELECT n FROM t)""",
+    "balanced_file": f"""WITH {_rows('botnet')},
+{_fill('f', 'n', 'CASE label WHEN 1 THEN 250 ELSE 750 END')}
+SELECT p.flow_id, w.attack FROM pool p JOIN flows w ON p.flow_id = w.flow_id""",
     "union_labelled": f"""WITH {FLOWS}
 SELECT flow_id, CAST(NULL AS BIGINT) AS event_id, attack AS label_raw FROM flows
 UNION ALL SELECT NULL, event_id, CAST(label AS VARCHAR) FROM ({fixtures.LABELLED_EVENTS_SQL}) e""",

@@ -3,17 +3,19 @@ missing order values, scores outside [0, 1], text columns, ragged CSV rows, repo
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netvigil.functions.labels import normalize_label
-from netvigil.operators import combine, curves, metrics, sampling, threshold
+from netvigil.operators import combine, curves, features, metrics, models, sampling, threshold
 from netvigil.operators import devices as dv
-from netvigil.plans import reports
+from netvigil.plans import datasets, file_queries, reports
 from netvigil.plans.score_queries import labelled_flows
 from netvigil.session import scratch_path
 from netvigil.sinks import reports as sinks
-from netvigil.sources import csv_parts, fixtures
+from netvigil.sources import csv_parts, fixtures, mixed
 
 LABEL_TEXTS = ["ddos", "botnet", "yes", "no", "2", "-1", "0.5", "inf", "", " Normal", "BENIGN", "n/a",
                None, "Attack", "1.0", "scan", "true", "0", "Theft "]
@@ -137,6 +139,73 @@ def json_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.try_element_at("m", F.lit("gap")).alias("m_gap"), F.col("f").cast("double").alias("f"))
 
 
+def confusion_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K5: matrix and shares of the total, written as JSON and read back."""
+    f = labelled_flows(spark, sf_dir)
+    report = sinks.confusion_report(metrics.confusion(f, "y", "pred"), normalize="all")
+    path = scratch_path(spark, "confusion")
+    sinks.write_json_row(report, path)
+    back = spark.read.schema(report.schema).json(path)
+    cells = [(a, p) for a in (0, 1) for p in (0, 1)]
+    return back.select(F.array_join("labels", ",").alias("labels"), *[F.col("matrix")[a][p].alias(f"n{a}{p}") for a, p in cells],
+                       *[F.col("matrix_pct")[a][p].alias(f"p{a}{p}") for a, p in cells])
+
+
+def align_loose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model's columns in its order, absent ones 0, others dropped, present ones (also text) as they are."""
+    f = fixtures.flows(spark, sf_dir)
+    return features.align_features(f, ["score", "proto", "spkts", "category", "pkts"], keep=["flow_id"])
+
+
+def typed_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text columns typed by their values, then told apart as numeric (with their types) and categorical."""
+    f = fixtures.flows(spark, sf_dir)
+    text = f.select("flow_id", "proto", F.col("pkts").cast("string").alias("pkts"), F.col("score").cast("string").alias("score"),
+                    F.when(F.col("pkts") > 25, F.col("bytes")).cast("string").alias("some"), F.col("score").alias("ratio"), "category")
+    typed = features.downcast(text, keep=["flow_id"])
+    nums, cats = features.numeric_and_categorical(typed, keep=["flow_id"])
+    kinds = ",".join(f"{c}:{typed.schema[c].dataType.simpleString()}" for c in nums)
+    return typed.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("pkts").cast("long")).alias("pkts"), F.count("some").alias("some")).select(
+        "*", F.lit(kinds).alias("numeric"), F.lit(",".join(cats)).alias("categorical"))
+
+
+def encode_whole_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M2 beside M1: width of the feature vector when the encoder sees the whole table or the training rows only, and how many
+    rows of a value that is not among those have no mark."""
+    f = fixtures.flows(spark, sf_dir).select("proto", F.col("pkts").cast("double").alias("pkts"))
+    train = f.filter("proto <> 'arp'")
+    row = None
+    for name, on in (("whole", f), ("train", train)):
+        x = Pipeline(stages=models.feature_stages(["pkts"], ["proto"])).fit(on).transform(f)
+        v = vector_to_array("features")
+        one = x.agg(F.max(F.size(v)).cast("long").alias(f"{name}_width"),
+                    F.count_if(F.aggregate(F.slice(v, 2, 100), F.lit(0.0), lambda a, b: a + b) == 0).alias(f"{name}_unmarked"))
+        row = one if row is None else row.crossJoin(one)  # two single rows
+    return row
+
+
+def first_n_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 400 rows per class of the part files, one integer label, stale label columns gone, as
+    shuffled CSV files read back."""
+    names = ["flow_id", "attack", "category", "pkts"]
+    path = scratch_path(spark, "first")
+    parts = file_queries.written_parts(spark, sf_dir, names)
+    datasets.first_n_sample_file(spark, parts, names, path, per_class=400, glob="part-*.csv")
+    rows, _ = mixed.read_mixed(spark, path, "part-*.csv", candidates=["label"])
+    return rows.select("flow_id", F.col("pkts").cast("bigint").alias("pkts"), F.col("label").cast("int").alias("label"),
+                       F.lit(",".join(c for c in rows.columns if c != "label_raw")).alias("columns"))
+
+
+def balanced_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The balanced test file, filled file by file, written and read back."""
+    names = ["flow_id", "attack"]
+    path = scratch_path(spark, "balanced")
+    datasets.balanced_test_file(spark, file_queries.written_parts(spark, sf_dir, names), names, path, rows=1_000, pos_frac=0.25,
+                                glob="part-*.csv")
+    rows, _ = mixed.read_mixed(spark, path, "part-*.csv")
+    return rows.select("flow_id", "attack")
+
+
 def union_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources with different label columns; one without any is left out."""
     sources = [fixtures.flows(spark, sf_dir).select("flow_id", "attack"),
@@ -176,6 +245,12 @@ QUERIES = {
     "roc_report": roc_report,
     "metrics_roundtrip": metrics_roundtrip,
     "json_safe": json_safe,
+    "confusion_report": confusion_report,
+    "align_loose": align_loose,
+    "typed_features": typed_features,
+    "encode_whole_table": encode_whole_table,
+    "first_n_file": first_n_file,
+    "balanced_file": balanced_file,
     "union_labelled": union_labelled,
     "csv_tolerant": csv_tolerant,
 }

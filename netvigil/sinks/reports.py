@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from netvigil.functions.numeric import finite_or_null, round_half_even
+from netvigil.sources.csv_parts import TEXT_OPTS
 
 
 def _has_floats(t: T.DataType) -> bool:
@@ -53,7 +54,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", header: bool = T
         out = out.orderBy(*order_by)
     w = out.write.mode("overwrite")
     if fmt == "csv":
-        w.option("header", header).csv(path)
+        w.options(**TEXT_OPTS).option("header", header).csv(path)  # blanks in texts are kept
     elif fmt == "json":
         w.json(path)
     else:
