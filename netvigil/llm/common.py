@@ -13,15 +13,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` below the shared checkpoint folder and read it back.
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write ``df`` below the shared checkpoint folder (with Parquet writer options) and read it back.
 
     Cuts the lineage: later stages re-read files instead of recomputing, and a lost
     executor costs only its running tasks.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

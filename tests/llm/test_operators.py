@@ -326,11 +326,27 @@ def test_lm_codes_texts_not_words(spark):
         assert out[-i].score < 1.2 * out[i].score
 
 
+def test_lm_scores_depend_on_the_data_only(spark, docs, monkeypatch):
+    """One partition or seven, rows in another order, contexts held or joined: the same scores."""
+    monkeypatch.setattr(lm_scoring, "SHARD_BYTES", 1 << 16)  # several shards
+    some = docs.where("doc_id % 4 = 0").unionByName(docs.where("doc_id = 8")).select("doc_id", "text")
+    taught = crc_mod("doc_id", 7) != 2
+    got = []
+    for rows, known in ((some.coalesce(1), lm_scoring.KNOWN_WORDS), (some.repartition(7, "text"), lm_scoring.KNOWN_WORDS),
+                        (some.repartition(3), 50)):
+        got.append(sorted((r.doc_id, r.score, r.base_score, r.n_tokens) for r in lm_scoring.lm_scores(rows, taught, known).collect()))
+    for other in got[1:]:
+        assert [r[0] for r in other] == [r[0] for r in got[0]]
+        for a, b in zip(got[0], other):
+            assert a == pytest.approx(b, rel=1e-9)
+    assert sum(r[0] == 8 for r in got[0]) == 2
+
+
 def test_lm_counts_keep_contexts_apart(spark, docs, texts):
     """Every context of the corpus has its own exact counts, joined or held alike."""
     streams = docs.mapInArrow(lambda it: lm_scoring._streams(
         b.append_column("train", pa.array([True] * b.num_rows)) for b in it),
-        "doc_id long, shard long, n long, word binary")
+        "doc_id long, n long, word binary")
     got = lm_scoring.Counts(lm_scoring.context_table(streams).toArrow())
     follow = defaultdict(Counter)
     for t in texts.values():
