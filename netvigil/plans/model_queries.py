@@ -15,6 +15,8 @@ from netvigil.sources import csv_parts, fixtures, lookups
 
 SEED = 42
 TRAIN_CAP = 300_000  # rows per class used for training
+#: the library's 200 trees, but 10 levels: at 20 levels they do not fit Spark's default driver heap of 1 GB in local mode
+FOREST = {"max_depth": 10}
 
 
 def _prepared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list, list]:
@@ -29,8 +31,8 @@ def fitted(spark: SparkSession, sf_dir: str, algorithm: str = "rf"):
     data, nums, cats = _prepared(spark, sf_dir)
     train = data.filter(F.col("split") == "train")
     train = sampling.balance_min(train, "label", ["flow_id"], cap=TRAIN_CAP, seed=SEED)
-    # library defaults; the perceptron's 100 steps are MLlib's own default (its solver has no epochs)
-    params = {"rf": {}, "lr": {}, "mlp": dict(max_iter=100, hidden=[128, 64])}[algorithm]
+    # library defaults but for FOREST; the perceptron's 100 steps are MLlib's own default (its solver has no epochs)
+    params = {"rf": dict(FOREST), "lr": {}, "mlp": dict(max_iter=100, hidden=[128, 64])}[algorithm]
     weight = None
     if algorithm == "lr":
         train = ft.with_class_weight(train, "label")
@@ -132,7 +134,7 @@ def connlog_class_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     bal = sampling.balance_to_class(clean, "attack", ["uid"], keep_class=1, sample_class=0, seed=SEED)
     split = sampling.stratified_split(bal, "attack", 0.3, ["uid"], seed=SEED, exact=True)
     feats = ["id_orig_p", "duration", "conn_state", "orig_bytes"]
-    model = models.fit_pipeline(split.filter(F.col("split") == "train"), feats, [], "rf", "attack")
+    model = models.fit_pipeline(split.filter(F.col("split") == "train"), feats, [], "rf", "attack", **FOREST)
     scored = models.with_score(model, split.filter(F.col("split") == "test"))
     pred = scored.withColumn("pred", reports.predicted(F.col("score"), 0.5))
     return metrics.class_report(pred, "attack", "pred", digits=4)
@@ -177,7 +179,7 @@ def connlog_supports(spark: SparkSession, sf_dir: str) -> DataFrame:
 def weighted_trainer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The weighted 75/25 trainer on all labelled flows: held-out rows per class, measures in [0, 1]."""
     f = fixtures.flows(spark, sf_dir).select("flow_id", "proto", "state", "pkts", "bytes", "score", "saddr", "attack")
-    _, row, _ = training.train_weighted(f, "attack", ["flow_id"])
+    _, row, _ = training.train_weighted(f, "attack", ["flow_id"], **FOREST)
     return row.select("support_0", "support_1", _in_unit(*MEASURES).alias("in_unit"))
 
 
