@@ -369,9 +369,12 @@ def set_classes(docs: DataFrame, threshold: float = THRESHOLD, k: int = K,
     wanted = (own.join(weight, "root").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
               .select("rep", "root", "chunk", "chunks", "copies", F.col("node").alias("set_id")))
     wanted = written(wanted, "wanted")
-    # texts that certainly stand for no wanted set are left out before the shuffle
-    texts = (marked(rows, F.col("doc_id"), key_filter(wanted.select("rep"))).where("_maybe").drop("_maybe")
-             .join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).drop("doc_id", "rep"))
+    # texts that certainly stand for no wanted set are left out before the shuffle; both keys, as many sets may share an
+    # id (or have none): a text meets its own set only
+    texts = marked(rows, F.col("doc_id"), key_filter(wanted.select("rep"))).where("_maybe").drop("_maybe")
+    texts = (texts.mapInArrow(_with_set_id(k), "doc_id long, text string, _set long")
+             .join(wanted, (F.col("_set") == F.col("set_id")) & F.col("doc_id").eqNullSafe(F.col("rep")))
+             .drop("doc_id", "rep", "_set"))
     payload = texts.mapInArrow(_set_rows(k), (
         "root long, chunk int, chunks int, copies long, set_id long, sig binary, shingles binary"))
     full = schedule([32, 64, 96, 128, N_HASH], threshold, tolerance)

@@ -137,16 +137,17 @@ def pack(items: DataFrame, capacity: int = CAPACITY, nearly_full: int = NEARLY_F
     order = [F.col("fill").desc(), F.col("members")[0]]
     bins = items.select(F.col("length").alias("fill"), F.array(F.struct(
         "doc_id", "piece", "start", "length", "ids_crc32", F.lit(0).cast("long").alias("offset"))).alias("members"))
+    # dealt by the written row's number, so that rows which are equal in every field are spread as others are
+    bins = bins.withColumn("bin_id", F.monotonically_increasing_id())
     n = items.count()
     done, level, was = [], 0, None
     while True:
         tasks = max(1, -(-n // items_a_task))
         if level:
             tasks = max(1, min(tasks * FAN_IN, -(-before // FAN_IN)) if tasks > 1 else 1)
-            bins = bins.repartition(tasks, F.xxhash64(F.lit(level), F.col("members")[0]))
         else:
             tasks = bins_partitions(n, items_a_task, items)
-            bins = bins.repartition(tasks, F.xxhash64(F.col("members")[0]))
+        bins = bins.repartition(tasks, F.xxhash64(F.lit(level), "bin_id"))
         before = tasks
         out = written(bins.select("fill", "members").sortWithinPartitions(*order)
                       .mapInArrow(pack_round(capacity, nearly_full, level), schema), "pack")

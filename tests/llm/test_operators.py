@@ -145,6 +145,16 @@ def test_packing_rounds_and_odd(spark):
     assert packing.pack_documents(empty_docs(spark)).count() == 0
 
 
+def test_packing_deals_equal_rows(spark):
+    """A third of all pieces are equal (NULL id): no task of a round gets much more than the mean."""
+    rows = [(None, 0, 0, 7, 1)] * 3000 + [(i, 0, 0, 1 + i % 60, i) for i in range(6000)]
+    items = common.written(spark.createDataFrame(rows, packing.PIECE).repartition(3), "test-pieces")
+    out = packing.pack(items, capacity=100, nearly_full=1, items_a_task=1200).collect()  # every bin is emitted at once
+    assert sorted(r.length for r in out) == sorted(r[3] for r in rows)
+    tasks = Counter(r.sequence_id >> 32 for r in out)  # a bin's number holds its task's
+    assert len(tasks) == 8 and max(tasks.values()) <= 1.25 * len(rows) / 8
+
+
 # ---- 1 and 3: quality -----------------------------------------------------------------------
 
 def base_counts(text):
@@ -457,6 +467,32 @@ def test_jaccard_join_odd(spark):
     assert jaccard_join.distinct_documents(empty_docs(spark)).count() == 0
 
 
+def test_jaccard_join_shared_ids(spark, monkeypatch):
+    """A third of the ids NULL, a third one id: right classes, and a text meets the one set that is its own."""
+    rng = random.Random(9)
+    rows = [r for i in range(30) for r in edited(rng, [f"v{rng.randint(0, 300)}" for _ in range(rng.randint(8, 90))], 4, 2)]
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else 100 + i, t) for i, t in enumerate(rows)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    met, rows_of = [], jaccard_join._set_rows
+
+    def counted(k):
+        seen = spark.sparkContext.accumulator(0)
+        met.append(seen)
+        own = rows_of(k)
+
+        def run(batches):
+            def through():
+                for b in batches:
+                    seen.add(b.num_rows)
+                    yield b
+            yield from own(through())
+        return run
+    monkeypatch.setattr(jaccard_join, "_set_rows", counted)
+    got = sorted(((r.doc_id, r.class_id, r.n_links) for r in jaccard_join.jaccard_join(d).collect()), key=str)
+    assert got == sorted(brute_classes(rows), key=str)
+    assert 0 < met[0].value <= len(rows)
+
+
 @pytest.mark.parametrize("bits", [1 << 24, 64])
 def test_distinct_documents_odd(spark, monkeypatch, bits):
     """One row of each class, repeated and NULL ids too; a full key filter changes nothing."""
