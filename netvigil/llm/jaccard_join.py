@@ -332,6 +332,28 @@ def _tiles(df: DataFrame, *group: str) -> DataFrame:
     return out.repartition(*group, "i", "j").sortWithinPartitions(*group, "i", "j")
 
 
+def _texts_of(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """Texts of ``rows`` beside the set of ``wanted`` that they stand for, found by the set's smallest id.
+
+    Texts that certainly stand for no wanted set are left out before the shuffle.  Where sets share an id (or
+    have none) a text meets its own set only, by id and set.
+    """
+    def near(sets):
+        return marked(rows, F.col("doc_id"), key_filter(sets.select("rep"))).where("_maybe").drop("_maybe")
+
+    same_id = F.col("doc_id").eqNullSafe(F.col("rep"))
+    shared = written(wanted.groupBy("rep").agg(F.count("*").alias("m")).where("m > 1").select(F.col("rep").alias("_rep")),
+                     "shared-ids")
+    if shared.isEmpty():
+        return near(wanted).join(wanted, same_id).drop("doc_id", "rep")
+    on = F.col("rep").eqNullSafe(F.col("_rep"))
+    alone = written(wanted.join(shared, on, "left_anti"), "wanted-alone")
+    several = written(wanted.join(shared, on, "left_semi"), "wanted-shared")
+    named = near(several).mapInArrow(_with_set_id(k), "doc_id long, text string, _set long")
+    named = named.join(several, same_id & (F.col("_set") == F.col("set_id"))).drop("doc_id", "rep", "_set")
+    return near(alone).join(alone, same_id).drop("doc_id", "rep").unionByName(named)
+
+
 def set_classes(docs: DataFrame, threshold: float = THRESHOLD, k: int = K,
                 tolerance: float = TOLERANCE) -> tuple[DataFrame, DataFrame]:
     """Rows (``doc_id, set_id``) and distinct sets (``set_id, rep, copies, links, root``), written.
@@ -369,12 +391,7 @@ def set_classes(docs: DataFrame, threshold: float = THRESHOLD, k: int = K,
     wanted = (own.join(weight, "root").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
               .select("rep", "root", "chunk", "chunks", "copies", F.col("node").alias("set_id")))
     wanted = written(wanted, "wanted")
-    # texts that certainly stand for no wanted set are left out before the shuffle; both keys, as many sets may share an
-    # id (or have none): a text meets its own set only
-    texts = marked(rows, F.col("doc_id"), key_filter(wanted.select("rep"))).where("_maybe").drop("_maybe")
-    texts = (texts.mapInArrow(_with_set_id(k), "doc_id long, text string, _set long")
-             .join(wanted, (F.col("_set") == F.col("set_id")) & F.col("doc_id").eqNullSafe(F.col("rep")))
-             .drop("doc_id", "rep", "_set"))
+    texts = _texts_of(rows, wanted, k)
     payload = texts.mapInArrow(_set_rows(k), (
         "root long, chunk int, chunks int, copies long, set_id long, sig binary, shingles binary"))
     full = schedule([32, 64, 96, 128, N_HASH], threshold, tolerance)
