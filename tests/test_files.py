@@ -205,3 +205,31 @@ def test_predict_full_scores_once(spark, tmp_path):
     assert reports.predict_full(df, auto_metric="f1").first().total_records == 100
     assert seen.value == 100
     assert math.isclose(reports.predict_full(df).first().threshold, 0.5)
+
+
+def test_files_and_training_parts_follow_the_rows(spark, sf_dir, monkeypatch):
+    f = fixtures.flows(spark, sf_dir)
+    assert sizing.files_for(f, 4) == 4
+    monkeypatch.setattr(sizing, "BYTES_A_FILE", sizing.input_bytes(f) // 10)
+    assert sizing.files_for(f, 4) in (10, 11)
+    assert sizing.files_for(spark.range(5).rdd.toDF("k long"), 4) == 4  # size not known
+
+    df = spark.range(1000).withColumn("x", F.col("id") % 7)
+    few = sizing.training_rows(df.coalesce(1), ["id"], rows_a_task=100)
+    many = sizing.training_rows(df.repartition(90), ["id"], rows_a_task=100)
+    assert few.rdd.getNumPartitions() == many.rdd.getNumPartitions() == 10
+    assert few.rdd.glom().collect() == many.rdd.glom().collect()  # the learners' draws do not depend on the source
+
+
+def test_csv_and_stream_files_grow_with_the_input(spark, sf_dir, monkeypatch):
+    from netvigil.plans import file_queries, source_queries
+
+    plain = {q.__name__: sorted(map(str, q(spark, sf_dir).collect()))
+             for q in (source_queries.csv_roundtrip, source_queries.stream_device_rollup, file_queries.shuffled_parts)}
+    monkeypatch.setattr(sizing, "BYTES_A_FILE", 20_000)
+    asked = []
+    monkeypatch.setattr(source_queries.csv_parts, "write_parts", lambda df, path, parts, header=False, w=source_queries.csv_parts.write_parts:
+                        (asked.append(parts), w(df, path, parts, header))[1])
+    for q in (source_queries.csv_roundtrip, source_queries.stream_device_rollup, file_queries.shuffled_parts):
+        assert sorted(map(str, q(spark, sf_dir).collect())) == plain[q.__name__]
+    assert asked[0] > 4
