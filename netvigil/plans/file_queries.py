@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from netvigil.functions.labels import normalize_label
 from netvigil.operators import combine, dedup, fill, sampling
+from netvigil.operators.sizing import files_for, written
 from netvigil.session import scratch_path
 from netvigil.sources import csv_parts, fixtures, mixed
 
@@ -62,7 +63,7 @@ def balance_by_batch_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def first_n_file_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B1: the first 2,500 rows per class as they stand in the files."""
-    rows = _labelled(spark, sf_dir, "open")
+    rows = written(_labelled(spark, sf_dir, "open"), "labelled")  # the files are parsed for this table only
     return sampling.first_n_per_class(rows, "label", 2_500, ["_pos"]).select("flow_id", "label", "_pos")
 
 
@@ -90,7 +91,8 @@ def dedup_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shuffled_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shuffled CSV parts written by many tasks, read back in file order: the files in turn are the shuffle."""
     path = scratch_path(spark, "shuffled")
-    combine.write_shuffled(fixtures.flows(spark, sf_dir).select("flow_id", "attack"), path, ["flow_id"], files=5)
+    f = fixtures.flows(spark, sf_dir).select("flow_id", "attack")
+    combine.write_shuffled(f, path, ["flow_id"], files=files_for(f, 5))
     back = csv_parts.read_parts(spark, path, ["flow_id", "attack"], glob="part-*.csv", positions=True)
     return back.select("flow_id", (F.col("_pos") - F.col("_file_no")).alias("place"))  # a header line a file
 
