@@ -106,22 +106,47 @@ def _train_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["quality", "fold", "idx", "val"])
 
 
+def _flat(column: pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all rows of a binary column side by side, as they lie in it, and where each row starts."""
+    whole = pa.concat_arrays([c.cast(pa.large_binary()) for c in column.chunks] or [pa.array([], pa.large_binary())])
+    _, offs, data = whole.buffers()
+    off = np.frombuffer(offs, np.int64, len(whole) + 1, whole.offset * 8)
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return raw[off[0]:off[-1]].view(kind), (off - off[0]) // 4
+
+
 class _Rows:
-    """Sparse rows side by side."""
+    """Sparse rows side by side, passed over ``BLOCK`` occurrences at a time: the driver holds them once."""
+
+    BLOCK = 1 << 20
 
     def __init__(self, tab: pa.Table):
-        i, v = tab.column("idx").to_pylist(), tab.column("val").to_pylist()
-        self.n = np.array([len(x) // 4 for x in i], np.int64)
-        self.idx = np.frombuffer(b"".join(i), "<u4").astype(np.int32)
-        self.val = np.frombuffer(b"".join(v), "<f4")
-        self.row = np.repeat(np.arange(len(self.n), dtype=np.int32), self.n)
+        self.idx, self.off = _flat(tab.column("idx"), "<u4")
+        self.val, _ = _flat(tab.column("val"), "<f4")
         self.y = tab.column("quality").to_numpy().astype(float)
 
+    def blocks(self):
+        """Rows ``lo`` to ``hi`` with their features, values and sizes."""
+        lo, rows = 0, len(self.y)
+        while lo < rows:
+            hi = max(lo + 1, int(np.searchsorted(self.off, self.off[lo] + self.BLOCK, "right")) - 1)
+            own = slice(self.off[lo], self.off[hi])
+            yield lo, hi, self.idx[own], self.val[own], np.diff(self.off[lo:hi + 1])
+            lo = hi
+
     def dot(self, w):
-        return np.bincount(self.row, weights=w[self.idx] * self.val, minlength=len(self.n))
+        out = np.zeros(len(self.y))
+        for lo, hi, idx, val, n in self.blocks():
+            some = np.flatnonzero(n)
+            if len(some):
+                out[lo + some] = np.add.reduceat(w[idx] * val, np.cumsum(n[some]) - n[some])
+        return out
 
     def back(self, r, size):
-        return np.bincount(self.idx, weights=r[self.row] * self.val, minlength=size)
+        out = np.zeros(size)
+        for lo, hi, idx, val, n in self.blocks():
+            out += np.bincount(idx, weights=np.repeat(r[lo:hi], n) * val, minlength=size)
+        return out
 
 
 def fit_logistic(rows: _Rows, steps: int = 90, rate: float = 0.08, l2: float = 1e-5):
@@ -173,12 +198,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> M
     fold = tab.column("fold").to_numpy() == 0
     if len(set(y[~fold].tolist())) < 2:
         return None
-    train = _Rows(tab.filter(pa.array(~fold)))
-    w, b = fit_logistic(train)
+    taught, tab = tab.filter(pa.array(~fold)), tab.filter(pa.array(fold))  # the whole sample is let go
+    w, b = fit_logistic(_Rows(taught))
     model = Model(w.astype(np.float32), b)
     if len(set(y[fold].tolist())) == 2:
-        held = _Rows(tab.filter(pa.array(fold)))
+        held = _Rows(tab)
         model.slope, model.offset = calibrate(held.dot(w) + b, held.y)
+        del held
+    del taught, tab
+    pa.default_memory_pool().release_unused()
     return model
 
 

@@ -6,6 +6,7 @@ import json
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -170,6 +171,31 @@ def base_counts(text):
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
+def test_quality_fit_holds_its_rows_once():
+    rng, n, each = np.random.default_rng(1), 300, 10_000
+    size = quality_rules.GROUPS << quality_rules.BITS
+    idx, val = rng.integers(0, size, (n, each)).astype("<u4"), rng.random((n, each)).astype("<f4")
+    cell = lambda x: pa.array([r.tobytes() for r in x] + [b""], pa.binary())
+    tab = pa.table({"quality": pa.array([i % 2 for i in range(n + 1)], pa.int32()), "idx": cell(idx), "val": cell(val)})
+    tab = pa.concat_tables([tab.slice(7, 100), tab.slice(107), tab.slice(0, 7)])  # several chunks
+    order = [*range(7, n), None, *range(7)]
+    w, r = rng.random(size), rng.random(n + 1)
+    tracemalloc.start()
+    rows = quality_rules._Rows(tab)
+    dot, back = rows.dot(w), rows.back(r, size)
+    quality_rules.fit_logistic(rows, steps=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(dot, [0 if i is None else (w[idx[i]] * val[i]).sum() for i in order])
+    want = np.zeros(size)
+    for i, x in zip(order, r):
+        if i is not None:
+            np.add.at(want, idx[i], x * val[i])
+    assert np.allclose(back, want)
+    assert peak < 48_000_000, peak  # the rows' own 24 MB lie in Arrow's memory
+    assert len(quality_rules._Rows(tab.slice(0, 0)).dot(w)) == 0
+
+
 def test_quality_rules(spark, docs, texts):
     out = quality_rules.op3_quality_rules(spark, SF)
     assert as_dict(out, *BASE) == {i: base_counts(t) for i, t in texts.items()}
