@@ -81,23 +81,25 @@ def take_first(df: DataFrame, unit: str, cls: str, quota: DataFrame, key_cols,
             .withColumn("_lo", F.when(k == n, F.lit(2.0)).otherwise(F.greatest(F.lit(0.0), k / n - slack)))
             .withColumn("_hi", F.when(k == n, F.lit(2.0)).otherwise(k / n + slack)))
     some = _written(some.select("_u", "_c", "take", "_lo", "_hi"), "quota")
-    rows = df.withColumn("_h", hash_text(seed, key_cols)).withColumn("_v", hash_unit(F.col("_h")))
+    h = hash_text(seed, key_cols)
     while True:
         on = [F.col(unit) == F.col("_u"), F.col(cls) == F.col("_c")]
-        held = _written(lookup_join(rows, some, on, "inner").filter(F.col("_v") < F.col("_hi")), "fill")
-        seen = held.groupBy("_u", "_c").agg(
-            F.count_if(F.col("_v") < F.col("_lo")).alias("_below"), F.count(F.lit(1)).alias("_all"))
+        # hashes are made of rows whose unit gives some, and again of the few that are ranked: they are not written
+        near = lookup_join(df, some, on, "inner").withColumn("_v", hash_unit(h)).filter(F.col("_v") < F.col("_hi"))
+        held = _written(near.select(*columns, (F.col("_v") < F.col("_lo")).alias("_sure")), "fill")
+        seen = held.groupBy(F.col(unit).alias("_u"), F.col(cls).alias("_c")).agg(
+            F.count_if("_sure").alias("_below"), F.count(F.lit(1)).alias("_all"))
         seen = _written(some.join(seen, ["_u", "_c"], "left").fillna(0, ["_below", "_all"]), "fill-seen")
         low, high = F.col("_below") > F.col("take"), F.col("_all") < F.col("take")
         if seen.filter(low | high).isEmpty():
             break
         some = _written(seen.select("_u", "_c", "take", F.when(low, F.lit(0.0)).otherwise(F.col("_lo")).alias("_lo"),
                                     F.when(high, F.lit(2.0)).otherwise(F.col("_hi")).alias("_hi")), "quota")
-    edge = held.filter(F.col("_v") >= F.col("_lo"))
+    edge = held.filter(~F.col("_sure")).withColumn("_h", h)
     w = Window.partitionBy("_u", "_c").orderBy("_h", *key_cols, F.xxhash64(*[F.col(f"`{c}`") for c in columns]))
-    edge = (lookup_join(edge, seen.select("_u", "_c", "_below"), ["_u", "_c"], "inner")
+    edge = (lookup_join(edge, seen.select("_u", "_c", "_below", "take"), on, "inner")
             .withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= F.col("take") - F.col("_below")))
-    return held.filter(F.col("_v") < F.col("_lo")).select(*columns).unionByName(edge.select(*columns))
+    return held.filter("_sure").select(*columns).unionByName(edge.select(*columns))
 
 
 def fill(df: DataFrame, unit: str, cls: str, need: dict[int, int | None], key_cols, offer=whole_unit,

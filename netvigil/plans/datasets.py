@@ -22,11 +22,11 @@ def balanced_test_file(spark: SparkSession, parts_path: str, names, out_path: st
     rounded half-even, filled file by file, shortfall warned), written as shuffled CSV
     files with header.  The label column is the first present of ``label_col`` and the
     usual candidates; labels use the map that also knows 'botnet'."""
-    parts = csv_parts.read_parts(spark, parts_path, names, glob=glob, positions=True)
+    parts = csv_parts.read_parts(spark, parts_path, names, glob=glob, file_numbers=True)
     label = pick_label(parts.columns, [label_col, *vocab.LABEL_CANDIDATES_TESTSET])
     keys = list(key_cols or [c for c in names if c != label])
     lab = parts.withColumn("_y", normalize_label(label, "botnet")).filter(F.col("_y").isin(0, 1))
-    out = fill.ratio_sample_by_file(lab, "_y", rows, pos_frac, keys, seed=seed).drop("_y", "_file_no", "_pos")
+    out = fill.ratio_sample_by_file(lab, "_y", rows, pos_frac, keys, seed=seed).drop("_y", "_file_no")
     write_shuffled(out, out_path, keys, seed)
     return out
 

@@ -1,7 +1,7 @@
 """Queries over folders of part files: quotas filled file by file, rows in file order, several headers.
 
-The parts are written from the flow fixture: ``PARTS`` files (by ``pkSeqID``), each in ``flow_id`` order, whose
-names sort by number.
+The parts are written from the flow fixture: ``PARTS`` files (by ``pkSeqID``), whose names sort by number, each in
+``flow_id`` order where a query asks for rows by their place.
 """
 
 from __future__ import annotations
@@ -23,19 +23,21 @@ def part_number():
     return (F.col("pkSeqID") % PARTS).cast("int")
 
 
-def written_parts(spark: SparkSession, sf_dir: str, columns=COLUMNS, header: bool = True) -> str:
-    """Folder of CSV parts: part k holds the flows with ``pkSeqID % PARTS = k``, sorted by ``flow_id``."""
+def written_parts(spark: SparkSession, sf_dir: str, columns=COLUMNS, header: bool = True, ordered: bool = True) -> str:
+    """Folder of CSV parts: part k holds the flows with ``pkSeqID % PARTS = k``, if ``ordered`` sorted by ``flow_id``."""
     path = scratch_path(spark, "parts")
     f = fixtures.flows(spark, sf_dir).withColumn("_part", part_number())
-    (f.repartitionById(PARTS, "_part").sortWithinPartitions("flow_id").select(*columns)
-     .write.options(**csv_parts.TEXT_OPTS).option("header", header).csv(path))
+    f = f.select(*columns, "_part").repartitionById(PARTS, "_part") if not ordered else (
+        f.repartitionById(PARTS, "_part").sortWithinPartitions("flow_id"))
+    (f.select(*columns).write.options(**csv_parts.TEXT_OPTS).option("header", header).csv(path))
     return path
 
 
-def _labelled(spark: SparkSession, sf_dir: str, profile: str, **options) -> DataFrame:
-    parts = csv_parts.read_parts(spark, written_parts(spark, sf_dir), COLUMNS, glob="part-*.csv", positions=True, **options)
+def _labelled(spark: SparkSession, sf_dir: str, profile: str, positions: bool = False, **options) -> DataFrame:
+    parts = csv_parts.read_parts(spark, written_parts(spark, sf_dir, ordered=positions), COLUMNS, glob="part-*.csv",
+                                 positions=positions, file_numbers=True, **options)
     return (parts.withColumn("label", normalize_label("attack", profile)).filter(F.col("label").isin(0, 1))
-            .select("flow_id", "label", "_file_no", "_pos"))
+            .select("flow_id", "label", "_file_no", *["_pos"] * positions))
 
 
 def ratio_sample_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +65,7 @@ def balance_by_batch_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def first_n_file_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B1: the first 2,500 rows per class as they stand in the files."""
-    rows = written(_labelled(spark, sf_dir, "open"), "labelled")  # the files are parsed for this table only
+    rows = written(_labelled(spark, sf_dir, "open", positions=True), "labelled")  # the files are parsed for this table only
     return sampling.first_n_per_class(rows, "label", 2_500, ["_pos"]).select("flow_id", "label", "_pos")
 
 
@@ -82,9 +84,9 @@ def mixed_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dedup_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal rows go within a batch of five files, not across batches; then a rounded 30 % of each batch."""
     columns = ["saddr", "proto", "category", "attack"]
-    path = written_parts(spark, sf_dir, columns)
-    rows = csv_parts.read_parts(spark, path, columns, glob="part-*.csv", positions=True)
-    rows = rows.withColumn("batch", F.floor(F.col("_file_no") / fill.FILES_PER_BATCH)).drop("_file_no", "_pos")
+    path = written_parts(spark, sf_dir, columns, ordered=False)
+    rows = csv_parts.read_parts(spark, path, columns, glob="part-*.csv", file_numbers=True)
+    rows = rows.withColumn("batch", F.floor(F.col("_file_no") / fill.FILES_PER_BATCH)).drop("_file_no")
     return fill.sample_by_batch(dedup.dedup_batches(rows, "batch"), 0.3, ["batch", *columns], "batch")
 
 

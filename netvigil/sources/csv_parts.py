@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from netvigil.functions.mac import strip as strip_ws
-from netvigil.sources.file_order import with_positions
+from netvigil.sources.file_order import with_file_numbers, with_positions
 
 RAGGED = "_ragged_line"  # the raw line of a row with too few or too many fields
 TEXT_OPTS = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "escape": '"'}
@@ -77,12 +77,12 @@ def _selected(spark: SparkSession, path, glob: str, max_files: int | None, skip_
 def read_parts(spark: SparkSession, path, names, glob: str = "data_*.csv",
                max_files: int | None = None, skip_files: int = 0, tolerant: bool = True,
                drop_header_rows: bool = True, with_file: bool = False, positions: bool = False,
-               header=None) -> DataFrame:
+               header=None, file_numbers: bool = False) -> DataFrame:
     """Read CSV parts under ``path`` (or an explicit list of files)
     as strings with the given column names.
 
     ``positions`` adds ``_file_no`` and ``_pos`` (see ``file_order``): rows are numbered before headers and
-    surplus rows go, so numbers follow the lines."""
+    surplus rows go, so numbers follow the lines.  ``file_numbers`` adds ``_file_no`` alone, for which no row is counted."""
     files, pattern = _selected(spark, path, glob, max_files, skip_files)
     fields = [T.StructField(n, T.StringType()) for n in names]
     if tolerant:
@@ -96,6 +96,9 @@ def read_parts(spark: SparkSession, path, names, glob: str = "data_*.csv",
         df = df.withColumn("_file", F.col("_metadata.file_name"))
     if positions:
         df = with_positions(df)
+    elif file_numbers:
+        lines = spark.read.option("pathGlobFilter", pattern) if pattern else spark.read
+        df = with_file_numbers(df, lines.text(files))
     if tolerant:
         df = df.filter(not_surplus(names)).drop(RAGGED)
     if drop_header_rows:

@@ -21,6 +21,22 @@ def file_name(path):
     return F.element_at(F.split(path, "/"), -1)
 
 
+def with_file_numbers(scan: DataFrame, lines: DataFrame, file_no: str = "_file_no") -> DataFrame:
+    """``scan`` with the number of its file among those that hold rows (by name, from 0), where rows need no numbers.
+
+    ``lines`` are the same files as text: a row is a line that is not blank, so no field is parsed to find the files.
+    """
+    blank = F.ltrim("value", F.lit("".join(map(chr, range(33))))) == ""
+    files = lines.filter(~blank).select(F.col("_metadata.file_path").alias("_f")).distinct()
+    by_name = Window.orderBy(file_name(F.col("_f")), "_f")
+    files = files.select("_f", (F.dense_rank().over(by_name) - 1).cast("long").alias(file_no))  # one row per file
+    path = scratch_path(scan.sparkSession, "files")
+    files.write.parquet(path)
+    files = scan.sparkSession.read.schema(files.schema).parquet(path)
+    rows = scan.select("*", F.col("_metadata.file_path").alias("_f"))
+    return lookup_join(rows, files, "_f", "left", MAX_BROADCAST_SPLITS).drop("_f")
+
+
 def with_positions(scan: DataFrame, position: str = "_pos", file_no: str = "_file_no") -> DataFrame:
     """``scan`` (read from files, not yet filtered) with the number of its file (by name, from 0)
     and the row's number in all files (from 0).

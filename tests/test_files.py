@@ -102,6 +102,35 @@ def test_positions_follow_the_lines(small_splits, tmp_path):
         df.filter("a <> ''").collect()
 
 
+def test_file_numbers_without_counting_rows(spark, tmp_path):
+    """The same numbers as those of positions: files without a row have none."""
+    for name, text in {"b.csv": "a,b\n1,2\n", "a.csv": "3,4\n5,6,7\n", "c.csv": "", "d.csv": " \t\n\n", "e.csv": "8\n"}.items():
+        (tmp_path / name).write_text(text)
+    read = lambda **k: csv_parts.read_parts(spark, str(tmp_path), ["a", "b"], glob="*.csv", **k)
+    numbered = read(file_numbers=True)
+    assert numbered.columns == ["a", "b", "_file_no"]
+    assert sorted(numbered.collect(), key=str) == sorted(read(positions=True).drop("_pos").collect(), key=str)
+    assert {r.a: r._file_no for r in numbered.collect()} == {"3": 0, "1": 1, "8": 2}
+    listed = csv_parts.read_parts(spark, [str(tmp_path / "e.csv"), str(tmp_path / "b.csv")], ["a", "b"], file_numbers=True)
+    assert {r.a: r._file_no for r in listed.collect()} == {"1": 0, "8": 1}
+
+
+def test_fill_writes_no_hashes(spark, monkeypatch):
+    """What is written on the way to the cut are the rows alone."""
+    kept = {}
+    monkeypatch.setattr(fill, "_written", lambda df, name, w=fill._written: kept.setdefault(name, []).append(df.columns) or w(df, name))
+    df = spark.range(2000).select("id", (F.col("id") % 4).alias("u"), (F.col("id") % 3 == 0).cast("int").alias("y"))
+    got = {r.id for r in fill.fill(df, "u", "y", {0: 700, 1: 90}, ["id"]).collect()}
+    want = set()
+    for y, k in ((0, 700), (1, 90)):
+        for u in range(4):
+            some = sorted((i for i in range(2000) if i % 4 == u and (i % 3 == 0) == y), key=_md5)[:k]
+            want |= set(some)
+            k -= len(some)
+    assert got == want
+    assert kept["fill"] == [["id", "u", "y", "_sure"]]
+
+
 def test_missing_parts(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         csv_parts.read_parts(spark, str(tmp_path), ["a"], glob="none_*.csv")

@@ -90,3 +90,11 @@ def test_mac_prefix_handles_null_column(spark):
 def test_label_keys_strip_all_whitespace(spark):
     df = spark.createDataFrame([("\tAttack\n",), (" normal\r",)], "t string")
     assert [r[0] for r in df.select(normalize_label("t", "open")).collect()] == [1, 0]
+
+
+@pytest.mark.parametrize("profile", ["open", "named", "botnet"])
+def test_label_text_is_cleaned_once(spark, profile):
+    """The key and the number are computed once for a label, not once for each value of the map."""
+    label = spark.range(1).select(F.col("id").cast("string").alias("t")).select(normalize_label("t", profile).alias("y"))
+    text = label._jdf.queryExecution().analyzed().toString()
+    assert text.count("btrim(") <= (14 if profile == "named" else 7), text
