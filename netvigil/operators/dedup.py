@@ -2,7 +2,7 @@
 
 A 128-bit digest of every row is grouped with its batch: only digests are shuffled, merged on the map side, so
 a row that makes up a third of the table costs a row a task.  Rows whose digest occurs once in
-their batch are kept where they lie.  The others are compared exactly, all columns, by a
+their batch (of very many digests: those that a key filter tells to be alone) are kept where they lie.  The others are compared exactly, all columns, by a
 distinct, again with a map-side merge; equal digests of different rows just make that distinct larger.
 """
 
@@ -41,11 +41,9 @@ def dedup_batches(df: DataFrame, batch: str, columns=None, max_broadcast: int =
     if fits(twice, max_broadcast):
         marked = rows.join(F.broadcast(twice), on, "left").withColumn("_dup", F.col("_da").isNotNull())
         once, some = marked.filter("NOT _dup"), marked.filter("_dup")
-    else:  # rows that are certainly alone stay where they are, the rest meets the table of digests
+    else:  # rows that are certainly alone stay where they are; of the rest, those alone pass the exact comparison unchanged
         marked = maybe_in(rows, F.col("_a"), key_filter(twice.select("_da")))
-        met = marked.filter("_maybe").join(twice, on, "left").withColumn("_dup", F.col("_da").isNotNull())
-        once = marked.filter("NOT _maybe").select(*df.columns).unionByName(met.filter("NOT _dup").select(*df.columns))
-        some = met.filter("_dup")
+        once, some = marked.filter("NOT _maybe"), marked.filter("_maybe")
     some = some.select(*df.columns)
     if set(columns) == set(every):
         some = some.dropDuplicates()

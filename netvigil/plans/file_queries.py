@@ -87,7 +87,8 @@ def dedup_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = written_parts(spark, sf_dir, columns, ordered=False)
     rows = csv_parts.read_parts(spark, path, columns, glob="part-*.csv", file_numbers=True)
     rows = rows.withColumn("batch", F.floor(F.col("_file_no") / fill.FILES_PER_BATCH)).drop("_file_no")
-    return fill.sample_by_batch(dedup.dedup_batches(rows, "batch"), 0.3, ["batch", *columns], "batch")
+    once = written(dedup.dedup_batches(rows, "batch"), "once")  # read for the quotas and for the sample
+    return fill.sample_by_batch(once, 0.3, ["batch", *columns], "batch")
 
 
 def shuffled_parts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -131,6 +131,14 @@ def test_fill_writes_no_hashes(spark, monkeypatch):
     assert kept["fill"] == [["id", "u", "y", "_sure"]]
 
 
+def test_dedup_of_many_digests_joins_no_table_of_digests(spark):
+    df = spark.range(300).select((F.col("id") % 3).alias("b"), (F.col("id") % 40).alias("k"))
+    out = dedup.dedup_batches(df, "b", max_broadcast=0)
+    joins = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
+    assert len(joins) == 2 and all("broadcast" in x for x in joins), joins  # the key filter, for both kinds of rows
+    assert out.count() == 120
+
+
 def test_missing_parts(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         csv_parts.read_parts(spark, str(tmp_path), ["a"], glob="none_*.csv")
