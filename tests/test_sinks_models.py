@@ -7,7 +7,8 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from netvigil.operators import curves, metrics
+from netvigil.functions.labels import normalize_label
+from netvigil.operators import curves, metrics, sampling
 from netvigil.plans import model_queries as mq
 from netvigil.sinks import reports
 
@@ -125,3 +126,20 @@ def test_numeric_scaler_is_the_population_one(spark, tmp_path):
     again, _ = models.load_model(str(tmp_path / "m"))
     one, two = (models.with_score(m, df).select("score").toPandas() for m in (model, again))
     assert (one == two).all().all()
+
+
+def test_split_and_balanced_rows_are_made_once(spark):
+    rows = [(f"id{i // 2 if i < 6 else i}", "tcp" if i % 3 else None, "F", i % 7, i * 10, i / 100.0, ["1", " Attack ", "Normal", "n/a", None][i % 5])
+            for i in range(80)]
+    flows = spark.createDataFrame(rows, "flow_id string, proto string, state string, pkts long, bytes long, score double, attack string")
+    data, nums, cats = mq._split(flows)
+    plan = data._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5" not in plan and "Join" not in plan  # later passes read files: no hash, no label parsed again
+    labelled = flows.withColumn("label", normalize_label("attack", "open")).filter(F.col("label").isin(0, 1))
+    x, want_nums, want_cats = mq._cleaned(labelled, ["flow_id", "label"])
+    want = sampling.stratified_split(x, "label", 0.3, ["flow_id"], seed=mq.SEED)
+    assert (nums, cats, data.dtypes) == (want_nums, want_cats, want.dtypes)
+    assert data.exceptAll(want).count() == want.exceptAll(data).count() == 0
+    picked = sampling.balance_min(want.filter("split = 'train'"), "label", ["flow_id"], cap=mq.TRAIN_CAP, seed=mq.SEED)
+    train = mq._training(data)
+    assert train.exceptAll(picked).count() == picked.exceptAll(train).count() == 0
