@@ -5,10 +5,11 @@ import math
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from netvigil.functions.labels import normalize_label
-from netvigil.operators import curves, metrics, sampling
+from netvigil.operators import curves, metrics, models, sampling
 from netvigil.plans import model_queries as mq
 from netvigil.sinks import reports
 
@@ -143,3 +144,30 @@ def test_split_and_balanced_rows_are_made_once(spark):
     picked = sampling.balance_min(want.filter("split = 'train'"), "label", ["flow_id"], cap=mq.TRAIN_CAP, seed=mq.SEED)
     train = mq._training(data)
     assert train.exceptAll(picked).count() == picked.exceptAll(train).count() == 0
+
+
+def test_models_are_fitted_together_and_are_the_same(spark, monkeypatch):
+    import threading
+
+    rows = [(f"id{i}", "tcp" if i % 3 else "udp", "F", i % 7, i * 10, (i * 37 % 100) / 100.0, ["1", "Normal"][i % 2])
+            for i in range(120)]
+    flows = spark.createDataFrame(rows, "flow_id string, proto string, state string, pkts long, bytes long, score double, attack string")
+    monkeypatch.setitem(mq.FOREST, "num_trees", 4)
+    data, nums, cats = mq._split(flows)
+    train = mq._training(data)
+    alone = {algo: mq.fitted(train, nums, cats, algo) for algo in ("rf", "lr", "mlp")}
+    together, fitted, kept = threading.Barrier(3, timeout=60), mq.fitted, {}
+
+    def waits(*args):
+        together.wait()  # breaks unless all three run
+        kept[args[3]] = fitted(*args)
+        return kept[args[3]]
+    monkeypatch.setattr(mq, "fitted", waits)
+    monkeypatch.setattr(mq, "_prepared", lambda spark, sf_dir: (data, nums, cats))
+    test = data.filter("split = 'test'")
+    want = (test.count(), test.filter("label = 1").count(), test.count())
+    assert [tuple(r) for r in mq.score_ranges(spark, "").collect()] == [(algo, *want) for algo in ("rf", "lr", "mlp")]
+    for algo, model in kept.items():
+        one, two = (models.with_score(m, test).select("flow_id", "score").orderBy("flow_id").collect() for m in (model, alone[algo]))
+        assert [r.flow_id for r in one] == [r.flow_id for r in two]
+        assert [r.score for r in one] == pytest.approx([r.score for r in two], rel=1e-9)
