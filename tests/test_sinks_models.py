@@ -171,3 +171,45 @@ def test_models_are_fitted_together_and_are_the_same(spark, monkeypatch):
         one, two = (models.with_score(m, test).select("flow_id", "score").orderBy("flow_id").collect() for m in (model, alone[algo]))
         assert [r.flow_id for r in one] == [r.flow_id for r in two]
         assert [r.score for r in one] == pytest.approx([r.score for r in two], rel=1e-9)
+
+
+WHOLE_QUERIES = ["lr_score", "mlp_score", "rf_score", "predict_report", "score_ranges", "model_comparison", "model_checks"]
+
+
+def _uneven_flows(spark):
+    """Three attacks to one normal flow, some ids twice, some NULL, and rows without a usable label."""
+    rows = [(f"id{i // 2 if i < 8 else i}" if i % 31 else None, "tcp" if i % 3 else None, "F", i % 7, i * 10, (i * 37 % 100) / 100.0,
+             ["1", " Attack ", "Normal", "1.0", "n/a"][i % 5]) for i in range(150)]
+    return spark.createDataFrame(rows, "flow_id string, proto string, state string, pkts long, bytes long, score double, attack string")
+
+
+@pytest.mark.parametrize("query", WHOLE_QUERIES)
+def test_models_learn_from_every_training_row(spark, monkeypatch, query):
+    data, nums, cats = mq._split(_uneven_flows(spark))
+    want = data.filter("split = 'train' AND label IN (0, 1)")
+    n0, n1 = (want.filter(f"label = {c}").count() for c in (0, 1))
+    assert n1 > 2 * n0 > 0
+    given, plain = [], mq.models.fit_pipeline
+
+    def fit(train, num_cols, cat_cols, algorithm, *args, **params):
+        given.append((algorithm, train, params.get("weight_col")))
+        return plain(train, num_cols, cat_cols, "lr", *args, max_iter=2)
+    monkeypatch.setattr(mq.models, "fit_pipeline", fit)
+    monkeypatch.setattr(mq, "_prepared", lambda spark, sf_dir: (data, nums, cats))
+    mq.QUERIES[query](spark, "")
+    algos = {query[:-len("_score")]} if query.endswith("_score") else {"rf"} if query == "predict_report" else {"rf", "lr", "mlp"}
+    assert {a for a, _, _ in given} == algos and len(given) == len(algos)
+    for algorithm, train, weight in given:
+        assert sorted(map(str, train.select(want.columns).collect())) == sorted(map(str, want.collect()))
+        assert weight == (None if algorithm == "mlp" else "weight")
+        if weight:  # the classes weigh the same though their sizes differ
+            w = {r.label: r.w for r in train.groupBy("label").agg(F.sum(weight).alias("w")).collect()}
+            assert w[0] == pytest.approx(w[1]) == pytest.approx((n0 + n1) / 2)
+
+
+def test_whole_classes_are_not_cut_and_an_empty_one_is_an_error(spark):
+    df = spark.range(50).select("id", (F.col("id") % 5 == 0).cast("int").alias("y"))
+    assert sorted(r.id for r in sampling.balance_min(df, "y", ["id"], cap=sampling.WHOLE).collect()) == [*range(50)]
+    assert sampling.balance_min(df, "y", ["id"]).count() == 20
+    with pytest.raises(ValueError, match="one class is empty: class0=40, class1=0"):
+        sampling.balance_min(df.filter("y = 0"), "y", ["id"], cap=sampling.WHOLE)
