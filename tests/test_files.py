@@ -258,6 +258,15 @@ def test_files_and_training_parts_follow_the_rows(spark, sf_dir, monkeypatch):
     assert few.rdd.glom().collect() == many.rdd.glom().collect()  # the learners' draws do not depend on the source
 
 
+def test_training_parts_grow_before_they_are_more(spark):
+    """A learner's parts: one per so many rows, then a fixed number of larger ones, then more of the largest."""
+    df = spark.range(6000).withColumn("x", F.col("id") % 7)
+    for rows_a_task, parts in ((400, 15), (250, 24), (100, 24), (25, 24), (20, 30)):
+        out = sizing.training_rows(df, ["id"], rows_a_task=rows_a_task)
+        assert out.rdd.getNumPartitions() == parts
+        assert out.count() == 6000 and out.distinct().count() == 6000
+
+
 def test_csv_and_stream_files_grow_with_the_input(spark, sf_dir, monkeypatch):
     from netvigil.plans import file_queries, source_queries
 

@@ -176,6 +176,31 @@ def test_models_are_fitted_together_and_are_the_same(spark, monkeypatch):
 WHOLE_QUERIES = ["lr_score", "mlp_score", "rf_score", "predict_report", "score_ranges", "model_comparison", "model_checks"]
 
 
+def test_forest_of_shares_is_one_whole_model(spark, monkeypatch, tmp_path):
+    """Of many rows the trees are grown in shares, each with draws of its own; of few rows they are the trees of one fit."""
+    rows = [(i, float(i % 17), (i * 37 % 100) / 100.0, "tcp" if i % 3 else "udp", float((i * 37 % 100) + i % 9 > 55), 1.0 + i % 2) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, proto string, label double, weight double")
+    fit = lambda: models.fit_pipeline(df, ["a", "b"], ["proto"], "rf", weight_col="weight", num_trees=11, max_depth=4)
+    whole = fit()
+    monkeypatch.setattr(models, "TREES_A_FIT", 5)
+    trees = lambda m: [t.toDebugString.split("\n", 1)[1] for t in m.stages[-1].trees]
+    assert trees(fit()) == trees(whole)  # 400 rows are few
+    monkeypatch.setattr(models, "ROWS_A_FIT", 399)
+    made, plain = [], models.RandomForestClassifier.fit
+    monkeypatch.setattr(models.RandomForestClassifier, "fit", lambda clf, *args: made.append(
+        (clf.getNumTrees(), clf.getSeed(), clf.getFeatureSubsetStrategy())) or plain(clf, *args))
+    model = fit()
+    assert [n for n, _, _ in made] == [5, 5, 1] and len({s for _, s, _ in made}) == 3 and {f for _, _, f in made} == {"sqrt"}
+    forest = model.stages[-1]
+    assert forest.getNumTrees == 11 and forest.numFeatures == whole.stages[-1].numFeatures and forest.numClasses == 2
+    assert len(set(trees(model))) == 11
+    models.save_model(model, {}, str(tmp_path / "m"))
+    again, _ = models.load_model(str(tmp_path / "m"))
+    one, two, other = ([r.score for r in models.with_score(m, df).orderBy("id").select("score").collect()] for m in (model, again, whole))
+    assert one == two and all(0 <= x <= 1 for x in one)
+    assert sum((x >= 0.5) == (y >= 0.5) for x, y in zip(one, other)) > 360
+
+
 def _uneven_flows(spark):
     """Three attacks to one normal flow, some ids twice, some NULL, and rows without a usable label."""
     rows = [(f"id{i // 2 if i < 8 else i}" if i % 31 else None, "tcp" if i % 3 else None, "F", i % 7, i * 10, (i * 37 % 100) / 100.0,
