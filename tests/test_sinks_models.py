@@ -201,6 +201,20 @@ def test_forest_of_shares_is_one_whole_model(spark, monkeypatch, tmp_path):
     assert sum((x >= 0.5) == (y >= 0.5) for x, y in zip(one, other)) > 360
 
 
+def test_a_row_is_scored_once(spark):
+    """No filter that repeats the model, which would run again for every mention of its score."""
+    df = spark.range(300).select("id", (F.col("id") % 17).cast("double").alias("a"), (F.col("id") % 5 > 2).cast("int").alias("label"))
+    scored = models.with_score(models.fit_pipeline(df, ["a"], [], "rf", num_trees=3, max_depth=3), df)
+    for counted in (curves.score_counts(scored, "label", "score"), curves.score_summary(scored, "label", "score", 0.5),
+                    curves.auc(scored, "label", "score")):
+        plan = counted._jdf.queryExecution().optimizedPlan().toString()
+        assert not [line for line in plan.splitlines() if "Filter" in line and "UDF" in line]
+        assert plan.count("UDF(UDF(features") <= 1
+    rows = [(1, 0.5), (0, 0.5), (1, float("nan")), (0, None), (None, 0.5), (2, 0.25), (1, 0.75), (0, -0.0), (1, 0.0)]
+    got = curves.score_counts(spark.createDataFrame(rows, "y int, score double")).orderBy("score").collect()
+    assert [tuple(r) for r in got] == [(0.0, 1, 1), (0.5, 1, 1), (0.75, 1, 0)]
+
+
 def _uneven_flows(spark):
     """Three attacks to one normal flow, some ids twice, some NULL, and rows without a usable label."""
     rows = [(f"id{i // 2 if i < 8 else i}" if i % 31 else None, "tcp" if i % 3 else None, "F", i % 7, i * 10, (i * 37 % 100) / 100.0,
